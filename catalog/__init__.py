@@ -1,0 +1,12 @@
+"""Registered queries over the driver's tables."""
+
+from importlib import import_module
+
+FAMILIES = ("hospital_queries",)
+
+
+def load():
+    for family in FAMILIES:
+        import_module(f"catalog.{family}")
+    from catalog import registry
+    return registry

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.scale import HOUR, asof, running, time_bucket
+from wardline.scale import HOUR, asof, time_bucket
 
 
 def attach(df: DataFrame, dim: DataFrame, key: str | list[str]) -> DataFrame:
@@ -47,48 +47,80 @@ def _moved(ts: str, hours: float) -> Column:
     return F.col(ts) + F.expr(f"INTERVAL '{int(round(hours * 3600))}' SECOND")
 
 
+def _grain(seconds: float, pieces: int) -> int:
+    return max(60, int(-(-seconds // pieces)))
+
+
 def window_match(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
                  hours_before: float, hours_after: float, payload: list[str], name: str = "match",
                  lower_inclusive: bool = True, upper_inclusive: bool = True, tie: list[str] | None = None,
-                 grain: int = HOUR) -> DataFrame:
+                 pieces: int = 8) -> DataFrame:
     """Every left row with the earliest right row in [ts - before, ts + after], or null.
 
     This is the interval join as its users need it, each row with its first match, without
-    forming the pairs: the first right row not before the window's start is looked up, then held
-    against the window's end. ``hours_before`` may be negative for windows after the row.
+    forming the pairs. The time axis is cut into buckets of 1/``pieces`` of the window. A match
+    lies in the bucket where the window starts, found by one ordered pass over (key, bucket),
+    or in one of the next ``pieces`` buckets, found by a table that holds the first right row of
+    those per bucket. So a key with very many rows is spread over its buckets, and ``left`` is
+    exchanged once. ``hours_before`` may be negative for windows after the row.
     """
-    probed = left.withColumn("_from", _moved(left_ts, -hours_before))
-    wanted = list(dict.fromkeys([*payload, right_ts]))
-    found = asof(probed, right, keys, "_from", right_ts, wanted, "_m", forward=True, inclusive=lower_inclusive,
-                 tie=tie, grain=grain)
-    limit, at = _moved(left_ts, hours_after), F.col(f"_m.{right_ts}")
-    inside = at <= limit if upper_inclusive else at < limit
-    kept = F.struct(*[F.col(f"_m.{c}").alias(c) for c in payload])
-    return found.withColumn(name, F.when(inside, kept)).drop("_from", "_m")
+    tie = tie or []
+    width = (hours_before + hours_after) * 3600.0
+    grain = _grain(width, pieces)
+    ahead = int(-(-width // grain)) + (0 if width % grain else 1)
+    fields = F.struct(*[F.col(c) for c in dict.fromkeys(payload)])
+    rights = right.filter(F.col(right_ts).isNotNull()).select(
+        *keys, F.col(right_ts).alias("_ts"), F.struct(F.col(right_ts).alias("at"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("_ord"),
+        fields.alias("_right")).withColumn("_bucket", time_bucket("_ts", grain))
+    first = rights.groupBy(*keys, "_bucket").agg(F.min(F.struct("_ord", "_right")).alias("_head"))
+    later = first.withColumn("_bucket", F.explode(F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda i: F.col("_bucket") - i)))
+    later = later.groupBy(*keys, "_bucket").agg(F.min("_head").alias("_next"))
+    lefts = left.select(*keys, _moved(left_ts, -hours_before).alias("_ts"), F.struct(*left.columns).alias("_left"))
+    lefts = lefts.withColumn("_bucket", time_bucket("_ts", grain))
+    side = F.when(F.col("_left").isNotNull(), 1 if lower_inclusive else 0).otherwise(0 if lower_inclusive else 1)
+    rows = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_side", side)
+    backward = Window.partitionBy(*keys, "_bucket").orderBy(F.col("_ts").desc(), F.col("_side"), F.col("_ord").desc())
+    backward = backward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.when(F.col("_ord").isNotNull(), F.struct("_ord", "_right"))
+    seen = rows.withColumn("_near", F.last(here, ignorenulls=True).over(backward)).filter(F.col("_left").isNotNull())
+    found = seen.join(later, [*keys, "_bucket"], "left").withColumn("_m", F.coalesce("_near", "_next"))
+    limit, at = F.col(f"_left.{left_ts}") + F.expr(f"INTERVAL '{int(round(hours_after * 3600))}' SECOND"), F.col("_m._ord.at")
+    keyed = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    inside = keyed & (at <= limit if upper_inclusive else at < limit)
+    return found.select("_left.*", F.when(inside, F.col("_m._right")).alias(name))
 
 
 def window_sums(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
-                hours_before: float, hours_after: float, sums: dict[str, Column], grain: int = HOUR) -> DataFrame:
+                hours_before: float, hours_after: float, sums: dict[str, Column], pieces: int = 8) -> DataFrame:
     """Sums over the right rows in [ts - before, ts + after] (both ends in), per left row.
 
-    Difference of two running sums, so the cost does not depend on how many rows match.
+    A sweep: each right row adds its value where its reach starts and takes it away where it
+    ends, a left row reads the running sum. Reaches that cross a bucket border are added to the
+    bucket's start, so the sweep runs per (key, bucket) and its cost does not depend on how many
+    rows match.
     """
-    at_time = right.filter(F.col(right_ts).isNotNull()).groupBy(*keys, right_ts).agg(
-        *[F.sum(v).alias(n) for n, v in sums.items()])
-    upto = running(at_time.withColumn("_bucket", time_bucket(right_ts, grain)), keys, "_bucket", [F.col(right_ts)],
-                   {f"_run_{n}": F.col(n) for n in sums}).select(*keys, right_ts, *[f"_run_{n}" for n in sums])
-    cols = [f"_run_{n}" for n in sums]
-    probed = left.withColumns({"_lo": _moved(left_ts, -hours_before), "_hi": _moved(left_ts, hours_after)})
-    probed = asof(probed, upto, keys, "_hi", right_ts, cols, "_at_hi", grain=grain)
-    probed = asof(probed, upto, keys, "_lo", right_ts, cols, "_at_lo", inclusive=False, grain=grain)
-    zero = F.lit(0)
-    return probed.withColumns({n: F.coalesce(F.col(f"_at_hi._run_{n}"), zero) - F.coalesce(F.col(f"_at_lo._run_{n}"), zero)
-                               for n in sums}).drop("_lo", "_hi", "_at_hi", "_at_lo")
+    grain = _grain((hours_before + hours_after) * 3600.0, pieces)
+    reach = right.filter(F.col(right_ts).isNotNull()).select(
+        *keys, _moved(right_ts, -hours_after).alias("_from"), _moved(right_ts, hours_before).alias("_to"),
+        *[v.cast("double").alias(f"_v_{n}") for n, v in sums.items()])
+    values = [f"_v_{n}" for n in sums]
+    starts = reach.select(*keys, F.col("_from").alias("_ts"), F.lit(0).alias("_step"), *values)
+    ends = reach.select(*keys, F.col("_to").alias("_ts"), F.lit(2).alias("_step"), *[(-F.col(v)).alias(v) for v in values])
+    lefts = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_step"), F.struct(*left.columns).alias("_left"))
+    rows = lefts.unionByName(starts, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    rows = rows.withColumn("_bucket", time_bucket("_ts", grain))
+    covered = F.sequence(time_bucket("_from", grain) + 1, time_bucket("_to", grain))
+    crossing = reach.filter(time_bucket("_from", grain) < time_bucket("_to", grain)).withColumn("_bucket", F.explode(covered))
+    offsets = crossing.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_o{v}") for v in values])
+    sweep = Window.partitionBy(*keys, "_bucket").orderBy("_ts", "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.withColumns({f"_s{v}": F.coalesce(F.sum(v).over(sweep), F.lit(0.0)) for v in values}).filter(F.col("_left").isNotNull())
+    joined = swept.join(offsets, [*keys, "_bucket"], "left")
+    return joined.select("_left.*", *[(F.col(f"_s_v_{n}") + F.coalesce(f"_o_v_{n}", F.lit(0.0))).alias(n) for n in sums])
 
 
 def window_match_precision(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
                            right_date: str, after_right: tuple[float, int] | None, before_right: tuple[float, int] | None,
-                           payload: list[str], name: str, tie: list[str], grain: int = HOUR) -> DataFrame:
+                           payload: list[str], name: str, tie: list[str], pieces: int = 8) -> DataFrame:
     """Earliest right row around each left row, by time where known, else by date.
 
     ``after_right=(hours, days)``: the left row follows the right one, right in [ts - hours, ts)
@@ -102,14 +134,14 @@ def window_match_precision(left: DataFrame, right: DataFrame, keys: list[str], l
     fields = list(dict.fromkeys([*payload, *tie]))
     if after_right:
         l = window_match(left, timed, keys, left_ts, right_ts, hours, 0, [right_ts, *fields], "_timed",
-                         True, False, tie, grain)
+                         True, False, tie, pieces)
         span = (24.0 * days, 0.0)
     else:
         l = window_match(left, timed, keys, left_ts, right_ts, 0, hours, [right_ts, *fields], "_timed",
-                         False, True, tie, grain)
+                         False, True, tie, pieces)
         span = (0.0, 24.0 * days)
     l = l.withColumn("_today", F.col(left_ts).cast("date").cast("timestamp_ntz"))
-    l = window_match(l, dated, keys, "_today", "_day", *span, ["_day", *fields], "_dated", True, True, tie, grain)
+    l = window_match(l, dated, keys, "_today", "_day", *span, ["_day", *fields], "_dated", True, True, tie, pieces)
     # a row with a time ranks before a row without one on the same day
     timed_first = F.col(f"_timed.{right_ts}").cast("date") <= F.col("_dated._day").cast("date")
     pack = lambda s, at: F.struct(at.alias("time"), *[F.col(f"{s}.{c}").alias(c) for c in payload])

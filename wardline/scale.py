@@ -56,36 +56,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str
 
 
 def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: dict[str, Column],
-            dense: tuple[str, str] | None = None, totals: dict[str, str] | None = None) -> DataFrame:
-    """Running sums (and a dense rank) per key, exact, over (key, bucket) groups.
+            totals: dict[str, str] | None = None) -> DataFrame:
+    """Running sums per key, exact, over (key, bucket) groups.
 
     ``bucket`` must not decrease along ``order``. ``sums`` maps result names to row values;
-    ``dense`` is (result name, ranked column); ``totals`` maps a sum's name to a column for the
-    whole-key total.
+    ``totals`` maps a sum's name to a column for the whole-key total. ``df`` is read twice (rows
+    and bucket sizes), so hand over a scan, a grouped table or a checkpoint.
     """
     totals = totals or {}
-    group = Window.partitionBy(*keys, bucket)
-    inside = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumns({name: F.sum(value).over(inside) for name, value in sums.items()})
-    size = {f"_t_{name}": F.sum(value) for name, value in sums.items()}
-    parts = list(sums)
-    if dense:
-        name, ranked = dense
-        out = out.withColumn(name, F.dense_rank().over(group.orderBy(F.col(ranked).asc_nulls_last())))
-        parts = parts + [name]
-    if dense:
-        # the rank of the last row of a bucket is its number of distinct values
-        per_bucket = out.groupBy(*keys, bucket).agg(*[v.alias(k) for k, v in size.items()],
-                                                    F.max(dense[0]).alias(f"_t_{dense[0]}"))
-    else:
-        per_bucket = df.groupBy(*keys, bucket).agg(*[v.alias(k) for k, v in size.items()])
-    along = Window.partitionBy(*keys).orderBy(bucket)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    carried = {f"_o_{p}": F.coalesce(F.sum(f"_t_{p}").over(before), F.lit(0)) for p in parts}
+    sizes = df.groupBy(*keys, bucket).agg(*[F.sum(value).alias(f"_t_{name}") for name, value in sums.items()])
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = {f"_o_{p}": F.coalesce(F.sum(f"_t_{p}").over(before), F.lit(0)) for p in sums}
     whole = {c: F.sum(f"_t_{p}").over(Window.partitionBy(*keys)) for p, c in totals.items()}
-    offsets = per_bucket.select(*keys, bucket, *[v.alias(k) for k, v in {**carried, **whole}.items()])
+    offsets = sizes.select(*keys, bucket, *[v.alias(k) for k, v in {**carried, **whole}.items()])
     joined = null_safe_join(out, offsets, keys + [bucket])
-    return joined.withColumns({p: F.col(p) + F.col(f"_o_{p}") for p in parts}).drop(*carried)
+    return joined.withColumns({p: F.col(p) + F.col(f"_o_{p}") for p in sums}).drop(*carried)
 
 
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
