@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.operators.ranking import first_per
-from wardline.scale import exact_quantiles
+from wardline.scale import exact_quantiles, running, value_bucket
 
 
 def derive_outcomes(df: DataFrame, death: str, icu: str) -> DataFrame:
@@ -53,17 +53,16 @@ def group_profile(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count and share of the total per value."""
+    """Count and share of the total per value; the total is a scalar subquery."""
     counts = df.groupBy(*cols).agg(F.count("*").alias("n"))
-    # the grouped table is one row per value, so its total is a small window
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("share", F.col("n") / df.agg(F.count("*")).scalar())
 
 
 def weighted_group_mean(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Group mean times the group's share of all rows."""
     grouped = df.groupBy(*keys).agg(F.avg(col).alias("mean_value"), F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())
-    return grouped.withColumns({"share": share, "weighted_mean": F.col("mean_value") * share})
+    shared = grouped.withColumn("share", F.col("n") / df.agg(F.count("*")).scalar())
+    return shared.withColumn("weighted_mean", F.col("mean_value") * F.col("share"))
 
 
 QUARTILES = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
@@ -72,7 +71,8 @@ QUARTILES = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
 def group_median_order(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Box-plot numbers per group and the place of each group by its median."""
     boxes = exact_quantiles(df, keys, col, QUARTILES)
-    return boxes.withColumn("place", F.row_number().over(Window.orderBy("q50", *keys)))
+    placed = running(value_bucket(boxes, "q50"), [], "_bucket", [F.col("q50"), *[F.col(k) for k in keys]], {"place": F.lit(1)})
+    return placed.drop("_bucket")
 
 
 def distinct_counts(df: DataFrame, cols: list[str], approximate: bool = False) -> DataFrame:

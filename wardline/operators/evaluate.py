@@ -155,10 +155,8 @@ def chosen_by_ratio(digits: int = 3, band: float = 0.001) -> Column:
 
 def selection_frequency(coefs: DataFrame, model: list[str], chosen: Column) -> DataFrame:
     """How many models choose each variable, and the share of all models."""
-    n_models = coefs.agg(F.count_distinct(*model).alias("_models"))
-    counts = coefs.groupBy("variable").agg(F.count_if(chosen).alias("n"))
-    # a one-row total: this cross join adds a column, no rows
-    return counts.crossJoin(F.broadcast(n_models)).select("variable", "n", (F.col("n") / F.col("_models")).alias("share"))
+    n_models = coefs.agg(F.count_distinct(*model)).scalar()
+    return coefs.groupBy("variable").agg(F.count_if(chosen).alias("n")).withColumn("share", F.col("n") / n_models)
 
 
 def variables_per_model(coefs: DataFrame, model: list[str], chosen: Column) -> DataFrame:
@@ -181,11 +179,11 @@ def model_frequency(coefs: DataFrame, model: list[str], chosen: Column, k: int =
     """Most frequent variable sets with their share and running share, at most ``k``."""
     sets = _variable_sets(coefs, model, chosen).withColumn("variables", F.array_join("variables", ","))
     order = [F.col("n").desc(), F.col("variables").asc()]
-    total = F.sum("n").over(Window.partitionBy())
-    top = sets.withColumn("_all", total).orderBy(*order).limit(k)
+    n_models = coefs.agg(F.count_distinct(*model)).scalar()
+    top = sets.orderBy(*order).limit(k).withColumn("share", F.col("n") / n_models)
+    # at most k rows from here on
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return top.select("variables", "n", (F.col("n") / F.col("_all")).alias("share"),
-                      (F.sum("n").over(upto) / F.col("_all")).alias("cumulative_share"))
+    return top.withColumn("cumulative_share", F.sum("share").over(upto))
 
 
 def pair_frequency(coefs: DataFrame, model: list[str], chosen: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.scale import HOUR, null_safe_join, numbered, time_bucket
+from wardline.scale import HOUR, null_safe_join, numbered, running, time_bucket, value_bucket
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -77,10 +77,10 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def cumulative_share(counts: DataFrame, value: str, order: list[Column], name: str = "share",
+def cumulative_share(counts: DataFrame, value: str, tie: list[str], name: str = "share",
                      running_name: str = "cumulative_share") -> DataFrame:
-    """Share of the total and its running sum over an already grouped (report-sized) table."""
-    whole = Window.partitionBy()
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum(value).over(whole)
-    return counts.withColumns({name: F.col(value) / total, running_name: F.sum(value).over(upto) / total})
+    """Share of the total and its running sum, largest value first."""
+    total = counts.agg(F.sum(value)).scalar()
+    ordered = value_bucket(counts.withColumn("_down", -F.col(value)), "_down")
+    summed = running(ordered, [], "_bucket", [F.col("_down"), *[F.col(t) for t in tie]], {running_name: F.col(value)})
+    return summed.withColumns({name: F.col(value) / total, running_name: F.col(running_name) / total}).drop("_bucket", "_down")
