@@ -85,28 +85,44 @@ def brier(df: DataFrame, by: list[str], y: str = "y", p: str = "p", on: str = "p
     return df.groupBy(*by).agg(F.avg(F.pow(guess - F.col(y), F.lit(2.0))).alias("brier"))
 
 
-def _ranked_scores(df: DataFrame, by: list[str], y: str, p: str, rows_per_bucket: int) -> DataFrame:
+def _ranked_scores(df: DataFrame, by: list[str], y: str, p: str, rows_per_bucket: int, expected: int | None) -> DataFrame:
     """One row per group and distinct score with counts and running counts of both classes."""
-    counted = value_bucket(df.filter(F.col(p).isNotNull()), p, rows_per_bucket=rows_per_bucket).groupBy(*by, "_bucket", p).agg(
-        F.count_if(F.col(y) == 1).alias("_n1"), F.count_if(F.col(y) != 1).alias("_n0"))
+    cut = value_bucket(df.filter(F.col(p).isNotNull()), p, rows_per_bucket=rows_per_bucket, expected=expected)
+    counted = cut.groupBy(*by, "_bucket", p).agg(F.count_if(F.col(y) == 1).alias("_n1"), F.count_if(F.col(y) != 1).alias("_n0"))
     return running(counted, by, "_bucket", [F.col(p)], {"_c1": F.col("_n1"), "_c0": F.col("_n0")},
                    totals={"_c1": "_all1", "_c0": "_all0"})
 
 
-def roc_points(df: DataFrame, by: list[str], y: str = "y", p: str = "p", rows_per_bucket: int = 2_000_000) -> DataFrame:
+def roc_points(df: DataFrame, by: list[str], y: str = "y", p: str = "p", rows_per_bucket: int = 2_000_000,
+               expected: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr): rates when scores at or above the threshold count as positive."""
-    r = _ranked_scores(df, by, y, p, rows_per_bucket)
+    r = _ranked_scores(df, by, y, p, rows_per_bucket, expected)
     above = lambda c, n, total: F.try_divide(F.col(total) - F.col(c) + F.col(n), F.col(total))
     return r.select(*by, F.col(p).alias("threshold"), above("_c0", "_n0", "_all0").alias("fpr"),
                     above("_c1", "_n1", "_all1").alias("tpr"))
 
 
-def auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p", rows_per_bucket: int = 2_000_000) -> DataFrame:
-    """Area under the curve, ties counted half; a group with one class gives null. Never flipped."""
-    r = _ranked_scores(df, by, y, p, rows_per_bucket)
+def _auc() -> Column:
     # pairs won twice over, kept whole until the one division
     twice = F.col("_n1") * (2 * (F.col("_c0") - F.col("_n0")) + F.col("_n0"))
-    return r.groupBy(*by).agg(F.try_divide(F.sum(twice.cast("double")), (2 * F.max("_all1") * F.max("_all0")).cast("double")).alias("auc"))
+    return F.try_divide(F.sum(twice.cast("double")), (2 * F.max("_all1") * F.max("_all0")).cast("double"))
+
+
+def auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p", rows_per_bucket: int = 2_000_000,
+        expected: int | None = None) -> DataFrame:
+    """Area under the curve, ties counted half; a group with one class gives null. Never flipped."""
+    return _ranked_scores(df, by, y, p, rows_per_bucket, expected).groupBy(*by).agg(_auc().alias("auc"))
+
+
+def all_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", threshold: float = 0.5,
+                rows_per_bucket: int = 2_000_000, expected: int | None = None) -> DataFrame:
+    """AUC, 2x2 counts, rates and class Brier score per group from one grouping of the scores."""
+    hit = F.col(p) > threshold
+    count = lambda cond, n: F.sum(F.when(cond, F.col(n)).otherwise(0))
+    table = _ranked_scores(df, by, y, p, rows_per_bucket, expected).groupBy(*by).agg(
+        _auc().alias("auc"), count(hit, "_n1").alias("tp"), count(hit, "_n0").alias("fp"),
+        count(~hit, "_n1").alias("fn"), count(~hit, "_n0").alias("tn"))
+    return rates(table).withColumn("brier", 1 - F.col("accuracy"))
 
 
 def calibration(df: DataFrame, by: list[str], y: str = "y", p: str = "p", width: float = 0.1) -> DataFrame:

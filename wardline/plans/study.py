@@ -62,3 +62,36 @@ def heat_map(readings: DataFrame, measure: str, value: str, spec: dict, spread:
 
 def entity_timeline(intervals: DataFrame, entity: str) -> DataFrame:
     return reshape.timeline(intervals, entity, "source")
+
+
+def grid_design(readings: DataFrame, cohort: DataFrame, entity: str, measure: str, ts: str, value: str, tie: str, anchor: str,
+                rules: dict[str, list[dict]], days: list[int], options: list[str], outcomes: list[str], normal: str = "Normal",
+                sex: str | None = None, age: str | None = None) -> tuple[DataFrame, dict[int, dict[str, object]], list[str]]:
+    """0/1 abnormal and not-taken columns per measure for every window and reading option.
+
+    One pass over the day summaries serves all windows. Returns (rows with ``case``, settings of
+    each case, feature names).
+    """
+    cases = {i: {"days": d, "reading": o} for i, (d, o) in enumerate((d, o) for d in days for o in options)}
+    keep = [c for c in (sex, age) if c]
+    daily = rd.daily_readings(readings, entity, measure, ts, value, tie)
+    inside = daily.join(cohort.select(entity, F.col(anchor).cast("date").alias("_anchor"), *keep), entity)
+    gap = F.datediff("day", "_anchor")
+    inside = inside.filter((gap >= 0) & (gap < max(days))).withColumn("_days", F.explode(F.filter(F.array(*[F.lit(d) for d in days]), lambda d: gap < d)))
+    values = inside.groupBy(entity, measure, "_days", *keep).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("total") / F.sum("n")).alias("mean"), F.min("first").getField("value").alias("first"))
+    for o in options:
+        values = rd.band_all(values, measure, rules, o, f"_band_{o}", F.col(sex) if sex else None, F.col(age) if age else None)
+    long = values.unpivot([entity, measure, "_days"], [f"_band_{o}" for o in options], "_option", "band")
+    number = F.lit(None).cast("int")
+    for i, c in cases.items():
+        number = F.when((F.col("_days") == c["days"]) & (F.col("_option") == f"_band_{c['reading']}"), i).otherwise(number)
+    flags, names = [], []
+    for m in rules:
+        here = F.col(measure) == m
+        flags += [F.max(F.when(here, (F.col("band") != normal).cast("int"))).alias(f"{m}_abnormal")]
+        names += [f"{m}_abnormal", f"{m}_not_taken"]
+    wide = long.withColumn("case", number).groupBy(entity, "case").agg(*flags)
+    grid = cohort.select(entity, *outcomes, F.explode(F.array(*[F.lit(i) for i in cases])).alias("case")).join(wide, [entity, "case"], "left")
+    taken = {f"{m}_not_taken": F.col(f"{m}_abnormal").isNull().cast("int") for m in rules}
+    return grid.withColumns(taken).fillna(0, subset=[f"{m}_abnormal" for m in rules]), cases, names

@@ -28,14 +28,15 @@ def time_bucket(ts: str | Column, grain: int = HOUR) -> Column:
     return F.coalesce(F.floor(epoch(ts) / F.lit(grain * 1_000_000)), F.lit(LAST_BUCKET))
 
 
-def value_bucket(df: DataFrame, col: str, name: str = "_bucket",
-                 rows_per_bucket: int = 2_000_000, most: int = 2048) -> DataFrame:
+def value_bucket(df: DataFrame, col: str, name: str = "_bucket", rows_per_bucket: int = 2_000_000,
+                 most: int = 2048, expected: int | None = None) -> DataFrame:
     """Add consecutive buckets of about equal row count along a numeric column.
 
-    One pass counts the rows and sketches the quantiles; the sketch only balances the buckets,
-    results stay exact. Small inputs get a single bucket.
+    Rows are counted (unless the caller has a bound, ``expected``) and, if there are many, their
+    quantiles sketched; the sketch only balances the buckets, results stay exact. Small inputs
+    get a single bucket.
     """
-    n = df.agg(F.count(col)).first()[0]
+    n = expected if expected is not None else df.agg(F.count(col)).first()[0]
     wanted = min(most, -(-n // rows_per_bucket))
     if wanted <= 1:
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.lit(0)).otherwise(F.lit(LAST_BUCKET)).cast("bigint"))
