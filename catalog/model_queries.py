@@ -9,7 +9,7 @@ from catalog.registry import query
 from catalog.summary_queries import rounded
 from wardline.operators import evaluate, grid, impute, learn, prep
 from wardline.plans import mortality, study
-from wardline.session import cut_lineage
+from wardline.session import attach_small, cut_lineage
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount"]
 
@@ -347,7 +347,7 @@ def forward_select(t):
 
 @query("run_grid")
 def run_grid(t):
-    late = t.events.join(st.anchors(t).select("user_id", "anchor"), "user_id").filter(F.datediff("ts", "anchor") >= 8)
+    late = attach_small(t.events.select("event_id", "user_id", "ts", "event_type", "value"), st.anchors(t).select("user_id", "anchor"), ["user_id"], ["event_id"]).filter(F.datediff("ts", "anchor") >= 8)
     outcome = late.groupBy("user_id").agg(F.max((F.col("event_type") == "error").cast("int") * F.col("value")).alias("_e"),
                                           F.max((F.col("event_type") == "purchase").cast("int") * F.col("value")).alias("_p"))
     cohort = cut_lineage(st.anchors(t).join(outcome, "user_id").select("user_id", "anchor", "sex", "age", (F.col("_e") > 120).cast("int").alias("late_error"),

@@ -51,43 +51,82 @@ def _grain(seconds: float, pieces: int) -> int:
     return max(60, int(-(-seconds // pieces)))
 
 
+def _first_in_range(probes: DataFrame, right: DataFrame, keys: list[str], right_ts: str, payload: list[str], tie: list[str],
+                    hours: float, pieces: int) -> DataFrame:
+    """Earliest right row with ``_lo`` <= time <= ``_hi`` for every probe, as struct ``_found`` (at, tie, payload).
+
+    The time axis is cut into buckets of 1/``pieces`` of the longest range. The answer lies in the
+    bucket of ``_lo``, found by one ordered pass over (key, bucket), or in one of the next
+    ``pieces`` buckets, found by a table that holds the first right row of those per bucket. So a
+    key with very many rows is spread over its buckets, no pairs are formed, and the probes are
+    exchanged once.
+    """
+    grain = _grain(hours * 3600.0, pieces)
+    ahead = int(hours * 3600.0 // grain) + 1
+    at = F.struct(F.col(right_ts).alias("at"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)], *[F.col(c).alias(f"p_{c}") for c in dict.fromkeys(payload)])
+    rights = right.filter(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("_ts"), at.alias("_right"))
+    rights = rights.withColumn("_bucket", time_bucket("_ts", grain))
+    first = rights.groupBy(*keys, "_bucket").agg(F.min("_right").alias("_head"))
+    later = first.withColumn("_bucket", F.explode(F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda i: F.col("_bucket") - i)))
+    later = later.groupBy(*keys, "_bucket").agg(F.min("_head").alias("_next"))
+    carried = F.struct(*[c for c in probes.columns])
+    rows = probes.select(*keys, F.col("_lo").alias("_ts"), time_bucket("_lo", grain).alias("_bucket"), carried.alias("_probe")).unionByName(
+        rights, allowMissingColumns=True)
+    # read from the end: the last right row seen is the first at or after the probe
+    backward = Window.partitionBy(*keys, "_bucket").orderBy(F.col("_ts").desc(), F.col("_right").desc_nulls_last())
+    backward = backward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("_near", F.last("_right", ignorenulls=True).over(backward)).filter(F.col("_probe").isNotNull())
+    found = seen.join(later, [*keys, "_bucket"], "left").withColumn("_found", F.coalesce("_near", "_next"))
+    keyed = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    inside = keyed & (F.col("_found.at") <= F.col("_probe._hi"))
+    return found.select("_probe.*", F.when(inside, F.col("_found")).alias("_found"))
+
+
+MICRO = "INTERVAL '0.000001' SECOND"
+
+
 def window_match(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
                  hours_before: float, hours_after: float, payload: list[str], name: str = "match",
                  lower_inclusive: bool = True, upper_inclusive: bool = True, tie: list[str] | None = None,
                  pieces: int = 8) -> DataFrame:
     """Every left row with the earliest right row in [ts - before, ts + after], or null.
 
-    This is the interval join as its users need it, each row with its first match, without
-    forming the pairs. The time axis is cut into buckets of 1/``pieces`` of the window. A match
-    lies in the bucket where the window starts, found by one ordered pass over (key, bucket),
-    or in one of the next ``pieces`` buckets, found by a table that holds the first right row of
-    those per bucket. So a key with very many rows is spread over its buckets, and ``left`` is
-    exchanged once. ``hours_before`` may be negative for windows after the row.
+    This is the interval join as its users need it: each row with its first match (ties by
+    ``tie``). ``hours_before`` may be negative for windows after the row.
     """
-    tie = tie or []
-    width = (hours_before + hours_after) * 3600.0
-    grain = _grain(width, pieces)
-    ahead = int(-(-width // grain)) + (0 if width % grain else 1)
-    fields = F.struct(*[F.col(c) for c in dict.fromkeys(payload)])
-    rights = right.filter(F.col(right_ts).isNotNull()).select(
-        *keys, F.col(right_ts).alias("_ts"), F.struct(F.col(right_ts).alias("at"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("_ord"),
-        fields.alias("_right")).withColumn("_bucket", time_bucket("_ts", grain))
-    first = rights.groupBy(*keys, "_bucket").agg(F.min(F.struct("_ord", "_right")).alias("_head"))
-    later = first.withColumn("_bucket", F.explode(F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda i: F.col("_bucket") - i)))
-    later = later.groupBy(*keys, "_bucket").agg(F.min("_head").alias("_next"))
-    lefts = left.select(*keys, _moved(left_ts, -hours_before).alias("_ts"), F.struct(*left.columns).alias("_left"))
-    lefts = lefts.withColumn("_bucket", time_bucket("_ts", grain))
-    side = F.when(F.col("_left").isNotNull(), 1 if lower_inclusive else 0).otherwise(0 if lower_inclusive else 1)
-    rows = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_side", side)
-    backward = Window.partitionBy(*keys, "_bucket").orderBy(F.col("_ts").desc(), F.col("_side"), F.col("_ord").desc())
-    backward = backward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = F.when(F.col("_ord").isNotNull(), F.struct("_ord", "_right"))
-    seen = rows.withColumn("_near", F.last(here, ignorenulls=True).over(backward)).filter(F.col("_left").isNotNull())
-    found = seen.join(later, [*keys, "_bucket"], "left").withColumn("_m", F.coalesce("_near", "_next"))
-    limit, at = F.col(f"_left.{left_ts}") + F.expr(f"INTERVAL '{int(round(hours_after * 3600))}' SECOND"), F.col("_m._ord.at")
-    keyed = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
-    inside = keyed & (at <= limit if upper_inclusive else at < limit)
-    return found.select("_left.*", F.when(inside, F.col("_m._right")).alias(name))
+    lo, hi = _moved(left_ts, -hours_before), _moved(left_ts, hours_after)
+    lo = lo if lower_inclusive else lo + F.expr(MICRO)
+    hi = hi if upper_inclusive else hi - F.expr(MICRO)
+    probes = left.withColumns({"_lo": lo, "_hi": hi})
+    found = _first_in_range(probes, right, keys, right_ts, payload, tie or [], hours_before + hours_after, pieces)
+    kept = F.struct(*[F.col(f"_found.p_{c}").alias(c) for c in dict.fromkeys(payload)])
+    return found.withColumn(name, F.when(F.col("_found").isNotNull(), kept)).drop("_lo", "_hi", "_found")
+
+
+def window_match_many(left: DataFrame, row_key: list[str], keys: list[str], probes: dict[str, tuple[str, Column, Column]],
+                      series: dict[str, tuple[DataFrame, str]], payload: list[str], tie: list[str], hours: float,
+                      pieces: int = 8) -> DataFrame:
+    """Several first matches per left row in one pass.
+
+    ``probes`` maps a result name to (series, lowest time, highest time), both ends in; ``series``
+    maps a name to (right rows, their time column). Every result is a struct (time, payload...).
+    ``row_key`` identifies a left row; ``hours`` bounds the length of any range.
+    """
+    number = {s: i for i, s in enumerate(series)}
+    asked = F.array(*[F.struct(F.lit(i).alias("_probe"), F.lit(number[s]).alias("_series"), lo.alias("_lo"), hi.alias("_hi"))
+                      for i, (s, lo, hi) in enumerate(probes.values())])
+    whole = F.struct(*left.columns)
+    rows = left.select(*dict.fromkeys([*keys, *row_key]), whole.alias("_whole"), F.explode(asked).alias("_a"))
+    # the left row itself travels with its first probe only
+    rows = rows.select(*dict.fromkeys([*keys, *row_key]), "_a.*", F.when(F.col("_a._probe") == 0, F.col("_whole")).alias("_whole"))
+    fields = list(dict.fromkeys([*payload, *tie]))
+    rights = reduce(lambda x, y: x.unionByName(y), [
+        df.select(*keys, F.lit(number[s]).alias("_series"), F.col(ts).cast("timestamp_ntz").alias("_time"), *fields) for s, (df, ts) in series.items()])
+    found = _first_in_range(rows, rights, [*keys, "_series"], "_time", payload, tie, hours, pieces)
+    kept = F.when(F.col("_found").isNotNull(), F.struct(F.col("_found.at").alias("time"), *[F.col(f"_found.p_{c}").alias(c) for c in dict.fromkeys(payload)]))
+    results = [F.first(F.when(F.col("_probe") == i, kept), ignorenulls=True).alias(n) for i, n in enumerate(probes)]
+    gathered = found.groupBy(*row_key).agg(F.first("_whole", ignorenulls=True).alias("_whole"), *results)
+    return gathered.select("_whole.*", *probes)
 
 
 def window_sums(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
@@ -118,37 +157,35 @@ def window_sums(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
     return joined.select("_left.*", *[(F.col(f"_s_v_{n}") + F.coalesce(f"_o_v_{n}", F.lit(0.0))).alias(n) for n in sums])
 
 
-def window_match_precision(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
-                           right_date: str, after_right: tuple[float, int] | None, before_right: tuple[float, int] | None,
-                           payload: list[str], name: str, tie: list[str], pieces: int = 8) -> DataFrame:
+def window_match_precision(left: DataFrame, right: DataFrame, row_key: list[str], keys: list[str], left_ts: str, right_ts: str,
+                           right_date: str, reach: dict[str, tuple[str, int, int]], payload: list[str], tie: list[str],
+                           pieces: int = 8) -> DataFrame:
     """Earliest right row around each left row, by time where known, else by date.
 
-    ``after_right=(hours, days)``: the left row follows the right one, right in [ts - hours, ts)
-    or, without a time, date in [day - days, day]. ``before_right``: the left row precedes, right
-    in (ts, ts + hours] or date in [day, day + days]. The earliest by (date, time, no time last)
-    is kept.
+    ``reach`` maps a result name to (side, hours, days). Side ``earlier``: the right row comes
+    first, in [ts - hours, ts) or, without a time, on a day in [day - days, day]. Side ``later``:
+    in (ts, ts + hours] or on a day in [day, day + days]. The earliest by (date, time, no time
+    last) is kept as a struct (time, payload...).
     """
-    hours, days = after_right or before_right
     timed = right.filter(F.col(right_ts).isNotNull())
-    dated = right.filter(F.col(right_ts).isNull()).withColumn("_day", F.col(right_date).cast("timestamp_ntz"))
-    fields = list(dict.fromkeys([*payload, *tie]))
-    if after_right:
-        l = window_match(left, timed, keys, left_ts, right_ts, hours, 0, [right_ts, *fields], "_timed",
-                         True, False, tie, pieces)
-        span = (24.0 * days, 0.0)
-    else:
-        l = window_match(left, timed, keys, left_ts, right_ts, 0, hours, [right_ts, *fields], "_timed",
-                         False, True, tie, pieces)
-        span = (0.0, 24.0 * days)
-    l = l.withColumn("_today", F.col(left_ts).cast("date").cast("timestamp_ntz"))
-    l = window_match(l, dated, keys, "_today", "_day", *span, ["_day", *fields], "_dated", True, True, tie, pieces)
-    # a row with a time ranks before a row without one on the same day
-    timed_first = F.col(f"_timed.{right_ts}").cast("date") <= F.col("_dated._day").cast("date")
-    pack = lambda s, at: F.struct(at.alias("time"), *[F.col(f"{s}.{c}").alias(c) for c in payload])
-    by_time, by_date = pack("_timed", F.col(f"_timed.{right_ts}")), pack("_dated", F.col("_dated._day"))
-    chosen = F.when(F.col("_timed").isNotNull() & (F.col("_dated").isNull() | timed_first), by_time).when(
-        F.col("_dated").isNotNull(), by_date)
-    return l.withColumn(name, chosen).drop("_timed", "_dated", "_today")
+    dated = right.filter(F.col(right_ts).isNull() & F.col(right_date).isNotNull())
+    ts, day, micro = F.col(left_ts), F.col(left_ts).cast("date").cast("timestamp_ntz"), F.expr(MICRO)
+    probes = {}
+    for name, (side, hours, days) in reach.items():
+        if side == "earlier":
+            probes[f"_timed_{name}"] = ("timed", _moved(left_ts, -hours), ts - micro)
+            probes[f"_dated_{name}"] = ("dated", day - F.expr(f"INTERVAL '{days}' DAY"), day)
+        else:
+            probes[f"_timed_{name}"] = ("timed", ts + micro, _moved(left_ts, hours))
+            probes[f"_dated_{name}"] = ("dated", day, day + F.expr(f"INTERVAL '{days}' DAY"))
+    longest = max(max(h, 24 * d) for _, h, d in reach.values())
+    out = window_match_many(left, row_key, keys, probes, {"timed": (timed, right_ts), "dated": (dated, right_date)}, payload, tie, longest, pieces)
+    for name in reach:
+        by_time, by_date = F.col(f"_timed_{name}"), F.col(f"_dated_{name}")
+        # a row with a time ranks before a row without one on the same day
+        first = by_date.isNull() | (by_time["time"].cast("date") <= by_date["time"].cast("date"))
+        out = out.withColumn(name, F.when(by_time.isNotNull() & first, by_time).otherwise(by_date))
+    return out.drop(*probes)
 
 
 def asof_latest_before(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.scale import HOUR, null_safe_join, numbered, running, time_bucket, value_bucket
+from wardline.scale import HOUR, numbered, running, time_bucket, value_bucket
+from wardline.session import salted_join
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -43,7 +44,7 @@ def sequence_id(df: DataFrame, keys: list[str], ts: str, order: list[Column], na
 def dense_sequence(df: DataFrame, keys: list[str], ts: str, name: str, grain: int = HOUR) -> DataFrame:
     """Dense rank of a time per key: the distinct times are numbered and joined back."""
     times = numbered(df.select(*keys, ts).distinct(), keys, time_bucket(ts, grain), [F.col(ts).asc_nulls_last()], name)
-    return null_safe_join(df, times, [*keys, ts])
+    return salted_join(df, times, [*keys, ts], df.columns, salts=4, null_safe=True)
 
 
 def stay_sequence(stays: DataFrame, patient: str, admission: str, admitted: str, entered: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import parent_sequence, prefixes
-from wardline.session import cut_lineage, small_table
+from wardline.session import attach_small, cut_lineage
 
 
 def sequence_depth(df: DataFrame, half_depth: str = "depth", mover: str = "made_move") -> DataFrame:
@@ -33,9 +35,9 @@ def label_by_prefix(df: DataFrame, seq: str, key: list[str], book: DataFrame, bo
     match of more than that, up to ``late`` moves.
     """
     names = book.groupBy(F.col(book_seq).alias("_prefix")).agg(F.min(label).alias("_name"))
-    local = small_table(names)
     tried = df.select(*key, F.explode(prefixes(seq, late)).alias("_prefix"))
-    found = tried.join(F.broadcast(local) if local is not None else names, "_prefix").withColumn("_len", F.size("_prefix"))
+    # a common first move is a hot key
+    found = attach_small(tried, names, ["_prefix"], key).withColumn("_len", F.size("_prefix"))
     # each sequence has at most ``late`` prefixes, so this group stays small
     best = found.groupBy(*key).agg(
         F.max_by("_name", F.when(F.col("_len") <= early, F.col("_len"))).alias("early_label"),
@@ -52,39 +54,34 @@ def carry_forward_label(nodes: DataFrame, seq: str, label: str, name: str = "car
     named = nodes.filter(F.col(label).isNotNull()).select(F.col(seq).alias("_prefix"), F.col(label).alias("_name"))
     bare = nodes.filter(F.col(label).isNull())
     tried = bare.select(seq, F.explode(prefixes(seq)).alias("_prefix"))
-    best = tried.join(named, "_prefix").groupBy(seq).agg(F.max_by("_name", F.size("_prefix")).alias("_near"))
+    best = attach_small(tried, named, ["_prefix"], [seq]).groupBy(seq).agg(F.max_by("_name", F.size("_prefix")).alias("_near"))
     return nodes.join(best, seq, "left").withColumn(name, F.coalesce(label, "_near")).drop("_near")
 
 
-def rollup_tree(nodes: DataFrame, seq: str, value: str, max_depth: int, cut_every: int = 6) -> DataFrame:
+def rollup_tree(nodes: DataFrame, seq: str, value: str, max_depth: int) -> DataFrame:
     """Roll values up from the leaves, level by level.
 
     A node without children carries its own value (spread 0). Any other node takes the largest
     maximum, the smallest minimum, the mean and the population deviation of its children's means.
-    A mean of child means is not a mean over leaves, so no level can be skipped.
+    A mean of child means is not a mean over leaves, so no level can be skipped. Each level reads
+    only the one below, which is checkpointed, so the work is one pass over the nodes in all.
     """
-    v = F.col(value).cast("double")
     cols = ["max_value", "min_value", "avg_value", "sd_value"]
+    own = cut_lineage(nodes.filter(F.size(seq).between(1, max_depth)).withColumn("_own", F.col(value).cast("double")))
     below, done = None, []
     for depth in range(max_depth, 0, -1):
-        here = nodes.filter(F.size(seq) == depth).select(seq, v.alias("_own"))
+        here = own.filter(F.size(seq) == depth)
         if below is None:
-            level = here.select(seq, F.col("_own").alias("max_value"), F.col("_own").alias("min_value"),
-                                F.col("_own").alias("avg_value"), F.lit(0.0).alias("sd_value"))
+            level = here.withColumns({c: F.col("_own") for c in cols[:3]}).withColumn("sd_value", F.lit(0.0))
         else:
             up = below.groupBy(parent_sequence(seq).alias(seq)).agg(
-                F.max("max_value").alias("max_value"), F.min("min_value").alias("min_value"),
-                F.avg("avg_value").alias("_avg"), F.stddev_pop("avg_value").alias("sd_value")).withColumnRenamed("_avg", "avg_value")
-            joined = here.join(up, seq, "left")
-            level = joined.select(seq, *[F.coalesce(F.col(c), F.lit(0.0) if c == "sd_value" else F.col("_own")).alias(c) for c in cols])
-        if (max_depth - depth) % cut_every == cut_every - 1:
-            level = cut_lineage(level)
-        done.append(level)
-        below = level
-    out = done[0]
-    for level in done[1:]:
-        out = out.unionByName(level)
-    return nodes.filter(F.size(seq) <= max_depth).join(out, seq)
+                F.max("max_value").alias("_max"), F.min("min_value").alias("_min"), F.avg("avg_value").alias("_avg"),
+                F.stddev_pop("avg_value").alias("_sd"))
+            carried = [F.coalesce(u, F.col("_own")).alias(c) for u, c in zip(("_max", "_min", "_avg"), cols)]
+            level = here.join(up, seq, "left").select(*here.columns, *carried, F.coalesce("_sd", F.lit(0.0)).alias("sd_value"))
+        below = cut_lineage(level)
+        done.append(below)
+    return reduce(lambda a, b: a.unionByName(b), done).drop("_own")
 
 
 def risk_score(mean: str = "avg_value", sd: str = "sd_value") -> Column:

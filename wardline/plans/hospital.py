@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions.scalars import age_at, days_between, hours_between
 from wardline.operators import aggregates, codes, matching, ranking, select
 from wardline.scale import HOUR
-from wardline.session import cut_lineage
+from wardline.session import cut_lineage, salted_join
 
 SCORE_PARTS = ["respiration", "coagulation", "liver", "cardiovascular", "cns", "renal"]
 
@@ -23,11 +23,9 @@ def suspicion_of_infection(antibiotic: DataFrame, microbiology: DataFrame, grain
     abx = ranking.sequence_id(antibiotic, ["subject_id"], "starttime", order, "ab_id", grain)
     cultures = aggregates.collapse_duplicates(microbiology, "micro_specimen_id",
                                               ["subject_id", "chartdate", "charttime", "spec_type_desc"], "org_name", "positive")
-    wanted, tie = ["spec_type_desc", "positive"], ["micro_specimen_id"]
-    both = matching.window_match_precision(abx, cultures, ["subject_id"], "starttime", "charttime", "chartdate",
-                                           (72, 3), None, wanted, "_before", tie)
-    both = matching.window_match_precision(both, cultures, ["subject_id"], "starttime", "charttime", "chartdate",
-                                           None, (24, 1), wanted, "_after", tie)
+    both = matching.window_match_precision(
+        abx, cultures, ["subject_id", "ab_id"], ["subject_id"], "starttime", "charttime", "chartdate",
+        {"_before": ("earlier", 72, 3), "_after": ("later", 24, 1)}, ["spec_type_desc", "positive"], ["micro_specimen_id"])
     last, nxt = "_before", "_after"
     either = lambda f: F.coalesce(F.col(f"{last}.{f}"), F.col(f"{nxt}.{f}"))
     found = either("spec_type_desc").isNotNull()
@@ -148,7 +146,8 @@ def patient_flags(flags: DataFrame) -> DataFrame:
 
 def unit_flags(flags: DataFrame, stays: DataFrame) -> DataFrame:
     """Admission flags with the care units of each stay (admissions with a unit stay only)."""
-    return flags.join(stays.select("hadm_id", "first_careunit", "last_careunit"), "hadm_id")
+    units = stays.select("hadm_id", "stay_id", "first_careunit", "last_careunit")
+    return salted_join(units, flags, ["hadm_id"], ["stay_id"]).drop("stay_id").select("subject_id", "hadm_id", *SEPSIS_FLAGS, "first_careunit", "last_careunit")
 
 
 def demographics(patients: DataFrame, admissions: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Runtime settings every plan here relies on. All are plain SQL settings, so a
@@ -56,17 +57,26 @@ def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
+def _equal(on: list[str], null_safe: bool) -> Column:
+    """Condition of ``on`` columns against their ``_r_`` copies."""
+    test = (lambda c: F.col(c).eqNullSafe(F.col(f"_r_{c}"))) if null_safe else (lambda c: F.col(c) == F.col(f"_r_{c}"))
+    return reduce(lambda a, b: a & b, [test(c) for c in on])
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[str],
-                how: str = "inner", salts: int = 16) -> DataFrame:
+                how: str = "inner", salts: int = 16, null_safe: bool = False) -> DataFrame:
     """Equi-join where a few ``on`` values may hold most of ``big``.
 
     ``small`` holds one row per key. Each of its rows is copied once per salt and the rows of
     ``big`` are spread over the salts by a hash of ``spread`` (columns that differ inside a hot
-    key), so one key is served by ``salts`` tasks. Nothing is dropped.
+    key), so one key is served by ``salts`` tasks. Nothing is dropped. It is for sides that Spark
+    cannot split by itself, such as one grouped by the join key.
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, on + ["_salt"], how).drop("_salt")
+    copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    right = small.withColumnsRenamed({c: f"_r_{c}" for c in on}).withColumn("_r_salt", copies)
+    cond = (F.col("_salt") == F.col("_r_salt")) & _equal(on, null_safe)
+    return left.join(right, cond, how).drop("_salt", "_r_salt", *[f"_r_{c}" for c in on])
 
 
 def attach_small(big: DataFrame, small: DataFrame, on: list[str], spread: list[str],
