@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.session import small_table
+
 RULES = Path(__file__).resolve().parent.parent / "rules"
 
 Conditions = dict[str, dict[int, list[str]]]
@@ -27,29 +29,58 @@ def load_conditions(path: str | Path) -> Conditions:
     return out
 
 
-def matches(code: Column, tokens: list[str]) -> Column:
-    """One expression per token width, so it stays a few set lookups in generated code."""
-    exact = [t[1:] for t in tokens if t.startswith("=")]
-    ranges = [t.split("-") for t in tokens if "-" in t and not t.startswith("=")]
-    widths: dict[int, list[str]] = {}
-    for t in tokens:
-        if "-" not in t and not t.startswith("="):
-            widths.setdefault(len(t), []).append(t)
-    tests = [F.substring(code, 1, w).isin(v) for w, v in sorted(widths.items())]
-    tests += [F.substring(code, 1, len(lo)).between(lo, hi) for lo, hi in ranges]
-    tests += [code.isin(exact)] if exact else []
-    return reduce(lambda a, b: a | b, tests)
+def code_hits(rows: DataFrame, conditions: Conditions) -> DataFrame:
+    """Bits of the conditions each row's ``_code`` meets, one row per hit (``_bit``).
+
+    A code is held against the rule table by its prefixes of the widths the rules use, so the
+    work per code does not grow with the number of rules. The rule tables hold one row per token.
+    """
+    prefixes, ranges = [], []
+    for bit, by_version in enumerate(conditions.values()):
+        for version, tokens in by_version.items():
+            for t in tokens:
+                if t.startswith("="):
+                    prefixes.append((version, 0, t[1:], 1 << bit))
+                elif "-" in t:
+                    lo, hi = t.split("-")
+                    ranges.append((version, len(lo), lo, hi, 1 << bit))
+                else:
+                    prefixes.append((version, len(t), t, 1 << bit))
+    widths = sorted({w for _, w, *_ in prefixes + ranges if w})
+    cuts = [F.struct(F.lit(0).alias("_width"), F.col("_code").alias("_prefix"))]
+    cuts += [F.struct(F.lit(w).alias("_width"), F.substring("_code", 1, w).alias("_prefix")) for w in widths]
+    cut = rows.withColumn("_cut", F.explode(F.array(*cuts))).select(*rows.columns, "_cut.*")
+    spark = rows.sparkSession
+    listed = spark.createDataFrame(prefixes, "_version int, _width int, _prefix string, _bit bigint").groupBy(
+        "_version", "_width", "_prefix").agg(F.bit_or("_bit").alias("_bit"))
+    hits = cut.join(F.broadcast(listed), ["_version", "_width", "_prefix"])
+    if not ranges:
+        return hits.select(*rows.columns, "_bit")
+    spans = spark.createDataFrame(ranges, "_version int, _width int, _lo string, _hi string, _bit bigint")
+    inside = cut.join(F.broadcast(spans), ["_version", "_width"]).filter(F.col("_prefix").between(F.col("_lo"), F.col("_hi")))
+    return hits.select(*rows.columns, "_bit").unionByName(inside.select(*rows.columns, "_bit"))
 
 
 def any_code_flag(codes: DataFrame, entity: str, version: str, code: str, conditions: Conditions,
-                  trim: bool = False) -> DataFrame:
-    """0/1 flag per entity and condition; both code versions in one pass and one exchange."""
-    text = F.trim(F.col(code)) if trim else F.col(code)
+                  trim: bool = False, max_codes: int = 200_000) -> DataFrame:
+    """0/1 flag per entity and condition; both code versions and all conditions in one exchange.
 
-    def met(by_version: dict[int, list[str]]) -> Column:
-        return reduce(lambda a, b: a | b, [(F.col(version) == v) & matches(text, tokens) for v, tokens in by_version.items()])
-
-    return codes.groupBy(entity).agg(*[F.max(F.when(met(c), 1).otherwise(0)).alias(n) for n, c in conditions.items()])
+    The rules are tested once per distinct code, not once per row: the codes that meet any rule
+    make a table of proven size, which is broadcast. If there are too many of them the rows
+    themselves are held against the rule table. Flags travel as bits of one number.
+    """
+    text = F.trim(F.col(code)) if trim else F.col(code)
+    rows = codes.select(F.col(entity), F.col(version).cast("int").alias("_version"), text.alias("_code"))
+    listed = code_hits(rows.select("_version", "_code").distinct(), conditions).groupBy("_version", "_code").agg(F.bit_or("_bit").alias("_bit"))
+    local = small_table(listed, max_codes)
+    if local is not None:
+        masked = rows.join(F.broadcast(local), ["_version", "_code"], "left").select(entity, "_bit")
+    else:
+        none = rows.select(entity).withColumn("_bit", F.lit(0).cast("bigint"))
+        masked = code_hits(rows, conditions).select(entity, "_bit").unionByName(none)
+    met = masked.groupBy(entity).agg(F.coalesce(F.bit_or("_bit"), F.lit(0).cast("bigint")).alias("_met"))
+    return met.select(entity, *[F.shiftright(F.col("_met"), bit).bitwiseAND(F.lit(1)).cast("int").alias(name)
+                                for bit, name in enumerate(conditions)])
 
 
 def with_all_entities(flags: DataFrame, entities: DataFrame, entity: str) -> DataFrame:

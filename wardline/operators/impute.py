@@ -137,7 +137,8 @@ def knn_impute(df: DataFrame, key: str, cols: list[str], k: int = 2, leaf_rows:
     repeated rows cost nothing.
     """
     width = len(cols)
-    values = F.array(*[F.col(c).cast("double") for c in cols])
+    # adding zero turns a negative zero into a plain one, so equal points have equal text
+    values = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols])
     rows = df.select(F.col(key).cast("bigint").alias("id"), values.alias("v"))
     gaps = F.exists("v", lambda x: x.isNull())
     told = rows.filter(F.exists("v", lambda x: x.isNotNull()))

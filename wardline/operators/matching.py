@@ -154,7 +154,10 @@ def window_sums(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str
     sweep = Window.partitionBy(*keys, "_bucket").orderBy("_ts", "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = rows.withColumns({f"_s{v}": F.coalesce(F.sum(v).over(sweep), F.lit(0.0)) for v in values}).filter(F.col("_left").isNotNull())
     joined = swept.join(offsets, [*keys, "_bucket"], "left")
-    return joined.select("_left.*", *[(F.col(f"_s_v_{n}") + F.coalesce(f"_o_v_{n}", F.lit(0.0))).alias(n) for n in sums])
+    # a row without a key or time matches nothing
+    usable = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, "_ts"]])
+    total = {n: F.col(f"_s_v_{n}") + F.coalesce(f"_o_v_{n}", F.lit(0.0)) for n in sums}
+    return joined.select("_left.*", *[F.when(usable, v).otherwise(0.0).alias(n) for n, v in total.items()])
 
 
 def window_match_precision(left: DataFrame, right: DataFrame, row_key: list[str], keys: list[str], left_ts: str, right_ts: str,

@@ -70,7 +70,7 @@ def load_bands(path: str | Path = RULES / "bands.csv") -> dict[str, list[dict]]:
     return out
 
 
-def _holds(value: Column, row: dict, sex: Column | None, age: Column | None) -> Column:
+def _holds(value: Column, row: dict, sex: Column, age: Column) -> Column:
     tests = []
     if row["lower"]:
         lim = F.lit(float(row["lower"]))
@@ -93,7 +93,12 @@ def _holds(value: Column, row: dict, sex: Column | None, age: Column | None) ->
 
 def band(value: Column, rules: list[dict], sex: Column | None = None, age: Column | None = None,
          default: str = "Normal") -> Column:
-    """Level of a value: the first rule that holds, else ``default``; null stays null."""
+    """Level of a value: the first rule that holds, else ``default``; null stays null.
+
+    Without ``sex`` or ``age`` these count as unknown: only rules open to that can hold.
+    """
+    sex = F.lit(None).cast("string") if sex is None else sex
+    age = F.lit(None).cast("double") if age is None else age
     out = F.when(value.isNotNull(), F.lit(default))
     for row in reversed(rules):
         out = F.when(_holds(value, row, sex, age), F.lit(row["level"])).otherwise(out)

@@ -135,10 +135,17 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, f
                     rows_per_bucket: int = 2_000_000) -> DataFrame:
     """Interpolated quantiles per key (the usual type 7), exact, without one task per key.
 
-    Equal values are counted before the exchange; ranks come from bucketed running counts.
+    Inputs counted as small use the built-in aggregate, which holds a group's values in memory.
+    Otherwise equal values are counted before the exchange and ranks come from bucketed running
+    counts.
     """
     valued = df.filter(F.col(col).isNotNull())
-    counted = value_bucket(valued, col, rows_per_bucket=rows_per_bucket).groupBy(*keys, "_bucket", col).agg(
+    n = valued.count()
+    if n <= rows_per_bucket:
+        all_probs = F.array(*[F.lit(float(p)) for p in probs.values()])
+        table = valued.groupBy(*keys).agg(F.percentile(F.col(col).cast("double"), all_probs).alias("_q"))
+        return table.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+    counted = value_bucket(valued, col, rows_per_bucket=rows_per_bucket, expected=n).groupBy(*keys, "_bucket", col).agg(
         F.count("*").alias("_n"))
     ranked = running(counted, keys, "_bucket", [F.col(col)], {"_upto": F.col("_n")}, totals={"_upto": "_all"})
     picks, final = [], {}
