@@ -8,6 +8,7 @@ from catalog import roles as r
 from catalog.registry import query
 from wardline.operators import codes, select
 from wardline.plans import hospital
+from wardline.session import cut_lineage
 
 EVENT_ROLES = (r.ANTIBIOTICS_SQL, r.CULTURES_SQL, r.SUSPICION_SQL)
 
@@ -70,7 +71,12 @@ def age_at_event(t):
 
 @query("stay_detail", r.with_roles(r.PATIENTS_SQL, r.ADMISSIONS_SQL, r.STAYS_SQL, r.DETAIL_SQL, body="SELECT * FROM detail"))
 def stay_detail(t):
-    return hospital.stay_detail(r.stays(t), r.admissions(t), r.patients(t))
+    return detail_table(t)
+
+
+def detail_table(t):
+    """The stays and admissions made from the driver's tables are written first, as they are tables in their own right."""
+    return hospital.stay_detail(cut_lineage(r.stays(t)), cut_lineage(r.admissions(t)), r.patients(t))
 
 
 # --- code sets -----------------------------------------------------------------------
@@ -197,8 +203,10 @@ SELECT d.*, price_min, price_max, quantity_min, quantity_max, quantity_mean, tro
 FROM (SELECT stay_id FROM detail WHERE hospital_expire_flag = 1) c JOIN detail d ON c.stay_id = d.stay_id
 JOIN labs ON d.stay_id = labs.stay_id JOIN vit ON d.stay_id = vit.stay_id LEFT JOIN mark ON d.hadm_id = mark.hadm_id"""))
 def feature_table(t):
-    detail = hospital.stay_detail(r.stays(t), r.admissions(t), r.patients(t))
-    died = r.stays(t).join(r.admissions(t).filter("hospital_expire_flag = 1").select("hadm_id"), "hadm_id").select("stay_id")
+    detail = detail_table(t)
+    ended = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("hadm_id"))
+    line = t.lineitem.select(F.col("l_orderkey").alias("hadm_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("stay_id")).distinct()
+    died = line.join(ended, "hadm_id").select("stay_id")
     labs, vit, marks = first_day_tables(t)
     return hospital.first_day_features(died, detail, labs, vit, marks)
 

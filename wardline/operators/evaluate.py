@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.scale import hash_key, hash_numbered, running, value_bucket
+from wardline.session import cut_lineage
 
 
 # --- splits ----------------------------------------------------------------------
@@ -46,7 +47,8 @@ def repeated_folds(df: DataFrame, key: str, outcome: str, repeats: int, k: int,
     """
     attempt = {r: 0 for r in range(1, repeats + 1)}
     for _ in range(attempts):
-        folds = one_round_of_folds(df, key, sorted(attempt.items()), k, seed, [outcome])
+        # checked here and joined by every user of the folds
+        folds = cut_lineage(one_round_of_folds(df, key, sorted(attempt.items()), k, seed, [outcome]))
         least = folds.groupBy("repeat", "fold").agg(F.sum(F.col(outcome).cast("int")).alias("e"), F.count("*").alias("n"))
         bad = (F.col("e") == 0) | ((F.col("e") == F.col("n")) if both_classes else F.lit(False))
         failed = [r["repeat"] for r in least.filter(bad).select("repeat").distinct().collect()]
@@ -87,9 +89,9 @@ def brier(df: DataFrame, by: list[str], y: str = "y", p: str = "p", on: str = "p
 
 def _ranked_scores(df: DataFrame, by: list[str], y: str, p: str, rows_per_bucket: int, expected: int | None) -> DataFrame:
     """One row per group and distinct score with counts and running counts of both classes."""
-    cut = value_bucket(df.filter(F.col(p).isNotNull()), p, rows_per_bucket=rows_per_bucket, expected=expected)
-    counted = cut.groupBy(*by, "_bucket", p).agg(F.count_if(F.col(y) == 1).alias("_n1"), F.count_if(F.col(y) != 1).alias("_n0"))
-    return running(counted, by, "_bucket", [F.col(p)], {"_c1": F.col("_n1"), "_c0": F.col("_n0")},
+    cut, bucket = value_bucket(df.filter(F.col(p).isNotNull()), p, rows_per_bucket, expected=expected)
+    counted = cut.groupBy(*by, *([bucket] if bucket else []), p).agg(F.count_if(F.col(y) == 1).alias("_n1"), F.count_if(F.col(y) != 1).alias("_n0"))
+    return running(counted, by, bucket, [F.col(p)], {"_c1": F.col("_n1"), "_c0": F.col("_n0")},
                    totals={"_c1": "_all1", "_c0": "_all0"})
 
 

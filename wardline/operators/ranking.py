@@ -82,6 +82,6 @@ def cumulative_share(counts: DataFrame, value: str, tie: list[str], name: str =
                      running_name: str = "cumulative_share") -> DataFrame:
     """Share of the total and its running sum, largest value first."""
     total = counts.agg(F.sum(value)).scalar()
-    ordered = value_bucket(counts.withColumn("_down", -F.col(value)), "_down")
-    summed = running(ordered, [], "_bucket", [F.col("_down"), *[F.col(t) for t in tie]], {running_name: F.col(value)})
+    ordered, bucket = value_bucket(counts.withColumn("_down", -F.col(value)), "_down")
+    summed = running(ordered, [], bucket, [F.col("_down"), *[F.col(t) for t in tie]], {running_name: F.col(value)})
     return summed.withColumns({name: F.col(value) / total, running_name: F.col(running_name) / total}).drop("_bucket", "_down")

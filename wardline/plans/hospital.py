@@ -21,8 +21,9 @@ def suspicion_of_infection(antibiotic: DataFrame, microbiology: DataFrame, grain
     """
     order = [F.col(c).asc_nulls_last() for c in ("starttime", "stoptime", "antibiotic")]
     abx = ranking.sequence_id(antibiotic, ["subject_id"], "starttime", order, "ab_id", grain)
-    cultures = aggregates.collapse_duplicates(microbiology, "micro_specimen_id",
-                                              ["subject_id", "chartdate", "charttime", "spec_type_desc"], "org_name", "positive")
+    # one row per specimen, read once per series and once for their first rows
+    cultures = cut_lineage(aggregates.collapse_duplicates(
+        microbiology, "micro_specimen_id", ["subject_id", "chartdate", "charttime", "spec_type_desc"], "org_name", "positive"))
     both = matching.window_match_precision(
         abx, cultures, ["subject_id", "ab_id"], ["subject_id"], "starttime", "charttime", "chartdate",
         {"_before": ("earlier", 72, 3), "_after": ("later", 24, 1)}, ["spec_type_desc", "positive"], ["micro_specimen_id"])
@@ -174,7 +175,8 @@ def onset_lab_averages(suspicion: DataFrame, sofa: DataFrame, cols: list[str], t
     average over the joined pairs without forming them.
     """
     scores = select.score_threshold(sofa, "sofa_score", threshold)
-    in_unit = suspicion.filter(F.col("stay_id").isNotNull())
+    # read three times by the sweep
+    in_unit = cut_lineage(suspicion.select("stay_id", "suspected_infection_time").dropna())
     weighted = matching.window_sums(scores, in_unit, ["stay_id"], "endtime", "suspected_infection_time", 24, 48,
                                     {"_matches": F.lit(1)})
     return aggregates.weighted_mean_by_key(weighted.filter(F.col("_matches") > 0), ["stay_id"], "_matches", cols)

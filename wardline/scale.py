@@ -28,25 +28,25 @@ def time_bucket(ts: str | Column, grain: int = HOUR) -> Column:
     return F.coalesce(F.floor(epoch(ts) / F.lit(grain * 1_000_000)), F.lit(LAST_BUCKET))
 
 
-def value_bucket(df: DataFrame, col: str, name: str = "_bucket", rows_per_bucket: int = 2_000_000,
-                 most: int = 2048, expected: int | None = None) -> DataFrame:
-    """Add consecutive buckets of about equal row count along a numeric column.
+def value_bucket(df: DataFrame, col: str, rows_per_bucket: int = 2_000_000, most: int = 2048,
+                 expected: int | None = None) -> tuple[DataFrame, str | None]:
+    """Consecutive buckets of about equal row count along a numeric column: (rows, bucket column).
 
     Rows are counted (unless the caller has a bound, ``expected``) and, if there are many, their
     quantiles sketched; the sketch only balances the buckets, results stay exact. Small inputs
-    get a single bucket.
+    need no buckets: the column is None.
     """
     n = expected if expected is not None else df.agg(F.count(col)).first()[0]
     wanted = min(most, -(-n // rows_per_bucket))
     if wanted <= 1:
-        return df.withColumn(name, F.when(F.col(col).isNotNull(), F.lit(0)).otherwise(F.lit(LAST_BUCKET)).cast("bigint"))
+        return df, None
     probs = [i / wanted for i in range(1, wanted)]
     cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 20 * wanted)).first()[0]
-    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
+    splits = [float("-inf")] + sorted(set(cuts or [])) + [float("inf")]
     cast = df.withColumn("_value", F.col(col).cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep").transform(cast)
-    return cut.drop("_value").withColumn(
-        name, F.when(F.col(col).isNull(), F.lit(LAST_BUCKET)).otherwise(F.col(name).cast("bigint")))
+    cut = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket", handleInvalid="keep").transform(cast)
+    number = F.when(F.col(col).isNull(), F.lit(LAST_BUCKET)).otherwise(F.col("_bucket").cast("bigint"))
+    return cut.drop("_value").withColumn("_bucket", number), "_bucket"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
@@ -56,15 +56,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
-def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: dict[str, Column],
+def running(df: DataFrame, keys: list[str], bucket: str | None, order: list[Column], sums: dict[str, Column],
             totals: dict[str, str] | None = None) -> DataFrame:
     """Running sums per key, exact, over (key, bucket) groups.
 
     ``bucket`` must not decrease along ``order``. ``sums`` maps result names to row values;
     ``totals`` maps a sum's name to a column for the whole-key total. ``df`` is read twice (rows
-    and bucket sizes), so hand over a scan, a grouped table or a checkpoint.
+    and bucket sizes), so hand over a scan, a grouped table or a checkpoint. Without a bucket,
+    which is for inputs proven small, one window per key does.
     """
     totals = totals or {}
+    if bucket is None:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = Window.partitionBy(*keys)
+        return df.withColumns({**{n: F.sum(v).over(upto) for n, v in sums.items()},
+                               **{c: F.sum(sums[n]).over(whole) for n, c in totals.items()}})
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumns({name: F.sum(value).over(inside) for name, value in sums.items()})
     sizes = df.groupBy(*keys, bucket).agg(*[F.sum(value).alias(f"_t_{name}") for name, value in sums.items()])
@@ -145,9 +151,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, f
         all_probs = F.array(*[F.lit(float(p)) for p in probs.values()])
         table = valued.groupBy(*keys).agg(F.percentile(F.col(col).cast("double"), all_probs).alias("_q"))
         return table.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    counted = value_bucket(valued, col, rows_per_bucket=rows_per_bucket, expected=n).groupBy(*keys, "_bucket", col).agg(
-        F.count("*").alias("_n"))
-    ranked = running(counted, keys, "_bucket", [F.col(col)], {"_upto": F.col("_n")}, totals={"_upto": "_all"})
+    cut, bucket = value_bucket(valued, col, rows_per_bucket, expected=n)
+    counted = cut.groupBy(*keys, bucket, col).agg(F.count("*").alias("_n"))
+    ranked = running(counted, keys, bucket, [F.col(col)], {"_upto": F.col("_n")}, totals={"_upto": "_all"})
     picks, final = [], {}
     for name, p in probs.items():
         at = F.lit(p) * (F.col("_all") - 1)
