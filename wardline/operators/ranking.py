@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.scale import HOUR, numbered, running, time_bucket, value_bucket
-from wardline.session import salted_join
+from wardline.scale import HOUR, null_safe_join, numbered, running, time_bucket, value_bucket
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -42,9 +41,14 @@ def sequence_id(df: DataFrame, keys: list[str], ts: str, order: list[Column], na
 
 
 def dense_sequence(df: DataFrame, keys: list[str], ts: str, name: str, grain: int = HOUR) -> DataFrame:
-    """Dense rank of a time per key: the distinct times are numbered and joined back."""
-    times = numbered(df.select(*keys, ts).distinct(), keys, time_bucket(ts, grain), [F.col(ts).asc_nulls_last()], name)
-    return salted_join(df, times, [*keys, ts], df.columns, salts=4, null_safe=True)
+    """Dense rank of a time per key: the rank inside its bucket plus the distinct times of earlier buckets."""
+    cut = df.withColumn("_bucket", time_bucket(ts, grain))
+    inside = cut.withColumn(name, F.dense_rank().over(Window.partitionBy(*keys, "_bucket").orderBy(F.col(ts).asc_nulls_last())))
+    sizes = cut.select(*keys, "_bucket", ts).distinct().groupBy(*keys, "_bucket").agg(F.count("*").alias("_times"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_times").over(before), F.lit(0)).alias("_before"))
+    joined = null_safe_join(inside, offsets, [*keys, "_bucket"])
+    return joined.withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).drop("_bucket", "_before")
 
 
 def stay_sequence(stays: DataFrame, patient: str, admission: str, admitted: str, entered: str) -> DataFrame:
