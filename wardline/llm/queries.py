@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import exact_dedup, substring_dedup
+from wardline.llm import decontaminate, exact_dedup, jaccard_join, packing, substring_dedup
 from wardline.llm.common import prepare
 
 # Twins of texts that are lower-cased in A-Z only.
@@ -54,8 +54,71 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) A
 FROM w LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, folder, "documents"))
+
+
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 4], ' ') for i in generate_series(1, len(ws) - 4)] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)
+), e AS (
+  SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS u, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON r.u = e.u
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.c AS component_id
+FROM (SELECT u AS doc_id, min(c) AS c FROM r GROUP BY u) d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")))
+
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM benchmark
+), p AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS k, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 10 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[j:j + 9], ' ') for j in generate_series(1, len(ws) - 9)] END) AS p FROM i
+), q AS (
+  SELECT doc_id, j, k, array_to_string(ws[j:j + k - 1], ' ') AS p
+  FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS j FROM d, (SELECT DISTINCT k FROM p) WHERE len(ws) >= k)
+), m AS (
+  SELECT doc_id, j, p.k, item_id FROM q JOIN p ON p.p = q.p AND p.k = q.k
+), h AS (
+  SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(generate_series(j, j + k - 1)) AS x FROM m) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+       sha256(coalesce(t.l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_decontaminate": op8_decontaminate,
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
