@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,21 @@ from pyspark.sql import functions as F
 from wardline.llm import words as W
 from wardline.llm.common import pieces, prepare, rows_of
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 4 << 20
 GROUP_ROWS = 40_000
-CACHE_TOKENS = 3_000_000
+CACHE_KEYS = 600_000
 # White space other than ASCII, and the separators some engines count as white space.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
+_INNER_SPACE = re.compile(rb"[\t-\r\x1c-\x1f]|(?!^) |^ ?$|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
+# Of a byte: 1 letter or digit, 2 white space, 3 other ASCII signs but the apostrophe, 4 lead byte of letters only, 0 the rest.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[W.SPACE] = 2
+_KIND[0x27] = 0
+_KIND[[0xC4, 0xC5]] = 4
+
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64())])
 PIECE_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint"
 PACKED = pa.schema([*list(PIECE)[:-1], ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -38,9 +50,10 @@ PACKED_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 b
 class ByteTokens:
     """Ids of whole texts for a byte-level vocabulary whose words never run on over white space.
 
-    Such a tokenizer cuts a text before a white space that follows something else, so a text's ids are those of
-    its stretches of white space and what follows, one after the other. Equal stretches are encoded once.
-    Texts with other than ASCII white space are encoded as a whole.
+    Such a tokenizer cuts a text before a white space that follows something else, and between letters or digits and
+    other signs (but an apostrophe may belong to letters after it). So a text's ids are those of the stretches
+    between such places, one after the other, and equal stretches are encoded once. Letters here are the Latin
+    ones up to U+017F, others are not cut off; texts with other than ASCII white space are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -51,32 +64,59 @@ class ByteTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.size = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = [], []
+        self.bounds = array("q", [0])
 
     def _learn(self, keys: list[bytes]) -> None:
-        for key, found in zip(keys, self.tokenizer.encode_batch([k.decode() for k in keys], add_special_tokens=False), strict=True):
-            ids = found.ids
-            if self.size + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.size:self.size + len(ids)] = ids
-            self.known[key] = len(self.starts)
-            self.starts.append(self.size)
-            self.lengths.append(len(ids))
-            self.size += len(ids)
+        """Encode new stretches: many in one text, a line each; those with other white space one by one.
+
+        A line end is a token of its own wherever one stretch, with a space before it or none, follows another.
+        """
+        plain, other = [], []
+        for key in keys:
+            (other if self.line is None or _INNER_SPACE.search(key) else plain).append(key)
+        step = 2048
+        lines = [b"\n".join(plain[i:i + step]).decode() for i in range(0, len(plain), step)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        parts = [np.array(e.ids + [self.line], np.uint32) for e in found]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(flat == self.line) - np.arange(len(plain))
+        flat = flat[flat != self.line]
+        if other:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([k.decode() for k in other], add_special_tokens=False)]
+            ends = np.concatenate([ends, len(flat) + np.cumsum(list(map(len, ids)), dtype=np.int64)])
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        if self.size + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
+        self.flat[self.size:self.size + len(flat)] = flat
+        self.known.update(zip(plain + other, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.bounds.frombytes((self.size + ends).astype(np.int64).tobytes())
+        self.size += len(flat)
+
+    @staticmethod
+    def _cuts(data: np.ndarray) -> np.ndarray:
+        """Places where the tokenizer cuts whatever stands around: cut[i] is before byte i."""
+        cut = np.zeros(len(data) + 1, bool)
+        kind = _KIND[data]
+        after_c3 = np.concatenate(([False], data[:-1] == 0xC3))
+        sign = (data == 0x97) | (data == 0xB7)  # of the characters that begin with C3, all but these two are letters
+        ends = (kind == 1) | (np.concatenate(([False], kind[:-1] == 4))) | (after_c3 & ~sign)
+        begins = (kind == 1) | (kind == 4) | ((data == 0xC3) & ~np.append(sign[1:], False))
+        cut[1:-1] = ((kind[1:] == 2) & (kind[:-1] != 2)) | (ends[:-1] & (kind[1:] == 3)) | ((kind[:-1] == 3) & begins[1:])
+        return cut
 
     def encode(self, texts, last: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each ended by ``last``; bounds of each text)."""
-        if self.size > CACHE_TOKENS:
+        if len(self.known) > CACHE_KEYS:
             self._clear()
         data, offsets = W.text_bytes(texts)
-        space = W.SPACE[data]
-        cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = space[1:] & ~space[:-1]
+        cut = self._cuts(data)
         raw = data.tobytes()
         odd = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in _OTHER_SPACE.finditer(raw)}
         for i in odd:
@@ -92,11 +132,15 @@ class ByteTokens:
         kind[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
         some = order[begin]
         keys = [raw[a:b] for a, b in zip(start[some].tolist(), stop[some].tolist(), strict=True)]
-        new = [k for k in dict.fromkeys(keys) if k not in self.known]
+        at = list(map(self.known.get, keys))
+        new = [i for i, k in enumerate(at) if k is None]
         if new:
-            self._learn(new)
-        at = np.array([self.known[k] for k in keys], np.int64)
-        lengths, starts = np.array(self.lengths, np.int64)[at][kind] if len(at) else at, np.array(self.starts, np.int64)[at][kind] if len(at) else at
+            self._learn(list(dict.fromkeys(keys[i] for i in new)))
+            for i in new:
+                at[i] = self.known[keys[i]]
+        at = np.array(at, np.int64)
+        bounds = np.frombuffer(self.bounds.tobytes(), np.int64)
+        starts, lengths = bounds[at][kind], (bounds[at + 1] - bounds[at])[kind]
         owner = np.searchsorted(offsets[:-1][filled], start, "right") - 1
         per_text = np.zeros(len(filled), np.int64)
         per_text[filled] = np.bincount(owner, weights=lengths, minlength=int(filled.sum())).astype(np.int64) if len(start) else 0
@@ -108,9 +152,15 @@ class ByteTokens:
         return ids, bounds
 
 
+@cache
+def _tokens(path: str) -> ByteTokens:
+    """One for each Python worker: what it has learnt serves later tasks."""
+    return ByteTokens(path)
+
+
 def _pieces(path: str, capacity: int, last: int):
     def work(batches):
-        tokens = ByteTokens(path)
+        tokens = _tokens(path)
         for table in W.blocks(batches, "text", BLOCK_BYTES):
             ids, bounds = tokens.encode(table.column("text"), last)
             size = np.diff(bounds)
