@@ -33,7 +33,7 @@ from wardline.llm import words as W
 from wardline.llm.common import attach, cut_lineage, pieces, prepare, rows_of, text_volume
 from wardline.llm.components import components
 from wardline.llm.homes import bucket_of, by_bucket
-from wardline.llm.signature_tree import SignatureTree, bitmaps, dual_traversal
+from wardline.llm.signature_tree import bitmaps, candidates, stacked
 
 BLOCK_BYTES = 8 << 20
 BUCKET_ENTRIES = 1 << 20
@@ -106,9 +106,8 @@ def _look(size: int):
     def work(batches):
         for table in W.blocks(batches, "text", BLOCK_BYTES):
             sets = _Sets(table.column("text"), size)
-            maps = bitmaps(sets.shingles, sets.owner, len(sets.n))
             none = pa.nulls(len(sets.n), pa.int64())
-            raw = pa.array([m.tobytes() for m in maps], pa.binary())
+            raw = pa.array(bitmaps(sets.shingles, sets.off), pa.binary())
             own = [table.column(c).combine_chunks() for c in ("doc_id", "key")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sets.classes), pa.array(sets.n, pa.int64()), raw, none, none], schema=SEEN)
             rows = sets.first_rows()
@@ -252,8 +251,7 @@ def _links(num: int, den: int):
         raw = table.column("shingles")
         sets = [np.frombuffer(raw[int(k)].as_py(), np.uint64) for k in at]
         sizes = np.array([len(s) for s in sets])
-        tree = SignatureTree(bitmaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets)), sizes)
-        i, j = dual_traversal(tree, tree, num, den, same=True)
+        i, j = candidates(bitmaps(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))), sizes, num, den)
         centre = np.flatnonzero(classes == table.column("a")[0].as_py())
         i, j = (np.concatenate([x[k], x[~k]]) for x in (i, j) for k in [np.isin(i, centre) | np.isin(j, centre)])
         root = list(range(len(sets)))
@@ -282,14 +280,9 @@ def _across(num: int, den: int):
     """Pairs of different components in a chunk of a node's members that may reach the threshold."""
 
     def work(table: pa.Table) -> pa.Table:
-        maps = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(table.num_rows, -1)
         n, classes, part = (table.column(c).to_numpy() for c in ("n", "class", "component"))
         probe = table.column("probe").to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
-        one, two = np.flatnonzero(probe), np.flatnonzero(~probe)
-        if not len(one) or not len(two):
-            return LINK.empty_table()
-        i, j = dual_traversal(SignatureTree(maps[one], n[one]), SignatureTree(maps[two], n[two]), num, den)
-        i, j = one[i], two[j]
+        i, j = candidates(table.column("map").to_pylist(), n, num, den, probe)
         keep = part[i] != part[j]
         pairs = np.sort(np.stack([classes[i[keep]], classes[j[keep]]]), axis=0)
         pairs = np.unique(pairs, axis=1) if pairs.size else pairs
@@ -392,10 +385,15 @@ def _overlap(num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("_ma", "_mb"))
+            one, two = batch.column("_ma").to_pylist(), batch.column("_mb").to_pylist()
             na, nb = batch.column("_na").to_numpy(), batch.column("_nb").to_numpy()
-            slack = np.minimum(na - np.bitwise_count(one).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(two).sum(axis=1, dtype=np.int64))
-            shared = np.minimum(np.bitwise_count(one & two).sum(axis=1, dtype=np.int64) + slack, np.minimum(na, nb))
+            shared = np.minimum(na, nb)
+            words = np.array([min(len(x), len(y)) // 8 for x, y in zip(one, two, strict=True)])
+            for width in np.unique(words).tolist():
+                at = np.flatnonzero(words == width)
+                a, b = (stacked([m[k] for k in at.tolist()], width) for m in (one, two))
+                bits = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a & b, a, b)]
+                shared[at] = np.minimum(shared[at], bits[0] + np.minimum(na[at] - bits[1], nb[at] - bits[2]))
             keep = pa.array((num + den) * shared >= num * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], schema=LINK)
 

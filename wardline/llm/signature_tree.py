@@ -1,7 +1,8 @@
 """A signature tree over shingle sets and the dual traversal that joins two of them.
 
 A leaf is one set: a bitmap of its shingles, its size, and its slack (shingles beyond one for each
-bit). A node holds the OR of its children's bitmaps, the range of their sizes and their largest slack.
+bit). Sets of like size have bitmaps of one length and stand in one tree; a tree is also held against the
+next one, of folded bitmaps, as sets of more different sizes cannot be similar enough. A node holds the OR of its children's bitmaps, the range of their sizes and their largest slack.
 Two sets below nodes A and B share at most popcount(OR_A & OR_B) + min(slack_A, slack_B) shingles, and no
 more than the smaller size; node pairs that cannot reach the threshold that way are never opened.
 """
@@ -10,16 +11,42 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 1024
+from wardline.llm import words as W
+
+LEAST_BITS = 1024
 FAN = 8
 _STEP = 1 << 15
 
 
-def bitmaps(shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """(n, BITS / 64) words: bit ``shingle mod BITS`` of each owner's shingles."""
-    flat = np.zeros((n, BITS), bool)
-    flat[owner, (shingles & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(flat, axis=1).view(np.uint64)
+def map_bits(sizes: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: a power of two, at least four for each shingle."""
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
+
+
+def bitmaps(shingles: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """A bitmap for each set ``shingles[off[i]:off[i+1]]``: bit ``shingle mod bits`` is set."""
+    sizes = np.diff(off)
+    bits = map_bits(sizes)
+    out: list[bytes] = [b""] * len(sizes)
+    for width in np.unique(bits).tolist():
+        rows = np.flatnonzero(bits == width)
+        for low in range(0, len(rows), max(1, (1 << 25) // width)):
+            some = rows[low:low + max(1, (1 << 25) // width)]
+            own = shingles[W.ragged(off[some], sizes[some])]
+            flat = np.zeros((len(some), width), bool)
+            flat[np.repeat(np.arange(len(some)), sizes[some]), (own & np.uint64(width - 1)).astype(np.int64)] = True
+            for i, row in zip(some.tolist(), np.packbits(flat, axis=1), strict=True):
+                out[i] = row.tobytes()
+    return out
+
+
+def stacked(maps: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words; longer ones are folded, which keeps all that the bounds need."""
+    out = np.empty((len(maps), words), np.uint64)
+    for i, m in enumerate(maps):
+        one = np.frombuffer(m, np.uint64)
+        out[i] = one if len(one) == words else np.bitwise_or.reduce(one.reshape(-1, words), axis=0)
+    return out
 
 
 class SignatureTree:
@@ -78,3 +105,39 @@ def dual_traversal(one: SignatureTree, two: SignatureTree, num: int, den: int, s
     if same:
         i, j = i[i < j], j[i < j]
     return one.order[i], two.order[j]
+
+
+def candidates(maps: list[bytes], sizes: np.ndarray, num: int, den: int, probe: np.ndarray | None = None):
+    """(i, j) of sets that may reach the threshold; with ``probe``, i of its marked sets and j of the others."""
+    words = np.array([len(m) // 8 for m in maps], np.int64)
+    left, right = [], []
+
+    def tree(rows: np.ndarray, width: int) -> SignatureTree:
+        return SignatureTree(stacked([maps[r] for r in rows.tolist()], width), sizes[rows])
+
+    def keep(one: np.ndarray, two: np.ndarray, found) -> None:
+        left.append(one[found[0]])
+        right.append(two[found[1]])
+
+    reach = int(np.ceil(np.log2(den / num)))  # how many lengths apart similar sets can be
+    for width in np.unique(words).tolist():
+        for apart in range(reach + 1):
+            other = width << apart
+            if probe is None:
+                one, two = np.flatnonzero(words == width), np.flatnonzero(words == other)
+                if apart == 0:
+                    own = tree(one, width)
+                    keep(one, one, dual_traversal(own, own, num, den, same=True))
+                elif len(two):
+                    keep(one, two, dual_traversal(tree(one, width), tree(two, width), num, den))
+                continue
+            for small, large in ((probe, ~probe), (~probe, probe))[:1 if apart == 0 else 2]:
+                one, two = np.flatnonzero((words == width) & small), np.flatnonzero((words == other) & large)
+                if len(one) and len(two):
+                    found = dual_traversal(tree(one, width), tree(two, width), num, den)
+                    if small is probe:
+                        keep(one, two, found)
+                    else:
+                        keep(two, one, found[::-1])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
