@@ -1,24 +1,77 @@
-"""From raw documents to packed training sequences, in stages that are each written as Parquet."""
+"""From raw documents to packed training sequences, in stages that are each written as Parquet.
+
+A row without a doc_id cannot be named by a decision, so every filtering stage drops it. Null texts count as empty,
+and extra columns pass through all filtering stages. An empty table gives empty tables.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.llm.common import prepare
+from wardline.llm import decontaminate, exact_dedup, jaccard_join, packing, quality
+from wardline.llm.common import BROADCAST_ROWS, cut_lineage, prepare
 from wardline.session import checkpoint_dir
-from wardline.llm import exact_dedup as exact
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` with an id that is not in ``gone``; the ids are broadcast if they are counted to be few."""
+    gone = cut_lineage(gone.select("doc_id").where("doc_id IS NOT NULL").distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, quality.quality_filter(docs, labels).where("NOT kept"))
 
 
 def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of equal texts: that with the largest id."""
+    judged = cut_lineage(exact_dedup.exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    out = _without(docs, judged.where("NOT kept"))
+    repeated = judged.where("kept AND rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    # Rows of one id, mostly the same row again: of equal texts among them one stays.
+    again = out.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    again = again.withColumn("_text", exact_dedup.lower_az(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest id."""
+    return _without(docs, jaccard_join.jaccard_join(docs).where("doc_id <> component_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item; a document with one goes as a whole."""
+    benchmark = prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.decontaminate(docs, benchmark).where(F.size("spans") > 0))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", drop_equal)]
+STAGES = [("quality classifier", keep_good), ("exact dedup", drop_equal), ("n-gram Jaccard join", drop_similar),
+          ("benchmark decontamination", drop_contaminated), ("best-fit packing", pack)]
+# A trained classifier and a packing are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_equal(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    folder = f"{checkpoint_dir(prepare(spark)).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return docs

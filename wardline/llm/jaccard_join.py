@@ -35,8 +35,8 @@ from wardline.llm.components import components
 from wardline.llm.homes import bucket_of, by_bucket
 from wardline.llm.signature_tree import bitmaps, candidates, stacked
 
-BLOCK_BYTES = 8 << 20
-BUCKET_ENTRIES = 1 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_ENTRIES = 1 << 19
 GROUP = 500  # sets gathered around one centre
 CHUNK = 2000  # members of a node that one task holds in the second traversal
 # A shingle is common if it is in this share of all classes (and in so many): then it comes late in the order.
@@ -226,7 +226,7 @@ def _whole_sets(size: int):
     """The set of each document, once for every group that wants it."""
 
     def work(batches):
-        for table in W.blocks(batches, "text", BLOCK_BYTES // 4):
+        for table in W.blocks(batches, "text", BLOCK_BYTES // 2):
             sets = _Sets(table.column("text"), size)
             out = []
             for i, keys in enumerate(table.column("keys").to_pylist()):

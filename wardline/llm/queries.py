@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import decontaminate, exact_dedup, jaccard_join, packing, substring_dedup
+from wardline.llm import decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, markov, packing, quality, substring_dedup, warc
 from wardline.llm.common import prepare
 
 # Twins of texts that are lower-cased in A-Z only.
@@ -114,11 +114,67 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(_table(spark, folder, "pages"))
+
+
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.line_dedup(_table(spark, folder, "documents")))
+
+
+OP5_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, source, i, ls[i] AS line, trim(ls[i], ' ' || chr(9) || chr(13)) AS t
+  FROM (SELECT r, source, ls, unnest(generate_series(1, len(ls))) AS i FROM d)
+), w AS (
+  SELECT t FROM l WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 8
+), k AS (
+  SELECT r, count(*) FILTER (w.t IS NOT NULL) AS gone, string_agg(line, chr(10) ORDER BY i) FILTER (w.t IS NULL) AS kept
+  FROM l LEFT JOIN w USING (t) GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
+def op6_markov_score(spark: SparkSession, folder: str) -> DataFrame:
+    return markov.score_texts(_table(spark, folder, "documents"))
+
+
+def op9_quality_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_filter(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archive_round_trip(_table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+)
+SELECT page_id, n AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)
+                        for i in generate_series(0, 31)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_markov_score": op6_markov_score,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality_filter": op9_quality_filter,
+    "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL,
+                       "op10_warc": OP10_SQL}

@@ -7,6 +7,8 @@ its own bytes. All hashes are 64-bit; two independent ones are available where m
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -171,3 +174,12 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int) -> Iter
             low = to
     if held:
         yield pa.Table.from_batches(held)
+        del held
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker waits for its next task with what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
