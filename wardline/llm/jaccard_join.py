@@ -7,11 +7,11 @@ Documents of one set of shingles form a class; only classes are joined.
    enough; so every prefix shingle is a node under the root, and pairs of sets without a common node
    are pruned by their maximum possible overlap. Sets go to nodes packed by bucket. The members of a common
    shingle go to buckets by member too, so that no bucket holds a hot node whole.
-2. First traversal. Within a node each set meets the smallest, the next one, and for a common shingle the
+2. First traversal. Within a node each set meets the smallest, the next two, and for a common shingle the
    node's centre: a number of pairs linear in its members. Pairs that pass bitmap and size bounds are
    gathered around their centre (in groups of a bounded number) with their whole sets, a signature tree is built
    over each group, and its dual traversal finds exact links; sets already connected are not compared again.
-3. Second traversal. Components of the links found so far are formed. Only in nodes whose members lie in
+3. Second traversal. Components of the links found so far are formed. Only in larger nodes whose members lie in
    different components can a link be missing: there members outside the node's main component are held against
    all members by dual traversal of signature trees, in chunks, and what passes the bounds is compared exactly.
 
@@ -33,18 +33,19 @@ from wardline.llm import words as W
 from wardline.llm.common import attach, cut_lineage, pieces, prepare, rows_of, text_volume
 from wardline.llm.components import components
 from wardline.llm.homes import bucket_of, by_bucket
-from wardline.llm.signature_tree import bitmaps, candidates, stacked
+from wardline.llm.signature_tree import bitmaps, candidates, stacked, thin_bitmaps
 
 BLOCK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1 << 19
 GROUP = 500  # sets gathered around one centre
+COVERED = 4  # the pairs of the first traversal are all pairs of a node of so many members
 CHUNK = 2000  # members of a node that one task holds in the second traversal
 # A shingle is common if it is in this share of all classes (and in so many): then it comes late in the order.
 # At most (mean size of a set / share) shingles can be, however many documents there are.
 COMMON_SHARE, COMMON_LEAST = 0.0005, 32
 
-SEEN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
-SEEN_DDL = "doc_id bigint, key bigint, class bigint, n bigint, map binary, shingle bigint, seen bigint"
+SEEN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("thin", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
+SEEN_DDL = "doc_id bigint, key bigint, class bigint, n bigint, map binary, thin binary, shingle bigint, seen bigint"
 SENT = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
 SENT_DDL = "bucket int, shingles binary, classes binary, sizes binary"
 NODE = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("pair", pa.bool_())])
@@ -107,20 +108,20 @@ def _look(size: int):
         for table in W.blocks(batches, "text", BLOCK_BYTES):
             sets = _Sets(table.column("text"), size)
             none = pa.nulls(len(sets.n), pa.int64())
-            raw = pa.array(bitmaps(sets.shingles, sets.off), pa.binary())
+            maps = [pa.array(make(sets.shingles, sets.off), pa.binary()) for make in (bitmaps, thin_bitmaps)]
             own = [table.column(c).combine_chunks() for c in ("doc_id", "key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sets.classes), pa.array(sets.n, pa.int64()), raw, none, none], schema=SEEN)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sets.classes), pa.array(sets.n, pa.int64()), *maps, none, none], schema=SEEN)
             rows = sets.first_rows()
             at = W.ragged(sets.off[rows], sets.n[rows])
             all_of_them, owner = sets.shingles[at], sets.classes[np.repeat(rows, sets.n[rows])]
             order = np.argsort(all_of_them)
             begin = W.runs(all_of_them[order])
             seen = np.diff(np.append(begin, len(order)))
-            often = seen >= max(3, int(len(rows) * COMMON_SHARE))
+            often = seen >= max(2, int(len(rows) * COMMON_SHARE))
             if often.any():
                 least = np.minimum.reduceat(owner[order], begin)[often]
                 none = pa.nulls(len(least), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(least), none, pa.nulls(len(least), pa.binary()),
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(least), none, *[pa.nulls(len(least), pa.binary())] * 2,
                                                   pa.array(_signed(all_of_them[order][begin[often]])), pa.array(seen[often], pa.int64())], schema=SEEN)
 
     return work
@@ -165,7 +166,8 @@ def _send(size: int, num: int, den: int, buckets: int, common: np.ndarray):
 
 
 def _meet(num: int, den: int, common: np.ndarray, centres: np.ndarray):
-    """Nodes of one bucket: members of each shingle that several classes hold, and pairs to compare first.
+    """Nodes of one bucket: pairs to compare first (the smallest member with each, and each with the next two), and
+    members of the nodes whose pairs these are not all.
 
     A pair row holds the two classes in the first two columns.
     """
@@ -205,16 +207,17 @@ def _meet(num: int, den: int, common: np.ndarray, centres: np.ndarray):
         first = np.repeat(head, count)
         fits = num * m <= den * m[first]
         pairs = [np.stack([c[first], c])[:, fits & (first != np.arange(len(c)))]]
-        near = np.flatnonzero(run[1:] == run[:-1])
-        near = near[num * m[near + 1] <= den * m[near]]
-        pairs.append(np.stack([c[near], c[near + 1]]))
+        for step in (1, 2):
+            near = np.flatnonzero(run[step:] == run[:-step])
+            near = near[num * m[near + step] <= den * m[near]]
+            pairs.append(np.stack([c[near], c[near + step]]))
         held = is_common[run]
         pairs.append(np.stack([centre_of[run], c])[:, held])
         pairs = np.concatenate(pairs, axis=1)
         pairs = pairs[:, pairs[0] != pairs[1]]
         pairs.sort(axis=0)
         pairs = np.unique(pairs, axis=1) if pairs.size else pairs
-        several = (count > 1)[run] | held
+        several = (count > COVERED)[run] | held
         flag = np.zeros(int(several.sum()) + pairs.shape[1], bool)
         flag[int(several.sum()):] = True
         return pa.table([np.concatenate([_signed(s[several]), pairs[0]]), np.concatenate([c[several], pairs[1]]), flag], schema=NODE)
@@ -282,7 +285,9 @@ def _across(num: int, den: int):
     def work(table: pa.Table) -> pa.Table:
         n, classes, part = (table.column(c).to_numpy() for c in ("n", "class", "component"))
         probe = table.column("probe").to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
-        i, j = candidates(table.column("map").to_pylist(), n, num, den, probe)
+        i, j = candidates(table.column("thin").to_pylist(), n, num, den, probe)
+        own = (table.column("own").to_numpy() == table.column("chunk").to_numpy())[j]
+        i, j = i[own], j[own]
         keep = part[i] != part[j]
         pairs = np.sort(np.stack([classes[i[keep]], classes[j[keep]]]), axis=0)
         pairs = np.unique(pairs, axis=1) if pairs.size else pairs
@@ -301,9 +306,9 @@ class JaccardJoin:
         self.size, self.num, self.den = size, num, den
 
     def classes(self) -> DataFrame:
-        """class, n, map, rep (key of a row that has the set), least (smallest id): one row for each distinct set."""
+        """class, n, map, thin, rep (key of a row that has the set), least (smallest id): one row for each distinct set."""
         return self.sets.where("n > 0").groupBy("class").agg(
-            F.min("n").alias("n"), F.min("map").alias("map"), F.min("key").alias("rep"), F.min("doc_id").alias("least"))
+            F.min("n").alias("n"), F.min("map").alias("map"), F.min("thin").alias("thin"), F.min("key").alias("rep"), F.min("doc_id").alias("least"))
 
     def _bounds(self, pairs: DataFrame) -> DataFrame:
         """Pairs of classes whose sizes and bitmaps let them reach the threshold."""
@@ -332,24 +337,26 @@ class JaccardJoin:
     def _missing(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs across components that share a node and pass the bounds."""
         part = self.known.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
-        part = cut_lineage(part.select("class", F.coalesce("component", "class").alias("component"), "n", "map"))
+        part = cut_lineage(part.select("class", F.coalesce("component", "class").alias("component"), "n", "thin"))
         members = nodes.join(part.select("class", "component"), "class")
         counts = members.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("class")).alias("x"))
         mixed = counts.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.bit_xor("x").alias("x"), F.max(F.struct("k", "component")).alias("main"))
         # Nodes of the same members give the same pairs: one of them is enough.
         mixed = mixed.where("parts > 1").groupBy("k", "x").agg(F.min(F.struct("shingle", "main")).alias("node"))
         mixed = cut_lineage(mixed.select("node.shingle", F.col("node.main.component").alias("main"), F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks")))
-        rows = nodes.join(mixed, "shingle").join(part, "class")
-        held = rows.select("shingle", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int").alias("chunk"), "class", "component", "n", "map", F.lit(False).alias("probe"))
-        probes = rows.where("component <> main").select("shingle", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "class", "component", "n", "map", F.lit(True).alias("probe"))
-        return held.unionByName(probes).groupBy("shingle", "chunk").applyInArrow(_across(self.num, self.den), LINK_DDL).distinct()
+        rows = nodes.join(mixed, "shingle").join(part, "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+        # A row goes to its own chunk; one outside the main component also goes to all others, to be held against them.
+        outside = F.col("component") != F.col("main")
+        others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: outside | (k == F.col("own")))
+        sent = rows.select("shingle", F.explode(others).alias("chunk"), "own", "class", "component", "n", "thin", outside.alias("probe"))
+        return sent.groupBy("shingle", "chunk").applyInArrow(_across(self.num, self.den), LINK_DDL).distinct()
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for each row; the component's id is its smallest doc_id."""
         spark = self.docs.sparkSession
         rows, size = text_volume(self.docs)
         seen = cut_lineage(self.docs.mapInArrow(_look(self.size), SEEN_DDL))
-        self.sets = seen.where("shingle IS NULL").select("doc_id", "key", "class", "n", "map")
+        self.sets = seen.where("shingle IS NULL").select("doc_id", "key", "class", "n", "map", "thin")
         self.known = cut_lineage(self.classes())
         total = self.known.count()
         often = seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen"), F.min("class").alias("class"))
@@ -366,7 +373,7 @@ class JaccardJoin:
 
         links = cut_lineage(self._compare(cut_lineage(self._bounds(first))))
         found = components(links)
-        more = cut_lineage(self._missing(nodes, found))
+        more = cut_lineage(self._bounds(self._missing(nodes, found)))
         links = links.unionByName(self._compare(more))
         found = components(links).select(F.col("node").alias("class"), "component")
 

@@ -13,20 +13,28 @@ import numpy as np
 
 from wardline.llm import words as W
 
-LEAST_BITS = 1024
+LEAST_BITS, LEAST_THIN = 1024, 256
+THIN = 3  # one shingle in so many is in a thin bitmap
 FAN = 8
 _STEP = 1 << 15
 
 
-def map_bits(sizes: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: a power of two, at least four for each shingle."""
-    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
+def map_bits(sizes: np.ndarray, least: int = LEAST_BITS, share: int = 1) -> np.ndarray:
+    """Bits of a set's bitmap: a power of two, about four for each shingle that is in it."""
+    return np.maximum(least, 1 << np.ceil(np.log2(np.maximum(4 * sizes / share, 1))).astype(np.int64))
 
 
-def bitmaps(shingles: np.ndarray, off: np.ndarray) -> list[bytes]:
+def thin_bitmaps(shingles: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Bitmaps of one shingle in ``THIN``, chosen by its hash: what is left out counts as slack, so bounds hold."""
+    taken = (shingles >> np.uint64(40)) % np.uint64(THIN) == 0
+    upto = np.concatenate(([0], np.cumsum(taken)))
+    return bitmaps(shingles[taken], upto[off], map_bits(np.diff(off), LEAST_THIN, THIN))
+
+
+def bitmaps(shingles: np.ndarray, off: np.ndarray, bits: np.ndarray | None = None) -> list[bytes]:
     """A bitmap for each set ``shingles[off[i]:off[i+1]]``: bit ``shingle mod bits`` is set."""
     sizes = np.diff(off)
-    bits = map_bits(sizes)
+    bits = map_bits(sizes) if bits is None else bits
     out: list[bytes] = [b""] * len(sizes)
     for width in np.unique(bits).tolist():
         rows = np.flatnonzero(bits == width)
@@ -108,7 +116,8 @@ def dual_traversal(one: SignatureTree, two: SignatureTree, num: int, den: int, s
 
 
 def candidates(maps: list[bytes], sizes: np.ndarray, num: int, den: int, probe: np.ndarray | None = None):
-    """(i, j) of sets that may reach the threshold; with ``probe``, i of its marked sets and j of the others."""
+    """(i, j) of sets that may reach the threshold; with ``probe``, i of its marked sets and j of all (a pair of
+    two marked ones comes twice)."""
     words = np.array([len(m) // 8 for m in maps], np.int64)
     left, right = [], []
 
@@ -131,13 +140,12 @@ def candidates(maps: list[bytes], sizes: np.ndarray, num: int, den: int, probe:
                 elif len(two):
                     keep(one, two, dual_traversal(tree(one, width), tree(two, width), num, den))
                 continue
-            for small, large in ((probe, ~probe), (~probe, probe))[:1 if apart == 0 else 2]:
-                one, two = np.flatnonzero((words == width) & small), np.flatnonzero((words == other) & large)
+            one, two = np.flatnonzero((words == width) & probe), np.flatnonzero(words == other)
+            if len(one) and len(two):
+                keep(one, two, dual_traversal(tree(one, width), tree(two, width), num, den))
+            if apart:
+                one, two = np.flatnonzero(words == width), np.flatnonzero((words == other) & probe)
                 if len(one) and len(two):
-                    found = dual_traversal(tree(one, width), tree(two, width), num, den)
-                    if small is probe:
-                        keep(one, two, found)
-                    else:
-                        keep(two, one, found[::-1])
+                    keep(two, one, dual_traversal(tree(one, width), tree(two, width), num, den)[::-1])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
