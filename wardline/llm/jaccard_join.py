@@ -26,14 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm import words as W
 from wardline.llm.common import attach, cut_lineage, pieces, prepare, rows_of, text_volume
 from wardline.llm.components import components
 from wardline.llm.homes import bucket_of, by_bucket
-from wardline.llm.signature_tree import bitmaps, candidates, stacked, thin_bitmaps
+from wardline.llm.signature_tree import bitmaps, candidates, stacked
 
 BLOCK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1 << 19
@@ -44,12 +44,12 @@ CHUNK = 2000  # members of a node that one task holds in the second traversal
 # At most (mean size of a set / share) shingles can be, however many documents there are.
 COMMON_SHARE, COMMON_LEAST = 0.0005, 32
 
-SEEN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("thin", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
-SEEN_DDL = "doc_id bigint, key bigint, class bigint, n bigint, map binary, thin binary, shingle bigint, seen bigint"
+SEEN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
+SEEN_DDL = "doc_id bigint, key bigint, class bigint, n bigint, map binary, shingle bigint, seen bigint"
 SENT = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
 SENT_DDL = "bucket int, shingles binary, classes binary, sizes binary"
-NODE = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("pair", pa.bool_())])
-NODE_DDL = "shingle bigint, class bigint, pair boolean"
+NODE = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("pair", pa.bool_()), ("late", pa.bool_())])
+NODE_DDL = "shingle bigint, class bigint, pair boolean, late boolean"
 SET = pa.schema([("a", pa.int64()), ("salt", pa.int32()), ("class", pa.int64()), ("shingles", pa.binary())])
 SET_DDL = "a bigint, salt int, class bigint, shingles binary"
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -108,9 +108,9 @@ def _look(size: int):
         for table in W.blocks(batches, "text", BLOCK_BYTES):
             sets = _Sets(table.column("text"), size)
             none = pa.nulls(len(sets.n), pa.int64())
-            maps = [pa.array(make(sets.shingles, sets.off), pa.binary()) for make in (bitmaps, thin_bitmaps)]
+            maps = pa.array(bitmaps(sets.shingles, sets.off), pa.binary())
             own = [table.column(c).combine_chunks() for c in ("doc_id", "key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sets.classes), pa.array(sets.n, pa.int64()), *maps, none, none], schema=SEEN)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sets.classes), pa.array(sets.n, pa.int64()), maps, none, none], schema=SEEN)
             rows = sets.first_rows()
             at = W.ragged(sets.off[rows], sets.n[rows])
             all_of_them, owner = sets.shingles[at], sets.classes[np.repeat(rows, sets.n[rows])]
@@ -121,7 +121,7 @@ def _look(size: int):
             if often.any():
                 least = np.minimum.reduceat(owner[order], begin)[often]
                 none = pa.nulls(len(least), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(least), none, *[pa.nulls(len(least), pa.binary())] * 2,
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(least), none, pa.nulls(len(least), pa.binary()),
                                                   pa.array(_signed(all_of_them[order][begin[often]])), pa.array(seen[often], pa.int64())], schema=SEEN)
 
     return work
@@ -220,7 +220,8 @@ def _meet(num: int, den: int, common: np.ndarray, centres: np.ndarray):
         several = (count > COVERED)[run] | held
         flag = np.zeros(int(several.sum()) + pairs.shape[1], bool)
         flag[int(several.sum()):] = True
-        return pa.table([np.concatenate([_signed(s[several]), pairs[0]]), np.concatenate([c[several], pairs[1]]), flag], schema=NODE)
+        late = np.concatenate([held[several], np.zeros(pairs.shape[1], bool)])
+        return pa.table([np.concatenate([_signed(s[several]), pairs[0]]), np.concatenate([c[several], pairs[1]]), flag, late], schema=NODE)
 
     return work
 
@@ -285,7 +286,7 @@ def _across(num: int, den: int):
     def work(table: pa.Table) -> pa.Table:
         n, classes, part = (table.column(c).to_numpy() for c in ("n", "class", "component"))
         probe = table.column("probe").to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
-        i, j = candidates(table.column("thin").to_pylist(), n, num, den, probe)
+        i, j = candidates(table.column("map").to_pylist(), n, num, den, probe)
         own = (table.column("own").to_numpy() == table.column("chunk").to_numpy())[j]
         i, j = i[own], j[own]
         keep = part[i] != part[j]
@@ -296,6 +297,20 @@ def _across(num: int, den: int):
     return work
 
 
+def _largest(nodes: DataFrame) -> DataFrame:
+    """Nodes without those whose members all stand in one earlier node of the order as well.
+
+    Shingles of one passage give a chain of such nodes, each with some of the members of the one before.
+    """
+    order = Window.partitionBy("class").orderBy("late", F.col("shingle").bitwiseXOR(F.lit(-(2**63))))
+    rows = nodes.select("shingle", "class", *[F.lag("shingle", k).over(order).alias(f"before_{k}") for k in (1, 2)])
+    sizes = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"))
+    met = rows.select("shingle", F.explode(F.array("before_1", "before_2")).alias("before")).where("before IS NOT NULL")
+    inside = met.groupBy("shingle", "before").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max("k").alias("k"))
+    inside = cut_lineage(sizes.join(inside, "shingle").where("k = members").select("shingle"))
+    return nodes.join(inside, "shingle", "left_anti").select("shingle", "class")
+
+
 class JaccardJoin:
     """One join over ``docs``; ``num / den`` is the least similarity of a link, ``size`` the words of a shingle."""
 
@@ -306,9 +321,9 @@ class JaccardJoin:
         self.size, self.num, self.den = size, num, den
 
     def classes(self) -> DataFrame:
-        """class, n, map, thin, rep (key of a row that has the set), least (smallest id): one row for each distinct set."""
+        """class, n, map, rep (key of a row that has the set), least (smallest id): one row for each distinct set."""
         return self.sets.where("n > 0").groupBy("class").agg(
-            F.min("n").alias("n"), F.min("map").alias("map"), F.min("thin").alias("thin"), F.min("key").alias("rep"), F.min("doc_id").alias("least"))
+            F.min("n").alias("n"), F.min("map").alias("map"), F.min("key").alias("rep"), F.min("doc_id").alias("least"))
 
     def _bounds(self, pairs: DataFrame) -> DataFrame:
         """Pairs of classes whose sizes and bitmaps let them reach the threshold."""
@@ -337,7 +352,7 @@ class JaccardJoin:
     def _missing(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs across components that share a node and pass the bounds."""
         part = self.known.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
-        part = cut_lineage(part.select("class", F.coalesce("component", "class").alias("component"), "n", "thin"))
+        part = cut_lineage(part.select("class", F.coalesce("component", "class").alias("component"), "n", "map"))
         members = nodes.join(part.select("class", "component"), "class")
         counts = members.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("class")).alias("x"))
         mixed = counts.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.bit_xor("x").alias("x"), F.max(F.struct("k", "component")).alias("main"))
@@ -348,7 +363,7 @@ class JaccardJoin:
         # A row goes to its own chunk; one outside the main component also goes to all others, to be held against them.
         outside = F.col("component") != F.col("main")
         others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: outside | (k == F.col("own")))
-        sent = rows.select("shingle", F.explode(others).alias("chunk"), "own", "class", "component", "n", "thin", outside.alias("probe"))
+        sent = rows.select("shingle", F.explode(others).alias("chunk"), "own", "class", "component", "n", "map", outside.alias("probe"))
         return sent.groupBy("shingle", "chunk").applyInArrow(_across(self.num, self.den), LINK_DDL).distinct()
 
     def run(self) -> DataFrame:
@@ -356,7 +371,7 @@ class JaccardJoin:
         spark = self.docs.sparkSession
         rows, size = text_volume(self.docs)
         seen = cut_lineage(self.docs.mapInArrow(_look(self.size), SEEN_DDL))
-        self.sets = seen.where("shingle IS NULL").select("doc_id", "key", "class", "n", "map", "thin")
+        self.sets = seen.where("shingle IS NULL").select("doc_id", "key", "class", "n", "map")
         self.known = cut_lineage(self.classes())
         total = self.known.count()
         often = seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen"), F.min("class").alias("class"))
@@ -368,12 +383,12 @@ class JaccardJoin:
         buckets = pieces(size * (self.den - self.num) // self.den // 5, BUCKET_ENTRIES)
         sent = self.docs.mapInArrow(_send(self.size, self.num, self.den, buckets, common), SENT_DDL)
         met = cut_lineage(sent.groupBy("bucket").applyInArrow(_meet(self.num, self.den, common, centres), NODE_DDL))
-        nodes = met.where("NOT pair").select("shingle", "class")
+        nodes = cut_lineage(_largest(met.where("NOT pair").select("shingle", "class", "late")))
         first = met.where("pair").select(F.col("shingle").alias("a"), F.col("class").alias("b")).distinct()
 
         links = cut_lineage(self._compare(cut_lineage(self._bounds(first))))
         found = components(links)
-        more = cut_lineage(self._bounds(self._missing(nodes, found)))
+        more = cut_lineage(self._missing(nodes, found))
         links = links.unionByName(self._compare(more))
         found = components(links).select(F.col("node").alias("class"), "component")
 
