@@ -19,11 +19,11 @@ _STEP = 1 << 15
 
 
 def map_bits(sizes: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: a power of two, one and a half to three for each shingle.
+    """Bits of a set's bitmap: a power of two, two to four for each shingle.
 
-    Two sets of n shingles without a common one then seem to share 0.6 n at most, far from a similarity of 0.75.
+    Two sets of n shingles without a common one then seem to share half of n at most, far from a similarity of 0.75.
     """
-    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(1.5 * sizes, 1))).astype(np.int64))
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
 
 
 def bitmaps(shingles: np.ndarray, off: np.ndarray) -> list[bytes]:
