@@ -13,7 +13,7 @@ import numpy as np
 
 from wardline.llm import words as W
 
-LEAST_BITS = 256
+LEAST_BITS = 1024
 FAN = 8
 _STEP = 1 << 15
 
