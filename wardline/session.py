@@ -30,12 +30,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is named."""
+    """The shared folder the cluster names; a scratch folder only on one machine where none is named."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardline-"))
     return sc.getCheckpointDir()
 
@@ -87,8 +89,11 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[st
 
 def attach_small(big: DataFrame, small: DataFrame, on: list[str], spread: list[str],
                  how: str = "inner", max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join per-key values onto a large table: broadcast if proven small, else salted."""
+    """Join per-key values onto a large table: broadcast if proven small, else salted.
+
+    Columns come in one order both ways: those of ``big``, then the others of ``small``.
+    """
     local = small_table(small, max_rows)
-    if local is None:
-        return salted_join(big, small, on, spread, how)
-    return big.join(F.broadcast(local), on, how)
+    order = [*big.columns, *[c for c in small.columns if c not in on]]
+    met = salted_join(big, small, on, spread, how) if local is None else big.join(F.broadcast(local), on, how)
+    return met.select(*[F.col(f"`{c}`") for c in order])
