@@ -40,6 +40,7 @@ BUCKET_ENTRIES = 1 << 19
 GROUP = 500  # sets gathered around one centre
 COVERED = 4  # the pairs of the first traversal are all pairs of a node of so many members
 CHUNK = 2000  # members of a node that one task holds in the second traversal
+BEFORE = 4  # earlier nodes of a member that go along with it in the second traversal
 # A shingle is common if it is in this share of all classes (and in so many): then it comes late in the order.
 # At most (mean size of a set / share) shingles can be, however many documents there are.
 COMMON_SHARE, COMMON_LEAST = 0.0005, 32
@@ -290,6 +291,13 @@ def _across(num: int, den: int):
         own = (table.column("own").to_numpy() == table.column("chunk").to_numpy())[j]
         i, j = i[own], j[own]
         keep = part[i] != part[j]
+        i, j = i[keep], j[keep]
+        # Two members that stand in an earlier node together are left to that node.
+        before = [table.column(f"before_{k}").to_numpy() for k in range(1, BEFORE + 1)]
+        keep = np.ones(len(i), bool)
+        for one in before:
+            for two in before:
+                keep &= (one[i] != two[j]) | (one[i] == 0)
         pairs = np.sort(np.stack([classes[i[keep]], classes[j[keep]]]), axis=0)
         pairs = np.unique(pairs, axis=1) if pairs.size else pairs
         return pa.table([pairs[0], pairs[1]], schema=LINK)
@@ -360,10 +368,15 @@ class JaccardJoin:
         mixed = mixed.where("parts > 1").groupBy("k", "x").agg(F.min(F.struct("shingle", "main")).alias("node"))
         mixed = cut_lineage(mixed.select("node.shingle", F.col("node.main.component").alias("main"), F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks")))
         rows = nodes.join(mixed, "shingle").join(part, "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+        # All nodes that are traversed have one order. A pair of different components is looked at in each node that
+        # holds both, as no more than one of them is of the main component; so the first of these nodes is enough.
+        upto = Window.partitionBy("class").orderBy("shingle")
+        before = [f"before_{k}" for k in range(1, BEFORE + 1)]
+        rows = rows.withColumns({name: F.lag("shingle", k, 0).over(upto) for k, name in enumerate(before, start=1)})
         # A row goes to its own chunk; one outside the main component also goes to all others, to be held against them.
         outside = F.col("component") != F.col("main")
         others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: outside | (k == F.col("own")))
-        sent = rows.select("shingle", F.explode(others).alias("chunk"), "own", "class", "component", "n", "map", outside.alias("probe"))
+        sent = rows.select("shingle", F.explode(others).alias("chunk"), "own", "class", "component", "n", "map", outside.alias("probe"), *before)
         return sent.groupBy("shingle", "chunk").applyInArrow(_across(self.num, self.den), LINK_DDL).distinct()
 
     def run(self) -> DataFrame:
