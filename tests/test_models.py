@@ -207,28 +207,40 @@ def test_forward_selection_finds_the_signal(spark, people):
 
 # --- preparation ---------------------------------------------------------------------
 
-@pytest.mark.parametrize("leaf_rows", [4, 1000])
-def test_knn_equals_brute_force(spark, leaf_rows):
+@pytest.mark.parametrize("leaf_rows, width", [(4, 4), (1000, 4), (16, 40)])
+def test_knn_equals_brute_force(spark, leaf_rows, width):
+    """At 40 columns nearly every row has a null pattern of its own."""
     rng = np.random.default_rng(5)
-    x = np.round(rng.normal(size=(150, 4)), 1)
-    x[rng.random((150, 4)) < 0.2] = np.nan
+    x = np.round(rng.normal(size=(150, width)), 1)
+    x[rng.random((150, width)) < 0.2] = np.nan
     x[:40] = x[0]  # one group of copies
     x[149] = np.nan
-    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)], "id int, a double, b double, c double, d double")
-    got = impute.knn_impute(df, "id", list("abcd"), 2, leaf_rows=leaf_rows).toPandas().sort_values("id")[list("abcd")].to_numpy()
+    cols = [f"c{j}" for j in range(width)]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)],
+                               ", ".join(["id int", *[f"{c} double" for c in cols]]))
+    got = impute.knn_impute(df, "id", cols, 2, leaf_rows=leaf_rows).toPandas().sort_values("id")[cols].to_numpy()
     want = x.copy()
     for i in range(150):
         for j in np.flatnonzero(np.isnan(x[i])):
             donors = np.flatnonzero(~np.isnan(x[:, j]))
             diff = x[donors] - x[i]
             common = ~np.isnan(diff)
-            d = np.where(common.any(1), np.where(common, diff, 0).__pow__(2).sum(1) * 4 / np.maximum(common.sum(1), 1), np.inf)
+            d = np.where(common.any(1), np.where(common, diff, 0).__pow__(2).sum(1) * width / np.maximum(common.sum(1), 1), np.inf)
             near = np.lexsort((donors, d))[:2]
             near = near[np.isfinite(d[near])]
             want[i, j] = x[donors[near], j].mean() if len(near) else np.nanmean(x[:, j])
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_donor_boxes_do_not_follow_null_patterns(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 40))
+    x[rng.random((300, 40)) < 0.3] = np.nan
+    donors = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)], "id bigint, v array<double>")
+    _, leaves = impute._grow_leaves(donors, 40, 300, 50_000)
+    assert len(leaves.ids) == 1 and leaves.some.all()
+
+
 def test_chained_imputation_keeps_observed_values(spark, people):
     df, pdf = people
     holed = df.select("id", F.when(F.col("id") >= 80, F.col("age")).alias("age"), F.col("mark").cast("double").alias("mark"),

@@ -19,34 +19,43 @@ from wardline.session import cut_lineage, salted_join
 
 
 class Leaves:
-    """Boxes around groups of donors: number, observed columns, lowest and highest values."""
+    """Boxes around groups of donors: number, columns that some and that all of them have, lowest and highest values."""
 
-    def __init__(self, ids: np.ndarray, mask: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-        self.ids, self.mask, self.lo, self.hi = ids, mask, lo, hi
+    def __init__(self, ids: np.ndarray, some: np.ndarray, every: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        self.ids, self.some, self.every, self.lo, self.hi = ids, some, every, lo, hi
 
     def distances(self, x: np.ndarray, target: int) -> np.ndarray:
-        """Least possible null-aware distance from a row to each box; infinite where it cannot donate."""
+        """Least possible null-aware distance from a row to each box; infinite where it cannot donate.
+
+        A donor's distance is the mean of its squared gaps over the columns both have, times the width. Columns that
+        all donors of a box have are in that mean; of the others those that make it smallest, the narrowest gaps first.
+        """
         seen = ~np.isnan(x)
-        common = self.mask & seen
-        count = common.sum(axis=1)
-        gap = np.maximum(np.maximum(self.lo - x, x - self.hi), 0.0)
-        total = np.where(common, gap, 0.0) ** 2
+        gap = np.maximum(np.maximum(self.lo - x, x - self.hi), 0.0) ** 2
+        sure = self.every & seen
+        free = np.sort(np.where(self.some & seen & ~sure, gap, np.inf), axis=1)
+        total = np.where(sure, gap, 0.0).sum(axis=1)[:, None] + np.concatenate([np.zeros((len(gap), 1)), np.cumsum(free, axis=1)], axis=1)
+        count = sure.sum(axis=1)[:, None] + np.arange(x.size + 1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            d = total.sum(axis=1) * (x.size / count)
-        return np.where((count > 0) & self.mask[:, target], d, np.inf)
+            mean = np.where(count > 0, total / count, np.inf)
+        # a hair lower, so that rounding cannot put a box beyond a donor in it
+        d = mean.min(axis=1) * x.size * (1 - 1e-9)
+        return np.where(self.some[:, target], d, np.inf)
 
 
 def _grow_leaves(donors: DataFrame, width: int, leaf_rows: int, max_leaves: int) -> tuple[DataFrame, Leaves]:
     """Split donors at medians of their widest column until groups are small.
 
-    Only one summary row per group comes to the driver, and there are at most ``max_leaves``.
+    A null goes to the lower side, so rows of any null patterns share groups: any number of columns will do, and the
+    number of groups does not follow that of patterns. Only one summary row per group comes to the driver, and there
+    are at most ``max_leaves``.
     """
-    pattern = sum((F.when(F.col("v")[j].isNotNull(), F.lit(1 << j)).otherwise(0) for j in range(width)), F.lit(0))
-    rows = donors.withColumn("leaf", pattern.cast("bigint") * F.lit(1 << 32) + F.lit(1))
+    rows = donors.withColumn("leaf", F.lit(1).cast("bigint"))
     spark, round_ = donors.sparkSession, 0
     while True:
         stats = rows.groupBy("leaf").agg(
             F.count("*").alias("n"), *[F.min(F.col("v")[j]).alias(f"lo{j}") for j in range(width)],
+            *[F.count(F.col("v")[j]).alias(f"n{j}") for j in range(width)],
             *[F.max(F.col("v")[j]).alias(f"hi{j}") for j in range(width)],
             *[F.percentile_approx(F.col("v")[j], 0.5).alias(f"mid{j}") for j in range(width)]).toPandas()
         lo = stats[[f"lo{j}" for j in range(width)]].to_numpy(float)
@@ -54,7 +63,7 @@ def _grow_leaves(donors: DataFrame, width: int, leaf_rows: int, max_leaves: int)
         spread = np.nan_to_num(hi - lo, nan=-1.0)
         axis = spread.argmax(axis=1)
         big = (stats["n"].to_numpy() > leaf_rows) & (spread.max(axis=1) > 0)
-        if not big.any() or len(stats) + big.sum() > max_leaves or round_ >= 28:
+        if not big.any() or len(stats) + big.sum() > max_leaves or round_ >= 60:
             break
         cuts = []
         for i in np.flatnonzero(big):
@@ -65,14 +74,14 @@ def _grow_leaves(donors: DataFrame, width: int, leaf_rows: int, max_leaves: int)
         table = spark.createDataFrame(cuts, "leaf bigint, axis int, cut double")
         split = rows.join(F.broadcast(table), "leaf", "left")
         side = F.when(F.expr("v[axis]") > F.col("cut"), 1).otherwise(0)
-        # the low 32 bits hold the path: a leading one, then one bit per split
-        low, high = F.col("leaf").bitwiseAND(F.lit((1 << 32) - 1)), F.col("leaf") - F.col("leaf").bitwiseAND(F.lit((1 << 32) - 1))
-        moved = F.when(F.col("axis").isNull(), F.col("leaf")).otherwise(high + low * 2 + side)
+        # the number is the path: a leading one, then one bit per split
+        moved = F.when(F.col("axis").isNull(), F.col("leaf")).otherwise(F.col("leaf") * 2 + side)
         rows = split.withColumn("leaf", moved).drop("axis", "cut")
         round_ += 1
         if round_ % 4 == 0:
             rows = cut_lineage(rows)
-    return rows, Leaves(stats["leaf"].to_numpy(np.int64), ~np.isnan(lo), np.nan_to_num(lo), np.nan_to_num(hi))
+    have = stats[[f"n{j}" for j in range(width)]].to_numpy(np.int64)
+    return rows, Leaves(stats["leaf"].to_numpy(np.int64), have > 0, have == stats[["n"]].to_numpy(np.int64), np.nan_to_num(lo), np.nan_to_num(hi))
 
 
 def _nearest_leaf(leaves: Leaves):
@@ -113,7 +122,7 @@ def _best_in_leaf(width: int, k: int):
                 count = common.sum(axis=1)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     d = np.where(common, diff, 0.0).__pow__(2).sum(axis=1) * (width / count)
-                d = np.where(count > 0, d, np.inf)
+                d = np.where((count > 0) & ~np.isnan(m[:, t]), d, np.inf)
                 order = np.lexsort((ids, d))[:k]
                 order = order[np.isfinite(d[order])]
                 dist.append(d[order].tolist())
