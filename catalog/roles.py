@@ -122,48 +122,42 @@ VITALS_SQL = """vitals AS (SELECT user_id AS subject_id, user_id AS stay_id, ts
   value / 2 AS sbp, event_id AS vital_id FROM events WHERE event_type = 'click')"""
 
 
-SUSPICION_SQL = """ab AS (SELECT *, CAST(starttime AS DATE) AS ab_date,
-    row_number() OVER (PARTITION BY subject_id ORDER BY starttime, stoptime, antibiotic) AS ab_id FROM antibiotics),
-me AS (SELECT micro_specimen_id, max(subject_id) AS subject_id, max(chartdate) AS chartdate, max(charttime) AS charttime,
-    max(spec_type_desc) AS spec_type_desc, max(CASE WHEN org_name IS NOT NULL AND org_name <> '' THEN 1 ELSE 0 END) AS positive
-    FROM cultures GROUP BY micro_specimen_id),
-before_ab AS (SELECT * FROM (SELECT ab.subject_id, ab.ab_id, coalesce(me.charttime, CAST(me.chartdate AS TIMESTAMP)) AS t,
-    me.positive, me.spec_type_desc, row_number() OVER (PARTITION BY ab.subject_id, ab.ab_id
-      ORDER BY me.chartdate NULLS LAST, me.charttime NULLS LAST, me.micro_specimen_id) AS rn
-    FROM ab JOIN me ON ab.subject_id = me.subject_id AND (
-      (me.charttime IS NOT NULL AND ab.starttime > me.charttime AND ab.starttime <= me.charttime + INTERVAL 72 HOUR) OR
-      (me.charttime IS NULL AND ab.ab_date >= me.chartdate AND ab.ab_date <= me.chartdate + INTERVAL 3 DAY))) WHERE rn = 1),
-after_ab AS (SELECT * FROM (SELECT ab.subject_id, ab.ab_id, coalesce(me.charttime, CAST(me.chartdate AS TIMESTAMP)) AS t,
-    me.positive, me.spec_type_desc, row_number() OVER (PARTITION BY ab.subject_id, ab.ab_id
-      ORDER BY me.chartdate NULLS LAST, me.charttime NULLS LAST, me.micro_specimen_id) AS rn
-    FROM ab JOIN me ON ab.subject_id = me.subject_id AND (
-      (me.charttime IS NOT NULL AND ab.starttime >= me.charttime - INTERVAL 24 HOUR AND ab.starttime < me.charttime) OR
-      (me.charttime IS NULL AND ab.ab_date >= me.chartdate - INTERVAL 1 DAY AND ab.ab_date <= me.chartdate))) WHERE rn = 1),
-suspicion AS (SELECT ab.subject_id, ab.stay_id, ab.hadm_id, ab.ab_id, ab.antibiotic, ab.starttime AS antibiotic_time,
-    CASE WHEN b.spec_type_desc IS NULL AND a.spec_type_desc IS NULL THEN 0 ELSE 1 END AS suspected_infection,
-    CASE WHEN b.spec_type_desc IS NULL AND a.spec_type_desc IS NULL THEN NULL ELSE coalesce(b.t, ab.starttime) END AS suspected_infection_time,
-    coalesce(b.t, a.t) AS culture_time, coalesce(b.spec_type_desc, a.spec_type_desc) AS specimen,
-    coalesce(b.positive, a.positive) AS positive_culture
-    FROM ab LEFT JOIN before_ab b ON ab.subject_id = b.subject_id AND ab.ab_id = b.ab_id
-    LEFT JOIN after_ab a ON ab.subject_id = a.subject_id AND ab.ab_id = a.ab_id)"""
-
-ONSET_SQL = """pairs AS (SELECT s.*, f.endtime, f.sofa_score, f.renal, row_number() OVER (PARTITION BY s.stay_id
-    ORDER BY suspected_infection_time NULLS LAST, antibiotic_time NULLS LAST, culture_time NULLS LAST, f.endtime, ab_id) AS rn
-    FROM suspicion s JOIN sofa f ON s.stay_id = f.stay_id AND f.endtime >= s.suspected_infection_time - INTERVAL 48 HOUR
-      AND f.endtime <= s.suspected_infection_time + INTERVAL 24 HOUR
-    WHERE s.stay_id IS NOT NULL AND f.sofa_score >= 2),
-onset AS (SELECT subject_id, stay_id, antibiotic_time, culture_time, suspected_infection_time, endtime AS sofa_time, sofa_score,
-    renal, (sofa_score >= 2 AND suspected_infection = 1) AS sepsis3 FROM pairs WHERE rn = 1)"""
-
-DETAIL_SQL = """detail AS (SELECT a.subject_id, s.hadm_id, s.stay_id, p.gender, a.admittime, a.dischtime,
-    date_diff('day', CAST(a.admittime AS DATE), CAST(a.dischtime AS DATE)) AS los_hospital,
-    CAST(year(a.admittime) - p.anchor_year + p.anchor_age AS INTEGER) AS admission_age, a.ethnicity, a.hospital_expire_flag,
-    dense_rank() OVER (PARTITION BY a.subject_id ORDER BY a.admittime) AS hospstay_seq,
-    dense_rank() OVER (PARTITION BY a.subject_id ORDER BY a.admittime) = 1 AS first_hosp_stay,
-    s.intime AS icu_intime, s.outtime AS icu_outtime, round(date_diff('hour', s.intime, s.outtime) / 24.0, 2) AS los_icu,
-    dense_rank() OVER (PARTITION BY s.hadm_id ORDER BY s.intime) AS icustay_seq,
-    dense_rank() OVER (PARTITION BY s.hadm_id ORDER BY s.intime) = 1 AS first_icu_stay
-    FROM stays s JOIN admissions a ON s.hadm_id = a.hadm_id JOIN patients p ON a.subject_id = p.subject_id)"""
+# A specimen explains a span of antibiotic times of each kind; a culture of which only the date is known, whole days.
+SUSPICION_SQL = """courses AS (SELECT subject_id, unnest(given, recursive := true), unnest(range(1, len(given) + 1)) AS ab_id FROM (
+    SELECT subject_id, list({'stay_id': stay_id, 'hadm_id': hadm_id, 'antibiotic': antibiotic, 'starttime': starttime}
+      ORDER BY starttime, stoptime, antibiotic) AS given FROM antibiotics GROUP BY subject_id)),
+specimens AS (SELECT micro_specimen_id AS id, max(subject_id) AS subject_id, max(chartdate) AS d, max(charttime) AS moment,
+    {'t': coalesce(max(charttime), CAST(max(chartdate) AS TIMESTAMP)), 'specimen': max(spec_type_desc),
+     'positive': CAST(coalesce(bool_or(org_name <> ''), false) AS INTEGER)} AS seen FROM cultures GROUP BY micro_specimen_id),
+spans AS (SELECT *, 'past' AS kind, coalesce(moment + INTERVAL 1 MICROSECOND, d) AS lo,
+    coalesce(moment + INTERVAL 72 HOUR + INTERVAL 1 MICROSECOND, d + INTERVAL 4 DAY) AS hi FROM specimens
+  UNION ALL SELECT *, 'next', coalesce(moment, d) - INTERVAL 1 DAY, coalesce(moment, d + INTERVAL 1 DAY) FROM specimens),
+explained AS (SELECT c.subject_id, ab_id, first(seen ORDER BY d, moment NULLS LAST, id) FILTER (WHERE kind = 'past') AS past,
+    first(seen ORDER BY d, moment NULLS LAST, id) FILTER (WHERE kind = 'next') AS later
+    FROM courses c JOIN spans s ON s.subject_id = c.subject_id AND c.starttime >= s.lo AND c.starttime < s.hi GROUP BY c.subject_id, ab_id),
+suspicion AS (SELECT subject_id, stay_id, hadm_id, ab_id, antibiotic, starttime AS antibiotic_time,
+    CAST(past IS NOT NULL OR later IS NOT NULL AS INTEGER) AS suspected_infection,
+    CASE WHEN past IS NOT NULL THEN past.t WHEN later IS NOT NULL THEN starttime END AS suspected_infection_time,
+    coalesce(past, later).t AS culture_time, coalesce(past, later).specimen AS specimen, coalesce(past, later).positive AS positive_culture
+    FROM courses LEFT JOIN explained USING (subject_id, ab_id))"""
+
+ONSET_SQL = """onset AS (SELECT stay_id, unnest(first({'subject_id': subject_id, 'antibiotic_time': antibiotic_time, 'culture_time': culture_time,
+      'suspected_infection_time': suspected_infection_time, 'sofa_time': endtime, 'sofa_score': sofa_score, 'renal': renal,
+      'sepsis3': suspected_infection = 1} ORDER BY suspected_infection_time, antibiotic_time, culture_time, endtime, ab_id, score_id))
+    FROM suspicion JOIN sofa USING (stay_id)
+    WHERE sofa_score >= 2 AND epoch_us(endtime) - epoch_us(suspected_infection_time) BETWEEN -48 * 3600000000 AND 24 * 3600000000 GROUP BY stay_id)"""
+
+# The place of a time is its position among the sorted distinct times.
+DETAIL_SQL = """visits AS (SELECT subject_id, list_sort(list_distinct(list(admittime))) AS visit_times FROM admissions
+    WHERE hadm_id IN (SELECT hadm_id FROM stays) GROUP BY subject_id),
+units AS (SELECT hadm_id, list_sort(list_distinct(list(intime))) AS unit_times FROM stays GROUP BY hadm_id),
+detail AS (SELECT subject_id, hadm_id, stay_id, gender, admittime, dischtime,
+    CAST(dischtime AS DATE) - CAST(admittime AS DATE) AS los_hospital,
+    CAST(anchor_age + (year(admittime) - anchor_year) AS INTEGER) AS admission_age, ethnicity, hospital_expire_flag,
+    CAST(list_position(visit_times, admittime) AS BIGINT) AS hospstay_seq, admittime = visit_times[1] AS first_hosp_stay,
+    intime AS icu_intime, outtime AS icu_outtime, round((epoch(date_trunc('hour', outtime)) - epoch(date_trunc('hour', intime))) / 86400, 2) AS los_icu,
+    CAST(list_position(unit_times, intime) AS BIGINT) AS icustay_seq, intime = unit_times[1] AS first_icu_stay
+    FROM admissions JOIN visits USING (subject_id) JOIN units USING (hadm_id) JOIN stays USING (hadm_id) JOIN patients USING (subject_id))"""
 
 
 def with_roles(*ctes: str, body: str) -> str:
