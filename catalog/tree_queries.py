@@ -1,4 +1,4 @@
-"""Move trees: a user's day is a game, its first ten events the moves."""
+"""Move trees: a user's day is a game, its events the moves; a game's value counts all of them."""
 
 from __future__ import annotations
 
@@ -9,24 +9,25 @@ from catalog.registry import query
 from catalog.summary_queries import rounded
 from wardline.operators import matching, tree
 from wardline.plans import openings
+from wardline.scale import null_safe_join
 
-DEPTH = 10  # plies of the reference's tree
+DEPTH = 10  # deepest node of a tree
+LATE = 24  # longest prefix that any operator looks at
 
 
 def sequences(t):
-    """Moves of each game up to the tree's depth; the rank limit acts before the exchange."""
+    """Moves of each game as far as the operators look, and its total over all moves; the rank limit acts before the exchange."""
     game = [F.col("user_id"), F.col("ts").cast("date").alias("day")]
-    ranked = t.events.select(*game, "ts", "event_id", "event_type", "value").withColumn(
-        "ply", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id"))).filter(F.col("ply") <= DEPTH)
-    moves = F.sort_array(F.collect_list(F.struct("ply", "event_type", "value")))
-    games = ranked.groupBy("user_id", "day").agg(moves.alias("_m"))
-    return games.select("user_id", "day", F.transform("_m", lambda s: s["event_type"]).alias("play"),
-                        F.aggregate("_m", F.lit(0.0), lambda a, s: a + s["value"]).alias("total"))
+    events = t.events.select(*game, "ts", "event_id", "event_type", "value")
+    ranked = events.withColumn("ply", F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id"))).filter(F.col("ply") <= LATE)
+    games = ranked.groupBy("user_id", "day").agg(F.sort_array(F.collect_list(F.struct("ply", "event_type"))).alias("_m"))
+    totals = events.groupBy("user_id", "day").agg(F.sum("value").alias("total"))
+    plays = games.select("user_id", "day", F.transform("_m", lambda s: s["event_type"]).alias("play"))
+    return null_safe_join(plays, totals, ["user_id", "day"])
 
 
-SEQ_SQL = f"""seqs AS (SELECT user_id, day, list(event_type ORDER BY ply) AS play, sum(value) AS total FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_type, value,
-  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS ply FROM events) WHERE ply <= {DEPTH} GROUP BY user_id, day),
-nodes AS (SELECT play[1:d] AS play, d AS depth, count(*) AS games, avg(total) AS v FROM (SELECT play, total, unnest(range(1, len(play) + 1)) AS d FROM seqs) GROUP BY 1, 2)"""
+SEQ_SQL = f"""seqs AS (SELECT user_id, CAST(ts AS DATE) AS day, list(event_type ORDER BY ts, event_id) AS play, sum(value) AS total FROM events GROUP BY 1, 2),
+nodes AS (SELECT play[1:d] AS play, d AS depth, count(*) AS games, avg(total) AS v FROM (SELECT play, total, unnest(range(1, least(len(play), {DEPTH}) + 1)) AS d FROM seqs) GROUP BY 1, 2)"""
 
 
 def text_sql(play: str) -> str:
@@ -64,13 +65,13 @@ def book(t):
 
 
 LABEL_SQL = f"""{SEQ_SQL}, {BOOK_SQL}, hits AS (SELECT s.user_id, s.day, b.name, len(b.play) AS n FROM (SELECT user_id, day, play, unnest(range(1, len(play) + 1)) AS d FROM seqs) s
-JOIN book b ON b.play = s.play[1:d]), labels_ AS (SELECT s.user_id, s.day, s.play, s.total, e.early_label, l.late_label FROM seqs s
+JOIN book b ON b.play = s.play[1:d]), labels_ AS (SELECT s.user_id, s.day, s.total, e.early_label, l.late_label FROM seqs s
 LEFT JOIN (SELECT user_id, day, arg_max(name, n) AS early_label FROM hits WHERE n <= 4 GROUP BY 1, 2) e ON s.user_id = e.user_id AND s.day = e.day
-LEFT JOIN (SELECT user_id, day, arg_max(name, n) AS late_label FROM hits WHERE n > 4 AND n <= 24 GROUP BY 1, 2) l ON s.user_id = l.user_id AND s.day = l.day)"""
+LEFT JOIN (SELECT user_id, day, arg_max(name, n) AS late_label FROM hits WHERE n > 4 AND n <= {LATE} GROUP BY 1, 2) l ON s.user_id = l.user_id AND s.day = l.day)"""
 
 
 def labelled(t):
-    return tree.label_by_prefix(sequences(t), "play", ["user_id", "day"], book(t), "line", "name")
+    return tree.label_by_prefix(sequences(t), "play", ["user_id", "day"], book(t), "line", "name", late=LATE)
 
 
 @query("label_by_prefix", f"WITH {LABEL_SQL} SELECT user_id, day, early_label, late_label FROM labels_")
