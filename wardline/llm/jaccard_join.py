@@ -360,14 +360,14 @@ class JaccardJoin:
     def _missing(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs across components that share a node and pass the bounds."""
         part = self.known.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
-        part = cut_lineage(part.select("class", F.coalesce("component", "class").alias("component"), "n", "map"))
+        part = cut_lineage(part.select("class", F.coalesce("component", "class").alias("component"), "n"))
         members = nodes.join(part.select("class", "component"), "class")
         counts = members.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("class")).alias("x"))
         mixed = counts.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.bit_xor("x").alias("x"), F.max(F.struct("k", "component")).alias("main"))
         # Nodes of the same members give the same pairs: one of them is enough.
         mixed = mixed.where("parts > 1").groupBy("k", "x").agg(F.min(F.struct("shingle", "main")).alias("node"))
         mixed = cut_lineage(mixed.select("node.shingle", F.col("node.main.component").alias("main"), F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks")))
-        rows = nodes.join(mixed, "shingle").join(part, "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+        rows = nodes.join(mixed, "shingle").join(part, "class").join(self.known.select("class", "map"), "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
         # All nodes that are traversed have one order. A pair of different components is looked at in each node that
         # holds both, as no more than one of them is of the main component; so the first of these nodes is enough.
         upto = Window.partitionBy("class").orderBy("shingle")
