@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from wardline.session import configure, cut_lineage
 
-# Rows are whole documents: few of them make an Arrow batch.
-RUNTIME = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+RUNTIME = {
+    # Rows are whole documents: few of them make an Arrow batch.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # Steps end in written tables, so the shuffle files of a step that is over can go at once.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 1_000_000
 
