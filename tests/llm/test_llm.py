@@ -228,6 +228,19 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_copies_are_packed_in_groups_of_bounded_size(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from wardline.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP_ROWS", 100)
+    texts = ["a b c " * 200] * 150 + [""] * 100 + [f"{i} " * (i % 90 + 100) for i in range(250)] + ["a b " * 20_000]
+    docs = spark.createDataFrame([(None if i % 3 else i // 60, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in got)
+    assert len(sizes) == -(-len(got) // 100) and max(sizes.values()) < 150
+    assert len({r.sequence_id for r in got}) <= sum(r.length for r in got) / 2048 + 2 * len(sizes)
+
+
 def test_decontaminate(spark, docs, none):
     from wardline.llm import decontaminate as C
 
