@@ -347,6 +347,19 @@ def test_main_text(spark):
     assert np.mean(score) > 0.9
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>end", "so x=2 holds end"),
+    ("<svg><title>no</title><path d='M0'/><g><svg><text>in</text></svg><text>label</text></g></svg> end", "in label end"),
+    ("<p>a <svg><path d=x>b<p>tail", "a b tail"), ("<p>a <math>b<div>tail</div>", "a b tail"), ("a <noscript>b<p>tail", "a b tail"), ("<template>x<p>tail", "x tail"),
+    ("<p>a<select><option>no<p>tail", "a tail"), ("<select><option>no</select>yes <select><option>no<div>mid</div><select><option>no</select>end", "yes mid end"),
+    ("a<script>no</script><style>no</style><textarea>no</textarea><iframe>no</iframe> b", "a b")])
+def test_only_raw_elements_are_skipped(page, want):
+    from wardline.llm import dom
+
+    nodes = dom.elements(dom.parse(page))
+    assert dom.text_of(nodes, np.ones(len(nodes), bool)) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

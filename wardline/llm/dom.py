@@ -13,8 +13,14 @@ _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math textarea title select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style iframe textarea title select".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr
+noscript template svg tspan math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mpadded mphantom semantics annotation""".split())
+# Within these, an element may end itself, and only the named ones end a paragraph around them.
+FOREIGN = ("svg", "math")
+LEAVES = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 hr li menu ol p pre table ul".split())
+# A select without an end holds its options only.
+_NO_OPTION = re.compile(r"<(?!/?(?:option|optgroup|hr)\b)/?[a-zA-Z]", re.I)
 # An element of the left is closed by a start of the right that finds it open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "thead": {"thead", "tbody", "tfoot"}, "tbody": {"thead", "tbody", "tfoot"}, "tfoot": {"thead", "tbody", "tfoot"}}
@@ -50,6 +56,15 @@ def _tokens(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+def _raw_end(tag: str, html: str, at: int) -> int:
+    """Where the raw content from ``at`` on ends."""
+    end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+    if tag == "select" and (end is None or re.compile(r"<select\b", re.I).search(html, at, end.start())):
+        end = _NO_OPTION.search(html, at)
+        return end.start() if end else len(html)
+    return end.end() if end else len(html)
+
+
 def parse(html: str) -> Node:
     """The tree below a root without a tag. Open ends, stray ends and cut-off tags are put up with."""
     root = now = Node("", frozenset(), None)
@@ -76,7 +91,8 @@ def parse(html: str) -> Node:
             elif tag == "p":
                 now.parts.append(Node("p", frozenset(), now))
             continue
-        closed = CLOSES.get(tag) or ({"p"} if tag not in INLINE and tag not in VOID and tag not in RAW else None)
+        foreign = any(open_tags.get(f) for f in FOREIGN)
+        closed = CLOSES.get(tag) or ({"p"} if tag not in INLINE and tag not in VOID and tag not in RAW and (not foreign or tag in LEAVES) else None)
         if closed:
             top = now
             while top.parent is not None and top.tag not in closed and top.tag not in BOUNDS:
@@ -89,11 +105,10 @@ def parse(html: str) -> Node:
                 now = now.parent
         node = Node(tag, _tokens(m[3]) if m[3] else frozenset(), now)
         now.parts.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
+        if tag in VOID or m[3].endswith("/") and (foreign or tag in FOREIGN):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            at = _raw_end(tag, html, at)
             continue
         open_tags[tag] = open_tags.get(tag, 0) + 1
         now = node
