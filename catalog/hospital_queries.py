@@ -102,7 +102,7 @@ def case_sql(conditions: codes.Conditions, trim: bool = False) -> str:
 
 
 CHARLSON = codes.load_conditions(codes.RULES / "charlson.csv")
-ANGUS = codes.load_conditions(codes.RULES / "angus.csv")
+ANGUS = hospital.published_sepsis()
 DX = {c: ANGUS[c] for c in ("infection", "explicit_sepsis", "organ_dysfunction")}
 
 
@@ -144,7 +144,7 @@ CLAIM_ROLES = (r.ADMISSIONS_SQL, r.DIAGNOSES_SQL, r.PROCEDURES_SQL, CLAIMS_SQL)
 
 
 def claims(t):
-    return hospital.claims_sepsis(r.admissions(t), r.diagnoses(t), r.procedures(t))
+    return hospital.claims_sepsis(r.admissions(t), r.diagnoses(t), r.procedures(t), ANGUS)
 
 
 @query("decision_flag", r.with_roles(*CLAIM_ROLES, body="SELECT * FROM claims"))

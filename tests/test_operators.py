@@ -184,6 +184,19 @@ def test_infection_list_is_a_parameter(spark):
     assert hospital.claims_sepsis(adm, dx, dx, infection_10=["A000"]).first()["angus_sepsis"] == 1
 
 
+def test_registered_claims_know_the_published_infections(spark, monkeypatch):
+    from catalog import hospital_queries as q
+
+    listed = ["A000", "A09", "A1801", "A3950", "A35", "J020", "J441", "K5712", "K630", "K750", "K810", "M00019", "M4630", "M9089", "N390", "R7881", "T814XXA", "T880XXA"]
+    seen = [*listed, " N390 ", "E119", "A00", "A0009"]
+    adm = spark.createDataFrame([(9, i) for i in range(len(seen))], "subject_id int, hadm_id int")
+    dx = spark.createDataFrame([(i, 10, c) for i, k in enumerate(seen) for c in (k, "N170")], "hadm_id int, icd_version int, icd_code string")
+    for role, df in (("admissions", adm), ("diagnoses", dx), ("procedures", dx.filter("false"))):
+        monkeypatch.setattr(q.r, role, lambda t, df=df: df)
+    got = {r["hadm_id"]: r["angus_sepsis"] for r in q.claims(None).collect()}
+    assert [got[i] for i in range(len(seen))] == [1] * (len(listed) + 1) + [0, 0, 0]
+
+
 def test_index_pairs_and_missing_age(spark):
     adm = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "subject_id int, hadm_id int")
     dx = spark.createDataFrame([(1, 9, "5710"), (1, 9, "5722"), (1, 9, "1970"), (1, 9, "1500"), (2, 9, "2500")], "hadm_id int, icd_version int, icd_code string")

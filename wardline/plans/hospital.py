@@ -117,12 +117,19 @@ def comorbidity_index(admissions: DataFrame, diagnoses: DataFrame, ages: DataFra
     return full.join(scored, "hadm_id", "left").withColumn("charlson_comorbidity_index", index)
 
 
+def published_sepsis() -> codes.Conditions:
+    """The claims rules with the whole published list of version-10 infection codes."""
+    conditions = codes.load_conditions(codes.RULES / "angus.csv")
+    conditions["infection"][10] += conditions.pop("infection_listed")[10]
+    return conditions
+
+
 def claims_sepsis(admissions: DataFrame, diagnoses: DataFrame, procedures: DataFrame,
                   conditions: codes.Conditions | None = None, infection_10: list[str] | None = None) -> DataFrame:
     """Claims-based sepsis flags per admission.
 
     ``infection_10`` is the caller's list of exact version-10 infection codes, added to the
-    short ones that ship with the rules.
+    short ones that are always tested. ``conditions=published_sepsis()`` has the published list.
     """
     conditions = conditions or codes.load_conditions(codes.RULES / "angus.csv")
     if infection_10:
