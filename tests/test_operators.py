@@ -408,3 +408,15 @@ def test_study_card_and_cohort(spark):
     pos = spark.createDataFrame([(1, dt.date(2024, 1, 5)), (1, dt.date(2024, 1, 3)), (2, dt.date(2024, 1, 1))], "id int, date date")
     rows = study.study_cohort(adm, pos, "id").collect()
     assert [(r["id"], r["critical_date"], r["case_type"], r["died"], r["went_to_icu"], r["severe"]) for r in rows] == [(1, dt.date(2024, 1, 3), 2, True, False, True)]
+
+
+def test_conversation_roles_keep_every_turn(spark):
+    from types import SimpleNamespace
+
+    from catalog import tree_queries as q
+
+    rows = [(1, i, "user" if i % 2 else "assistant") for i in range(1, 31)] + [(2, 1, "user"), (2, 2, "system")]
+    talk = spark.createDataFrame(rows, "conv_id bigint, turn int, role string")
+    got = {r["play"]: (r["games"], r["depth"]) for r in q.conversation_roles(SimpleNamespace(conversations=talk)).collect()}
+    want = {",".join(r for _, _, r in rows[:n]): (1 if n > 1 else 2, n) for n in range(1, 31)}
+    assert got == {**want, "user,system": (1, 2)}

@@ -21,9 +21,12 @@ def link_parents(nodes: DataFrame, seq: str, key: str, name: str = "parent_id")
     return attach_parent_by_prefix(nodes, seq, key, name)
 
 
-def tree_nodes(sequences: DataFrame, seq: str, max_depth: int) -> DataFrame:
-    """All distinct prefixes up to a depth with the number of sequences through each."""
-    return sequences.select(F.explode(prefixes(seq, max_depth)).alias("play")).groupBy("play").agg(
+def tree_nodes(sequences: DataFrame, seq: str, max_depth: int | None = None) -> DataFrame:
+    """All distinct prefixes, up to a depth if one is given, with the number of sequences through each."""
+    top = F.least(F.size(seq), F.lit(max_depth)) if max_depth else F.size(seq)
+    # a row for each length, cut afterwards: the prefixes of a long sequence never stand in one row
+    lengths = sequences.filter(F.size(seq) > 0).select(F.col(seq).alias("_seq"), F.explode(F.sequence(F.lit(1), top)).alias("_n"))
+    return lengths.select(F.slice("_seq", F.lit(1), F.col("_n")).alias("play")).groupBy("play").agg(
         F.count("*").alias("games")).withColumn("depth", F.size("play"))
 
 
