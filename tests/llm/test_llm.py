@@ -77,6 +77,20 @@ def test_digest_index_remembers(spark):
     assert "SortMergeJoin" in plan and name in plan
 
 
+def test_first_batch_meets_the_index_too(docs, monkeypatch):
+    from wardline.llm import exact_dedup as E
+
+    unseen, met = E.DigestIndex.unseen, []
+
+    def watched(index, groups):
+        out = unseen(index, groups)
+        met.append((index.exists(), "LeftAnti" in out._jdf.queryExecution().toString()))
+        return out
+
+    monkeypatch.setattr(E.DigestIndex, "unseen", watched)
+    assert E.exact_dedup(docs).where("known").count() == 0 and met == [(True, True)]
+
+
 def test_jaccard_join(docs, none):
     from wardline.llm.jaccard_join import jaccard_join
 

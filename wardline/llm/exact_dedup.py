@@ -37,10 +37,13 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table) if self.exists() else self.spark.createDataFrame([], SCHEMA)
 
+    def create(self) -> None:
+        """An empty index where there is none."""
+        empty = self.spark.createDataFrame([], SCHEMA)
+        empty.write.mode("ignore").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+
     def unseen(self, groups: DataFrame) -> DataFrame:
         """Groups whose digest the index does not hold: the index side is read bucket by bucket."""
-        if not self.exists():
-            return groups
         known = self.read().select("digest")
         return groups.hint("merge").join(known.hint("merge"), "digest", "left_anti")
 
@@ -61,16 +64,12 @@ class DigestIndex:
         # The order puts rows without an id first, so that any row with one beats them.
         groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_last"))
         groups = groups.select("digest", "group_size", F.col("_last.doc_id").alias("keep_id"), F.col("_last._row").alias("_keep_row"))
-        fresh = self.unseen(groups)
-        if self.exists():
-            fresh = cut_lineage(fresh)  # the append below changes the table that this reads
-            earlier = cut_lineage(self.read().select("digest", F.col("keep_id").alias("_earlier")))
-            self.append(fresh, batch)
-            both = groups.join(earlier, "digest", "left_outer").withColumn("known", F.col("_earlier").isNotNull())
-            both = both.withColumn("keep_id", F.coalesce("_earlier", "keep_id")).drop("_earlier")
-        else:
-            self.append(fresh, batch)
-            both = groups.withColumn("known", F.lit(False))
+        self.create()
+        fresh = cut_lineage(self.unseen(groups))  # the append below changes the table that this reads
+        earlier = cut_lineage(self.read().select("digest", F.col("keep_id").alias("_earlier"), F.lit(True).alias("_known")))
+        self.append(fresh, batch)
+        both = groups.join(earlier, "digest", "left_outer").withColumn("known", F.col("_known").isNotNull())
+        both = both.withColumn("keep_id", F.when(F.col("known"), F.col("_earlier")).otherwise(F.col("keep_id"))).drop("_earlier", "_known")
         # A group of copies may hold much of the input: a plain join of two shuffled sides, which Spark splits.
         out = rows.join(both, "digest")
         return out.select("doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"),
