@@ -1,4 +1,3 @@
-import os
 import sys
 import tempfile
 from pathlib import Path
@@ -21,5 +20,3 @@ def spark():
     yield configure(session)
     session.stop()
 
-
-DATA = os.environ.get("WARDLINE_DATA", "/root/testdata/sf0.01")
