@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, markov, packing, quality, substring_dedup, warc
+from wardline.llm import bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, markov, packing, quality, substring_dedup, warc
 from wardline.llm.common import prepare
 
 # Twins of texts that are lower-cased in A-Z only.
@@ -164,6 +164,14 @@ SELECT page_id, n AS payload_bytes,
 FROM p
 """
 
+
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digest(bpe.decode(bpe.encode(_table(spark, folder, "documents"), path), path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_exact_dedup": op2_exact_dedup,
@@ -175,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_filter": op9_quality_filter,
     "op10_warc": op10_warc,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL,
                        "op10_warc": OP10_SQL}
