@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, markov, packing, quality, substring_dedup, warc
+from wardline.llm import bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, markov, packing, periodic, quality, substring_dedup, warc
 from wardline.llm.common import prepare
 
 # Twins of texts that are lower-cased in A-Z only.
@@ -172,6 +173,55 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(_table(spark, folder, "documents"), path), path))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which some repeat a stretch of their own words up to the end, by a rule on doc_id."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    some = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.expr("crc32(cast(string(doc_id) as binary)) div 10").alias("g"))
+    some = some.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    some = some.withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    again = F.expr("slice(concat(slice(w, 1, a), flatten(array_repeat(slice(w, a + 1, p), int(1 + (n - a) div p)))), 1, n)")
+    return some.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digest(periodic.collapse_runs(with_planted_runs(_table(spark, folder, "documents"))))
+
+
+OP12_SQL = r"""
+WITH c AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, xor(4294967295, list_reduce(
+    list_concat([4294967295], flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(CAST(doc_id AS VARCHAR), '')])),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS h FROM documents
+), b AS (
+  SELECT *, len(ws) AS n, h // 10 AS g FROM c
+), a AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM b
+), q AS (
+  SELECT *, CASE WHEN a IS NOT NULL THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a
+), d AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE [CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END for i in generate_series(0, n - 1)] END AS ws FROM q
+), w AS (
+  SELECT doc_id, n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d
+), e AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i AND y.i - x.i <= x.n // 4
+), s AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k
+), r AS (
+  SELECT doc_id, s, e - s AS l, min(q) AS q FROM s WHERE e - s >= greatest(6, 4 * q) GROUP BY doc_id, s, e
+), t AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min(r, (-l, s, q)) AS top, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(s + q, s + l - 1)) AS i FROM r
+), k AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.l AS BIGINT) AS length, CAST(top.q AS BIGINT) AS period,
+       CAST(1000 * top.l // top.q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_exact_dedup": op2_exact_dedup,
@@ -184,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_filter": op9_quality_filter,
     "op10_warc": op10_warc,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL,
-                       "op10_warc": OP10_SQL}
+                       "op10_warc": OP10_SQL, "op12_periodic_runs": OP12_SQL}
