@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, markov, packing, periodic, quality, substring_dedup, warc
+from wardline.llm import bpe, collocations, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, markov, packing, periodic, quality, substring_dedup, warc
 from wardline.llm.common import prepare
 
 # Twins of texts that are lower-cased in A-Z only.
@@ -222,6 +222,45 @@ FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+OP13_SQL = rf"""
+WITH s AS (
+  SELECT lang, doc, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS ps FROM documents)
+), w AS (
+  SELECT lang, doc, k, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM s
+), g AS (
+  SELECT lang, len, array_to_string(ws[i:i + len - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, len, unnest(generate_series(1, len(ws) - len + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS len) WHERE len(ws) >= len)
+), f AS (
+  SELECT lang, len, phrase, count(*) AS n FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, sum(n) AS n FROM f WHERE len = 1 GROUP BY lang
+), c AS (
+  SELECT lang, len, phrase, n AS a, string_split(phrase, ' ') AS v FROM f WHERE len >= 2 AND n >= 30
+), k AS (
+  SELECT *, unnest(generate_series(1, len - 1)) AS k FROM c
+), r AS (
+  SELECT k.lang, k.phrase, a, k, x.n AS l, y.n AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.n + y.n) AS BIGINT) AS score FROM k
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(v[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(v[k + 1:len(v)], ' ')
+), b AS (
+  SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), i AS (
+  SELECT DISTINCT lang, a, array_to_string(v[j:j + m - 1], ' ') AS phrase
+  FROM (SELECT lang, a, v, m, unnest(generate_series(1, len(v) - m + 1)) AS j FROM (SELECT lang, a, v, unnest(generate_series(2, len(v) - 1)) AS m FROM c WHERE len(v) >= 3))
+), h AS (
+  SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL
+), z AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT z.lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, score FROM z JOIN t ON t.lang = z.lang WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_exact_dedup": op2_exact_dedup,
@@ -235,6 +274,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL,
-                       "op10_warc": OP10_SQL, "op12_periodic_runs": OP12_SQL}
+                       "op10_warc": OP10_SQL, "op12_periodic_runs": OP12_SQL,
+                       "op13_collocations": OP13_SQL}
