@@ -17,7 +17,7 @@ import base64
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from wardline.llm import words as W
 from wardline.llm.common import prepare, rows_of
 
 BLOCK_BYTES = 2 << 20
-MOST_MOVES = 1 << 18
+MOST_MOVES = 1 << 19
 MOST_KNOWN = 1 << 19
 KNOWN_BYTES = 64
 NEVER = 1 << 62
@@ -138,17 +138,19 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_moves: int = MOST_MOVES):
         self.merges = Merges(ranks)
         self.ranks, self.most = ranks, most_moves
-        self.children: list[dict[int, int]] = [{}]
+        self.below: dict[int, int] = {}  # place << 8 | byte -> place in the trie
         self.ends: list[bytes | None] = [None]
+        self.leaf: list[bool] = [True]
         for token in self.merges.reached:
             node = 0
             for byte in token:
-                below = self.children[node].get(byte)
-                if below is None:
-                    below = self.children[node][byte] = len(self.children)
-                    self.children.append({})
+                deeper = self.below.get(node << 8 | byte)
+                if deeper is None:
+                    deeper = self.below[node << 8 | byte] = len(self.ends)
+                    self.leaf[node] = False
                     self.ends.append(None)
-                node = below
+                    self.leaf.append(True)
+                node = deeper
             self.ends[node] = token
         self.forget()
 
@@ -156,53 +158,75 @@ class Transducer:
         self.states: list[tuple] = [((None, 0, ()),)]  # each guess: token before, place in the trie, tokens held back
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple]] = {}
+        self.fits: dict[tuple, bool] = {}
+
+    def _fits(self, before: bytes | None, token: bytes) -> bool:
+        if before is None:
+            return True
+        known = self.fits.get((before, token))
+        if known is None:
+            if len(self.fits) > self.most:
+                self.fits.clear()
+            known = self.fits[before, token] = self.merges.neighbours(before, token)
+        return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
         guesses, ended = [], None
-        for before, node, held in self.states[state]:
-            below = self.children[node].get(byte)
-            if below is None:
+        for before, node, held in self.states[state >> 8]:
+            deeper = self.below.get(node << 8 | byte)
+            if deeper is None:
                 continue
-            token = self.ends[below]
-            if token is not None and ended is None and (before is None or self.merges.neighbours(before, token)):
-                ended = (token, 0, (*held, self.ranks[token]))
-            if self.children[below]:
-                guesses.append((before, below, held))
+            if ended is None:
+                token = self.ends[deeper]
+                if token is not None and self._fits(before, token):
+                    ended = (token, 0, (*held, self.ranks[token]))
+            if not self.leaf[deeper]:
+                guesses.append((before, deeper, held))
         guesses.append(ended)  # single bytes are tokens, so one guess ends here
-        common = 0
-        shortest = min(len(g[2]) for g in guesses)
-        while common < shortest and len({g[2][common] for g in guesses}) == 1:
-            common += 1
-        emitted = guesses[0][2][:common]
-        target = tuple((before, node, held[common:]) for before, node, held in guesses)
+        emitted: tuple = ()
+        if len(guesses) == 1:
+            emitted = ended[2]
+            target = ((ended[0], 0, ()),)
+        else:
+            shared = 0
+            for column in zip(*[g[2] for g in guesses]):
+                if column.count(column[0]) < len(column):
+                    break
+                shared += 1
+            if shared:
+                emitted = ended[2][:shared]
+                guesses = [(before, node, held[shared:]) for before, node, held in guesses]
+            target = tuple(guesses)
+        found = self.moves[state + byte] = (self._number(target), emitted)
+        return found
+
+    def _number(self, target: tuple) -> int:
+        """A state's number, with room for a byte."""
         number = self.numbers.get(target)
         if number is None:
-            number = self.numbers[target] = len(self.states)
+            number = self.numbers[target] = len(self.states) << 8
             self.states.append(target)
-        found = self.moves[state << 8 | byte] = (number, emitted)
-        return found
+        return number
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one pretoken."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.moves) > self.most:
-            self.forget()
-        ids, state, moves = [], 0, self.moves
+        ids, state, known = [], 0, self.moves.get
         for byte in data:
-            found = moves.get(state << 8 | byte)
-            state, emitted = found if found is not None else self._move(state, byte)
+            found = known(state + byte)
+            if found is None:
+                found = self._move(state, byte)
+                if len(self.moves) > self.most:  # start anew from the state it is in
+                    here = self.states[found[0] >> 8]
+                    self.forget()
+                    known = self.moves.get
+                    found = (self._number(here), found[1])
+            state, emitted = found
             if emitted:
-                ids.extend(emitted)
-            if len(moves) > self.most:  # one long text may bring many states: keep the one it is in
-                here = self.states[state]
-                self.forget()
-                moves = self.moves
-                state = self.numbers.setdefault(here, len(self.states))
-                if state == len(self.states):
-                    self.states.append(here)
-        ids.extend(self.states[state][-1][2])  # what ends with the text
+                ids += emitted
+        ids += self.states[state >> 8][-1][2]  # what ends with the text
         return ids
 
 
@@ -280,21 +304,33 @@ class Codec:
         import regex
 
         self.ranks = read_ranks(path)
-        self.known = _Known(Transducer(self.ranks))
         self.cut = regex.compile(pattern)
         later = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in LATER)
         self.later = regex.compile(f"[{later}]")
         self.stand_in = "\ue000"  # private use: neither letter nor number, nor white space
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
 
+    @cached_property
+    def known(self) -> _Known:
+        return _Known(Transducer(self.ranks))
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, packed."""
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
-        pieces = [text[a:b] for a, b in self._spans(text)] if not text.isascii() and self.later.search(text) else self.cut.findall(text)
+        pieces = [text[a:b] for a, b in self._spans(text)] if self._later(text) else self.cut.findall(text)
         packed = b"".join(map(self.known.__getitem__, filter(None, pieces)))
         return packed if sys.byteorder == "little" else np.frombuffer(packed, "=u4").astype("<u4").tobytes()
 
+    def _later(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")  # quicker than a search
+        except UnicodeEncodeError:
+            return self.later.search(text) is not None
+        return False
+
     def _spans(self, text: str) -> list[tuple[int, int]]:
         """Pretokens as places, with a private-use sign for every later letter or number."""
         return [m.span() for m in self.cut.finditer(self.later.sub(self.stand_in, text))]
