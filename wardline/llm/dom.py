@@ -7,7 +7,10 @@ import re
 
 import numpy as np
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+_S = "[ \\t\\n\\f\\r]"
+# A quote opens a value only after "="; elsewhere in a tag it is a sign like any other. A comment also ends with "--!>".
+_ATTRIBUTES = rf"""(?:[/ \t\n\f\r]++|[^/> \t\n\f\r][^/>= \t\n\f\r]*+(?:{_S}*+={_S}*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^>"' \t\n\f\r][^> \t\n\f\r]*+)?+)?+)*+"""
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^/> \t\n\f\r]*)({_ATTRIBUTES})(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][-\w:]*)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 _SPACE = re.compile(r"\s+")
@@ -26,6 +29,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "thead": {"thead", "tbody", "tfoot"}, "tbody": {"thead", "tbody", "tfoot"}, "tfoot": {"thead", "tbody", "tfoot"}}
 BOUNDS = frozenset("ul ol dl table select article section main aside nav body html td th button".split())
 
+MARKED = frozenset(["p", *CLOSES]) | BOUNDS
+
 GOOD = frozenset("article content main body entry post text story prose blog page hentry markdown".split())
 BAD = frozenset("""ad ads advert advertisement adverts aside banner bar breadcrumb breadcrumbs byline cookie cookies comment comments consent copyright disclaimer disqus
 footer foot form header head legal login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination paywall popup privacy promo
@@ -35,14 +40,16 @@ BAD_TAGS = frozenset("nav aside footer header form button dialog menu fieldset f
 
 
 class Node:
-    """An element; ``parts`` are its texts and elements in order."""
+    """An element; ``parts`` are its texts and elements in order, ``mark`` is the nearest one, itself or above, that a start tag
+    may close or that bounds its reach."""
 
-    __slots__ = ("tag", "tokens", "parent", "parts", "depth", "number")
+    __slots__ = ("tag", "tokens", "parent", "parts", "depth", "number", "mark")
 
     def __init__(self, tag: str, tokens: frozenset, parent: Node | None):
         self.tag, self.tokens, self.parent, self.parts = tag, tokens, parent, []
         self.depth = parent.depth + 1 if parent else 0
         self.number = -1
+        self.mark = self if tag in MARKED else parent.mark if parent else None
 
 
 def _tokens(attributes: str) -> frozenset:
@@ -94,10 +101,10 @@ def parse(html: str) -> Node:
         foreign = any(open_tags.get(f) for f in FOREIGN)
         closed = CLOSES.get(tag) or ({"p"} if tag not in INLINE and tag not in VOID and tag not in RAW and (not foreign or tag in LEAVES) else None)
         if closed:
-            top = now
-            while top.parent is not None and top.tag not in closed and top.tag not in BOUNDS:
-                top = top.parent
-            if top.tag in closed:
+            top = now.mark
+            while top is not None and top.tag not in closed and top.tag not in BOUNDS:
+                top = top.parent.mark
+            if top is not None and top.tag in closed:
                 while now is not top:
                     open_tags[now.tag] -= 1
                     now = now.parent
