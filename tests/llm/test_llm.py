@@ -220,10 +220,12 @@ def test_packing(docs, none):
 
     path = P.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "x<|endoftext|><|endoftext|>y\n z", "<|endoftext|", "a <|end oftext|>"]
+    rows = corpus() + [(500 + i, t, "en", "s", None, 1, "x", True) for i, t in enumerate(special)]
+    docs = docs.sparkSession.createDataFrame(rows, DOCS).repartition(3)
     got = packing.pack(docs, path).collect()
     want = Counter()
-    for r in corpus():
+    for r in rows:
         ids = np.array([*plain.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
         count = -(-len(ids) // 2048)
         at = 0
@@ -391,3 +393,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert {0, 3}.isdisjoint(kept[1]) and 9 in kept[1] and 7 not in kept[1]  # the largest id of equal texts stays
     assert 10 not in kept[2] and 9 in kept[2] and 13 in kept[2] and 13 not in kept[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept[3])
+
+
+@pytest.mark.parametrize("page", [
+    "<p>one</p><p class=it's>two</p><p>three</p>", "<p>one</p><p title=don't id=x>two</p><p>three</p>", "<p>one</p><a href=\"x\"\">two</a><p>three</p>",
+    "one<!-- x --!>two<!-->three", "<p>one</p><p a = 'x>y' b=\"p>q\"\t>two</p ><p/>three", "<p =\"x>one</p>two<p a=\"x'y\">three", "<p a=b\"c>one<p 'z' a=>two three",
+    "<p>one<br a='>'/>two</p><p 'x>three"])
+def test_quotes_in_tags_lose_no_text(page):
+    """A quote opens a value only after an equals sign, as in the states of an HTML tokenizer."""
+    from wardline.llm import dom
+
+    nodes = dom.elements(dom.parse(page))
+    assert re.findall("one|two|three", dom.text_of(nodes, np.ones(len(nodes), bool))) == ["one", "two", "three"]
+
+
+def test_many_open_tags_take_linear_time():
+    import time
+
+    from wardline.llm import dom
+
+    begin = time.time()
+    for page in ("<div>" * 100_000, "<li><td>" + "<div>" * 50_000 + "<li>" * 50_000, "<p>" + "<b>" * 100_000 + "<p>" * 1000, "<ul><li>" * 50_000, "<a 'x" * 50_000):
+        dom.parse(page + "end")
+    assert time.time() - begin < 10

@@ -55,7 +55,7 @@ class ByteTokens:
     Such a tokenizer cuts a text before a white space that follows something else, and between letters or digits and
     other signs (but an apostrophe may belong to letters after it). So a text's ids are those of the stretches
     between such places, one after the other, and equal stretches are encoded once. Letters here are the Latin
-    ones up to U+017F, others are not cut off; texts with other than ASCII white space are encoded as a whole.
+    ones up to U+017F, others are not cut off; texts with other than ASCII white space, or with the name of a special token, are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -65,7 +65,9 @@ class ByteTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The library turns the names of special tokens in a text into these tokens, whatever stands around.
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.special = re.compile(b"|".join(re.escape(t.encode()) for t in special)) if special else None
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
         self._clear()
@@ -82,7 +84,8 @@ class ByteTokens:
         """
         plain, other = [], []
         for key in keys:
-            (other if self.line is None or _INNER_SPACE.search(key) else plain).append(key)
+            alone = self.line is None or _INNER_SPACE.search(key) or self.special is not None and self.special.search(key)
+            (other if alone else plain).append(key)
         step = 2048
         lines = [b"\n".join(plain[i:i + step]).decode() for i in range(0, len(plain), step)]
         found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
@@ -121,6 +124,8 @@ class ByteTokens:
         cut = self._cuts(data)
         raw = data.tobytes()
         odd = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in _OTHER_SPACE.finditer(raw)}
+        if self.special is not None:
+            odd |= {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in self.special.finditer(raw)}
         for i in odd:
             cut[offsets[i]:offsets[i + 1]] = False
         filled = np.diff(offsets) > 0
