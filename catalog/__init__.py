@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("hospital_queries", "study_queries", "summary_queries", "model_queries", "tree_queries", "source_queries")
+FAMILIES = ("hospital_queries", "study_queries", "summary_queries", "model_queries", "condition_queries", "tree_queries", "source_queries")
 
 
 def load():

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import study_queries as st
 from catalog.registry import query
 from catalog.summary_queries import rounded
 from wardline.operators import evaluate, grid, impute, learn, prep
-from wardline.plans import mortality, study
-from wardline.session import attach_small, cut_lineage
+from wardline.plans import mortality
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount"]
 
@@ -345,20 +343,6 @@ def forward_select(t):
     return learn.forward_select(model_rows(t), FEATURES, [4], 2, REPEATS, 3)
 
 
-@query("run_grid")
-def run_grid(t):
-    late = attach_small(t.events.select("event_id", "user_id", "ts", "event_type", "value"), st.anchors(t).select("user_id", "anchor"), ["user_id"], ["event_id"]).filter(F.datediff("ts", "anchor") >= 8)
-    outcome = late.groupBy("user_id").agg(F.max((F.col("event_type") == "error").cast("int") * F.col("value")).alias("_e"),
-                                          F.max((F.col("event_type") == "purchase").cast("int") * F.col("value")).alias("_p"))
-    cohort = cut_lineage(st.anchors(t).join(outcome, "user_id").select("user_id", "anchor", "sex", "age", (F.col("_e") > 120).cast("int").alias("late_error"),
-                                                                       (F.col("_p") > 120).cast("int").alias("late_purchase")))
-    rows, cases, names = study.grid_design(t.events.filter("event_type <> 'signup'"), cohort, "user_id", "event_type", "ts", "value", "event_id", "anchor",
-                                           st.RULES, [1, 3, 5, 7], ["worst", "first", "mean"], ["late_error", "late_purchase"], sex="sex", age="age")
-    folded = learn.with_folds(cohort.select("user_id", "late_error"), "user_id", "late_error", REPEATS, 3, SEED).select("user_id", "folds")
-    design = grid.design(rows.join(folded, "user_id"), "user_id", ["late_error", "late_purchase"], names, F.col("folds"), F.col("case"))
-    return learn.run_grid(design, cases, ["late_error", "late_purchase"], list(range(len(names))), REPEATS, 3)
-
-
 @query("static_model")
 def static_model(t):
     df = modelled(t).withColumn("longish", F.when(F.col("n_chars") >= 300, F.sqrt("n_chars")))

@@ -6,6 +6,9 @@ all repeats are done in one job.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,10 +56,36 @@ def repeated_folds(df: DataFrame, key: str, outcome: str, repeats: int, k: int,
         bad = (F.col("e") == 0) | ((F.col("e") == F.col("n")) if both_classes else F.lit(False))
         failed = [r["repeat"] for r in least.filter(bad).select("repeat").distinct().collect()]
         if not failed:
-            break
+            return folds.drop("attempt")
         for r in failed:
             attempt[r] += 1
-    return folds.drop("attempt")
+    raise ValueError(f"no {k} folds with an event each in {attempts} draws of repeats {sorted(failed)}")
+
+
+def nested_folds(df: DataFrame, key: str, outcomes: list[str], repeats: int, k: int, inner: int, seed: int = 0, attempts: int = 100) -> DataFrame:
+    """(key, repeat, fold, inner): shuffled outer folds per repeat, and inner folds drawn inside every outer fold.
+
+    The rows outside an outer fold thus have inner folds of their own. A repeat is drawn again until every outer fold, and every
+    inner fold of the rows outside each outer one, holds an event of every outcome; ``ValueError`` if it never does. The check returns
+    repeats x folds x inner folds numbers.
+    """
+    attempt = {r: 0 for r in range(1, repeats + 1)}
+    kept: list[DataFrame] = []
+    for _ in range(attempts):
+        outer = one_round_of_folds(df, key, sorted(attempt.items()), k, seed, outcomes)
+        hashed = outer.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed + 1)), F.col("repeat").cast("string"), F.col("attempt").cast("string"), F.col(key).cast("string"))))
+        ranked = hash_numbered(cut_lineage(hashed), ["repeat", "fold"], "_h", [key], "_rank", total="_n")
+        both = cut_lineage(ranked.withColumn("inner", fold_number(F.col("_rank"), F.col("_n"), inner)).select(key, *outcomes, "repeat", "fold", "inner"))
+        cells = both.groupBy("repeat", "fold", "inner").agg(*[F.sum(F.col(o).cast("int")).alias(f"_e{i}") for i, o in enumerate(outcomes)]).collect()
+        events = {r: np.zeros((len(outcomes), k, inner)) for r in attempt}
+        for c in cells:
+            events[c["repeat"]][:, c["fold"] - 1, c["inner"] - 1] = [c[f"_e{i}"] for i in range(len(outcomes))]
+        bad = [r for r, e in events.items() if (e.sum(axis=2) == 0).any() or ((e.sum(axis=1, keepdims=True) - e) == 0).any()]
+        kept.append(both.where(~F.col("repeat").isin(bad)).drop(*outcomes))
+        if not bad:
+            return reduce(DataFrame.unionByName, kept)
+        attempt = {r: attempt[r] + 1 for r in bad}
+    raise ValueError(f"no {k} x {inner} folds with an event each in {attempts} draws of repeats {bad}")
 
 
 # --- scores -----------------------------------------------------------------------
@@ -90,7 +119,11 @@ def brier(df: DataFrame, by: list[str], y: str = "y", p: str = "p", on: str = "p
 def _ranked_scores(df: DataFrame, by: list[str], y: str, p: str, rows_per_bucket: int, expected: int | None) -> DataFrame:
     """One row per group and distinct score with counts and running counts of both classes."""
     cut, bucket = value_bucket(df.filter(F.col(p).isNotNull()), p, rows_per_bucket, expected=expected)
-    counted = cut.groupBy(*by, *([bucket] if bucket else []), p).agg(F.count_if(F.col(y) == 1).alias("_n1"), F.count_if(F.col(y) != 1).alias("_n0"))
+    return _ranked_counts(cut, bucket, by, p, F.count_if(F.col(y) == 1), F.count_if(F.col(y) != 1))
+
+
+def _ranked_counts(cut: DataFrame, bucket: str | None, by: list[str], p: str, ones: Column, others: Column) -> DataFrame:
+    counted = cut.groupBy(*by, *([bucket] if bucket else []), p).agg(ones.alias("_n1"), others.alias("_n0"))
     return running(counted, by, bucket, [F.col(p)], {"_c1": F.col("_n1"), "_c0": F.col("_n0")},
                    totals={"_c1": "_all1", "_c0": "_all0"})
 
@@ -119,9 +152,20 @@ def auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p", rows_per_bucke
 def all_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", threshold: float = 0.5,
                 rows_per_bucket: int = 2_000_000, expected: int | None = None) -> DataFrame:
     """AUC, 2x2 counts, rates and class Brier score per group from one grouping of the scores."""
+    return _all_rates(_ranked_scores(df, by, y, p, rows_per_bucket, expected), by, p, threshold)
+
+
+def metrics_of_counts(df: DataFrame, by: list[str], p: str = "p", n1: str = "n1", n0: str = "n0", threshold: float = 0.5,
+                      rows_per_bucket: int = 2_000_000, expected: int | None = None) -> DataFrame:
+    """The same from rows that each stand for ``n1`` rows of class 1 and ``n0`` of class 0 with one score."""
+    cut, bucket = value_bucket(df.filter(F.col(p).isNotNull()), p, rows_per_bucket, expected=expected)
+    return _all_rates(_ranked_counts(cut, bucket, by, p, F.sum(n1), F.sum(n0)), by, p, threshold)
+
+
+def _all_rates(ranked: DataFrame, by: list[str], p: str, threshold: float) -> DataFrame:
     hit = F.col(p) > threshold
     count = lambda cond, n: F.sum(F.when(cond, F.col(n)).otherwise(0))
-    table = _ranked_scores(df, by, y, p, rows_per_bucket, expected).groupBy(*by).agg(
+    table = ranked.groupBy(*by).agg(
         _auc().alias("auc"), count(hit, "_n1").alias("tp"), count(hit, "_n0").alias("fp"),
         count(~hit, "_n1").alias("fn"), count(~hit, "_n0").alias("tn"))
     return rates(table).withColumn("brier", 1 - F.col("accuracy"))

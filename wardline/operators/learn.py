@@ -243,23 +243,3 @@ def forward_select(rows: DataFrame, features: list[str], start: list[int], max_t
         chosen.append(best)
         path.append((step, features[best], float(means[features[best]])))
     return rows.sparkSession.createDataFrame(path, "step int, variable string, auc double")
-
-
-# --- the grid of conditions -----------------------------------------------------------------------
-
-def run_grid(rows: DataFrame, cases: dict[int, dict[str, object]], outcomes: list[str], terms: list[int], repeats: int, k: int) -> DataFrame:
-    """Cross-validated metrics for every (case, outcome): one table, one set of jobs.
-
-    ``cases`` maps the rows' case number to its settings, e.g. days and reading.
-    """
-    models = []
-    for number, settings in cases.items():
-        for o, name in enumerate(outcomes):
-            base = Model((*settings.items(), ("outcome", name)), tuple(terms), outcome=o, case=number)
-            models += fold_models(base, repeats, k)
-    fits = fit_models(rows, models)
-    by = [n for n, _ in models[0].key]
-    metrics = cross_validated_metrics(rows, fits, by)
-    keys = [c for c in by if c not in ("repeat", "fold")]
-    long = metrics.unpivot(by, ["auc", "brier", "sensitivity", "specificity"], "metric", "value")
-    return evaluate.interval_summary(long, [*keys, "metric"], "value")
