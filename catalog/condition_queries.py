@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import study_queries as st
 from catalog.registry import query
 from catalog.summary_queries import rounded
 from wardline.operators import conditions as C
-from wardline.operators import evaluate
+from wardline.operators import evaluate, grid, learn
 from wardline.plans import study
 from wardline.session import attach_small, checkpoint_dir, cut_lineage
 
@@ -255,3 +256,106 @@ def run_grid_optimality(t):
     fitted = cut_lineage(C.fit_conditions(table, names, outcomes))
     worst = C.optimality(table, fitted, names, outcomes).groupBy(*C.KEYS).agg(F.max("residual").alias("r"))
     return worst.select(F.floor(F.col("case") / 3).alias("d"), (F.col("case") % 3).alias("o"), "outcome", "repeat", "fold", "learner", (F.col("r") < 1e-8).alias("optimal"))
+
+
+# --- one flag: models in closed form ------------------------------------------------------------
+
+ONE_SQL = f"""{FOLDS_SQL}, one AS (SELECT doc_id, late, CAST(lang <> 'en' AS INTEGER) AS other, unnest(['poor', 'toxic']) AS outcome, unnest([poor, toxic]) AS y FROM base),
+train AS (SELECT outcome, repeat, h.fold, other, avg(y) AS p FROM one JOIN folds f USING (doc_id) JOIN (SELECT unnest([1, 2, 3]) AS fold) h ON h.fold <> f.fold GROUP BY ALL),
+both_sites AS (SELECT 'train' AS site, 0 AS "case", t.outcome, t.repeat, t.fold, 'glm' AS learner, round(p, 9) AS p, y FROM one JOIN folds f USING (doc_id)
+    JOIN train t ON t.outcome = one.outcome AND t.other = one.other AND t.repeat = f.repeat AND t.fold = f.fold
+  UNION ALL SELECT 'other', 0, t.outcome, t.repeat, t.fold, 'glm', round(p, 9), y FROM one JOIN train t ON t.outcome = one.outcome AND t.other = one.other WHERE late)"""
+
+
+def one_flag(t, late: bool):
+    return labelled(t).where("late" if late else "NOT late").select("doc_id", *OUTCOMES, F.lit(0).alias("case"), (F.col("lang") != "en").cast("int").alias("other"))
+
+
+@query("reduced_model", f"""WITH {ONE_SQL}, {METRICS_SQL.replace('FROM scored', 'FROM both_sites').replace(_BY, 'site, ' + _BY).replace('SELECT "case", outcome, learner,', 'SELECT site, "case", outcome, learner,')}
+SELECT site, "case", outcome, learner, metric, {INTERVAL_SQL} FROM long GROUP BY ALL""")
+def reduced_model(t):
+    """A chosen term's model on the folds it leaves out and on the other site; its scores are the training groups' rates."""
+    return rounded(C.reduced_report(one_flag(t, False), folds(t), one_flag(t, True), "doc_id", ["other"], OUTCOMES), *NUMBERS)
+
+
+_TABLE_SQL = """g AS (SELECT lang <> 'en' AS other, sum(1 - quality) AS e, sum(quality) AS o FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1),
+w AS (SELECT max(e) FILTER (other) AS e1, max(o) FILTER (other) AS o1, max(e) FILTER (NOT other) AS e0, max(o) FILTER (NOT other) AS o0 FROM g),
+c AS (SELECT unnest(['(Intercept)', 'other']) AS variable, unnest([ln(e0 / o0), ln(e1 / o1) - ln(e0 / o0)]) AS b, unnest([sqrt(1 / e0 + 1 / o0), sqrt(1 / e0 + 1 / o0 + 1 / e1 + 1 / o1)]) AS s FROM w)"""
+_WALD_SQL = f"variable, round(b, 6) AS estimate, round(s, 6) AS std_error, round(exp(b), 5) AS odds_ratio, round(exp(b - {Z} * s), 5) AS lower, round(exp(b + {Z} * s), 5) AS upper"
+
+
+def poor_by_flag(t):
+    return labelled(t).select("doc_id", "poor", (F.col("lang") != "en").cast("int").alias("other"))
+
+
+def wald(table):
+    return rounded(table, "estimate", "std_error").select("variable", "estimate", "std_error", *[F.round(c, 5).alias(c) for c in ("odds_ratio", "lower", "upper")])
+
+
+@query("logit_fit_closed", f"WITH {_TABLE_SQL} SELECT {_WALD_SQL} FROM c")
+def logit_fit_closed(t):
+    return wald(learn.logit_fit(poor_by_flag(t), "poor", ["other"]))
+
+
+def flag_rows(t, repeats=2, k=3, inner=0):
+    df = poor_by_flag(t)
+    return grid.design(learn.with_folds(df, "doc_id", "poor", repeats, k, SEED, inner), "doc_id", ["poor"], ["other"], F.col("folds"))
+
+
+@query("marker_screen_closed", f"WITH {_TABLE_SQL} SELECT 'language' AS model_name, {_WALD_SQL} FROM c")
+def marker_screen_closed(t):
+    table = learn.single_marker_screen(flag_rows(t), ["other"], [], {"language": ([0], None)}, 2, 3)["coefficients"]
+    return wald(table).select(F.lit("language").alias("model_name"), "*")
+
+
+@query("bootstrap_closed", f"WITH {_TABLE_SQL} SELECT variable, round(exp(b), 5) AS odds_ratio, true AS inside FROM c")
+def bootstrap_closed(t):
+    """The estimate has a closed form, and lies within the quantiles of its copies."""
+    table = learn.bootstrap_odds_ratios(flag_rows(t), ["other"], 40)
+    return table.select("variable", F.round("odds_ratio", 5).alias("odds_ratio"), F.col("odds_ratio").between(F.col("q025"), F.col("q975")).alias("inside"))
+
+
+_CV_SQL = f"""cvreps AS (SELECT d.doc_id, CAST(lang <> 'en' AS INTEGER) AS other, 1 - quality AS y, unnest([1, 2]) AS repeat FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+cvranked AS (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY md5(concat_ws('|', '{SEED}', CAST(repeat AS VARCHAR), '0', CAST(doc_id AS VARCHAR))), doc_id) AS rk, count(*) OVER (PARTITION BY repeat) AS n FROM cvreps),
+cvfolds AS (SELECT *, CAST(greatest(1, ceil((rk - 1) * 3 / (n - 1))) AS INTEGER) AS fold FROM cvranked),
+rate AS (SELECT repeat, h.fold, other, avg(y) AS p FROM cvfolds f JOIN (SELECT unnest([1, 2, 3]) AS fold) h ON h.fold <> f.fold GROUP BY ALL),
+scored AS (SELECT 0 AS "case", 'poor' AS outcome, f.repeat, f.fold, 'glm' AS learner, r.p, y FROM cvfolds f JOIN rate r ON r.repeat = f.repeat AND r.fold = f.fold AND r.other = f.other)"""
+
+
+@query("cross_validate_closed", f"""WITH {_CV_SQL}, {METRICS_SQL} SELECT repeat, fold, round(auc, 6) AS auc, round(brier, 6) AS brier, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM metrics""")
+def cross_validate_closed(t):
+    rows = flag_rows(t)
+    table = learn.cross_validated_metrics(rows, learn.cross_validate(rows, [0], 2, 3))
+    return rounded(table.select("repeat", "fold", "auc", "brier", "sensitivity", "specificity"), "auc", "brier", "sensitivity", "specificity")
+
+
+@query("external_validate_closed", f"""WITH {_CV_SQL.replace('scored AS (', 'own AS (')}, scored AS (SELECT 0 AS "case", 'poor' AS outcome, r.repeat, r.fold, 'glm' AS learner, r.p, f.y FROM (SELECT other, y FROM cvreps WHERE repeat = 1) f
+JOIN rate r ON r.other = f.other), {METRICS_SQL} SELECT repeat, fold, round(auc, 6) AS auc, round(brier, 6) AS brier, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM metrics""")
+def external_validate_closed(t):
+    """Every fold's model on all rows of a site (here the whole table)."""
+    rows = flag_rows(t)
+    table = learn.external_validate(learn.cross_validate(rows, [0], 2, 3), rows)
+    return rounded(table.select("repeat", "fold", "auc", "brier", "sensitivity", "specificity"), "auc", "brier", "sensitivity", "specificity")
+
+
+@query("lasso_path_penalties", """WITH r AS (SELECT CAST(lang <> 'en' AS INTEGER) AS x, 1 - quality AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+t AS (SELECT abs(covar_pop(x, y)) / stddev_pop(x) AS top FROM r)
+SELECT i + 1 AS step, round(top * pow(0.01, i / 9.0), 8) AS penalty, CAST(i > 0 AS INTEGER) AS n_variables FROM t, (SELECT unnest(range(10)) AS i)""")
+def lasso_path_penalties(t):
+    """The first penalty empties the model of one term, which all smaller ones let in."""
+    path = learn.lasso_path(flag_rows(t, 1, 3, 3), ["other"], 1, 3, 10)
+    step = F.row_number().over(Window.orderBy(F.desc("penalty"))).cast("bigint")  # ten rows
+    return path.select(step.alias("step"), F.round("penalty", 8).alias("penalty"), "n_variables")
+
+
+@query("logit_l2_optimality", "SELECT unnest(['(Intercept)', 'other']) AS variable, true AS optimal WHERE (SELECT count(*) FROM labels) > 0")
+def logit_l2_optimality(t):
+    """The slope of the loss is matched by that of the penalty: C times the loss plus half the squared coefficients."""
+    df = poor_by_flag(t)
+    table, scored = learn.logit_l2(df, "poor", ["other"], ["doc_id"], 0.5)
+    off = (F.col("y") - F.col("p"))
+    sums = scored.join(df.select("doc_id", "other"), "doc_id").agg(F.sum(off).alias("a"), F.sum(off * F.col("other")).alias("b"))
+    slopes = sums.select(F.explode(F.array(F.struct(F.lit("(Intercept)").alias("variable"), F.col("a").alias("slope")), F.struct(F.lit("other").alias("variable"), F.col("b").alias("slope")))).alias("_s"))
+    met = table.join(slopes.select("_s.variable", "_s.slope"), "variable")
+    gap = F.abs(F.col("slope") * 0.5 - F.when(F.col("variable") == "other", F.col("estimate")).otherwise(0.0))
+    return met.select("variable", (gap < 1e-3).alias("optimal"))

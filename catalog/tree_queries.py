@@ -143,7 +143,7 @@ def opening_profile(t):
 
 
 @query("conversation_roles", """WITH s AS (SELECT conv_id, list(role ORDER BY turn) AS play FROM conversations GROUP BY conv_id)
-SELECT array_to_string(play[1:d], ',') AS play, count(*) AS games, CAST(d AS INTEGER) AS depth FROM (SELECT play, unnest(range(1, least(len(play), 24) + 1)) AS d FROM s) GROUP BY 1, 3""")
+SELECT array_to_string(play[1:d], ',') AS play, count(*) AS games, CAST(d AS INTEGER) AS depth FROM (SELECT play, unnest(range(1, len(play) + 1)) AS d FROM s) GROUP BY 1, 3""")
 def conversation_roles(t):
     top = t.conversations.select("conv_id", "turn", "role").withColumn("ply", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     plays = top.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("ply", "role"))).alias("_m"))

@@ -177,11 +177,12 @@ def test_padded_codes_need_trim(spark):
     assert got == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
-def test_infection_list_is_a_parameter(spark):
-    adm = spark.createDataFrame([(9, 1)], "subject_id int, hadm_id int")
-    dx = spark.createDataFrame([(1, 10, "A000"), (1, 10, "N170")], "hadm_id int, icd_version int, icd_code string")
-    assert hospital.claims_sepsis(adm, dx, dx).first()["angus_sepsis"] == 0
-    assert hospital.claims_sepsis(adm, dx, dx, infection_10=["A000"]).first()["angus_sepsis"] == 1
+def test_claims_test_the_published_infections_and_the_callers(spark):
+    adm = spark.createDataFrame([(9, 1), (9, 2)], "subject_id int, hadm_id int")
+    dx = spark.createDataFrame([(1, 10, "A000"), (1, 10, "N170"), (2, 10, "Q999"), (2, 10, "N170")], "hadm_id int, icd_version int, icd_code string")
+    found = lambda **k: {r["hadm_id"]: r["angus_sepsis"] for r in hospital.claims_sepsis(adm, dx, dx, **k).collect()}
+    assert found() == {1: 1, 2: 0}
+    assert found(infection_10=["Q999"]) == {1: 1, 2: 1}
 
 
 def test_registered_claims_know_the_published_infections(spark, monkeypatch):

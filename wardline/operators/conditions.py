@@ -127,7 +127,7 @@ def plain_fits(counts: Counts, tol: float = 1e-12, most: int = 60) -> tuple[np.n
                 break
             scale[worse] /= 2
         beta = beta + scale[:, None] * step
-        done |= loss - new <= tol * (np.abs(new) + 0.1)
+        done |= loss - new <= tol * (np.abs(new) + counts.total)
         loss = new
         if done.all():
             break
@@ -156,7 +156,9 @@ class Path:
         rate = np.clip(counts.events.sum(axis=1) / np.maximum(counts.total, 1e-300), 1e-12, 1 - 1e-12)
         self.beta[:, 0] = np.log(rate / (1 - rate))
         self.before = largest_penalty(counts)
-        self.converged = np.ones(len(counts.n), bool)
+        # Without an event, or with events only, there is nothing to fit: the intercept stays where it is.
+        self.flat = (counts.events.sum(axis=1) <= 0) | (counts.events.sum(axis=1) >= counts.total)
+        self.converged = ~self.flat
 
     def _scaled(self, slope: np.ndarray) -> np.ndarray:
         c = self.counts
@@ -190,7 +192,7 @@ class Path:
         threshold[:, 0] = 0.0
         columns = np.flatnonzero(keep.any(axis=0))
         held = keep[:, columns]
-        done = np.zeros(len(c.n), bool)
+        done = self.flat.copy()
         value = self._value(self.beta, threshold)
         for _ in range(most):
             slope, weight = c.slopes(self.beta)
@@ -486,6 +488,19 @@ def run_grid(rows: DataFrame, folds: DataFrame, key: str, cases: dict[int, dict[
     return both.join(F.broadcast(settings), "case").select(*names, *[c for c in both.columns if c != "case"])
 
 
+def reduced_report(train: DataFrame, folds: DataFrame, other: DataFrame, key: str, chosen: list[str], outcomes: list[str]) -> DataFrame:
+    """The plain model of a chosen set of terms: its metrics on the folds it leaves out, and on all rows of another site.
+
+    ``train`` and ``other`` have a row for each key and ``case``. Gives ``metric_report`` with ``site`` (train or other).
+    """
+    counts = frequency_table(train, folds, key, chosen, outcomes)
+    fitted = cut_lineage(fit_conditions(counts, chosen, outcomes, ("glm",)))
+    elsewhere = generalised_scores(frequency_table(other, None, key, chosen, outcomes), fitted, chosen, outcomes)
+    sites = {"train": held_out_scores(counts, fitted, chosen, outcomes), "other": elsewhere}
+    tables = [metric_report(model_metrics(scored)).withColumn("site", F.lit(name)) for name, scored in sites.items()]
+    return tables[0].unionByName(tables[1])
+
+
 # --- report tables ---------------------------------------------------------------------------
 
 def metric_report(metrics: DataFrame) -> DataFrame:

@@ -227,7 +227,8 @@ def bootstrap_odds_ratios(rows: DataFrame, features: list[str], replicates: int,
 def forward_select(rows: DataFrame, features: list[str], start: list[int], max_terms: int, repeats: int, k: int, outcome: int = 0) -> DataFrame:
     """(step, variable, auc): the term that adds most held-out AUC, step by step.
 
-    All candidates of a step, in all folds, are one grid.
+    All candidates of a step, in all folds, are one grid. A candidate without an AUC in any fold is never chosen; if none has
+    one, the path ends.
     """
     chosen, path = list(start), []
     for step in range(1, max_terms + 1):
@@ -239,7 +240,10 @@ def forward_select(rows: DataFrame, features: list[str], start: list[int], max_t
         per_fold = evaluate.auc(scores(rows, fits), BY_FOLD, expected=_rows_scored(fits))
         # one number per candidate
         means = {r["model_name"]: r["auc"] for r in per_fold.groupBy("model_name").agg(F.avg("auc").alias("auc")).collect()}
-        best = min(rest, key=lambda j: (-(means.get(features[j]) or 0.0), j))
+        rest = [j for j in rest if means.get(features[j]) is not None]
+        if not rest:
+            break
+        best = min(rest, key=lambda j: (-means[features[j]], j))
         chosen.append(best)
         path.append((step, features[best], float(means[features[best]])))
     return rows.sparkSession.createDataFrame(path, "step int, variable string, auc double")

@@ -128,10 +128,10 @@ def claims_sepsis(admissions: DataFrame, diagnoses: DataFrame, procedures: DataF
                   conditions: codes.Conditions | None = None, infection_10: list[str] | None = None) -> DataFrame:
     """Claims-based sepsis flags per admission.
 
-    ``infection_10`` is the caller's list of exact version-10 infection codes, added to the
-    short ones that are always tested. ``conditions=published_sepsis()`` has the published list.
+    All published codes are tested unless ``conditions`` says otherwise; ``infection_10`` adds exact
+    version-10 infection codes of the caller's.
     """
-    conditions = conditions or codes.load_conditions(codes.RULES / "angus.csv")
+    conditions = conditions or published_sepsis()
     if infection_10:
         conditions = {c: {v: list(t) for v, t in by.items()} for c, by in conditions.items()}
         conditions["infection"].setdefault(10, []).extend(f"={c}" for c in infection_10)
