@@ -388,8 +388,9 @@ def test_pipeline_stages(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), docs.schema)
-        kept.append(sorted(r.doc_id for r in docs.collect()))
-    assert kept[0] == sorted(r[0] for r in rows if r[0] is not None)
+        kept.append(sorted((r.doc_id for r in docs.collect()), key=lambda i: -1 if i is None else i))
+    assert kept[0] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
+    assert [sum(i is None for i in k) for k in kept] == [2, 1, 1, 1]  # one of the rows without an id is a copy
     assert {0, 3}.isdisjoint(kept[1]) and 9 in kept[1] and 7 not in kept[1]  # the largest id of equal texts stays
     assert 10 not in kept[2] and 9 in kept[2] and 13 in kept[2] and 13 not in kept[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept[3])
@@ -416,3 +417,28 @@ def test_many_open_tags_take_linear_time():
     for page in ("<div>" * 100_000, "<li><td>" + "<div>" * 50_000 + "<li>" * 50_000, "<p>" + "<b>" * 100_000 + "<p>" * 1000, "<ul><li>" * 50_000, "<a 'x" * 50_000):
         dom.parse(page + "end")
     assert time.time() - begin < 10
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Rows without an id stay, and rows of one id are judged one by one."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    some = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 500, n))
+    a, b, c, d = (some(60) for _ in range(4))
+    leak = some(25)
+    rows = [(1, a), (1, b), (2, a), (3, f"{c} {leak}"), (3, d), (None, some(50)), (None, b), (4, some(40)), (None, some(45)), (5, d + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    equal = corpus_pipeline.drop_equal(spark, docs, str(tmp_path))
+    assert equal.columns == docs.columns and Counter(r.text for r in equal.collect()) == Counter(set(t for _, t in rows))
+    similar = corpus_pipeline.drop_similar(spark, equal, str(tmp_path))
+    left = [r.text for r in similar.collect()]
+    assert len(left) == len(set(t for _, t in rows)) - 1 and sum(t.startswith(d) for t in left) == 1
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert count(clean) == Counter(x for x in rows if leak not in x[1])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.keep_good(spark, docs, str(tmp_path)).count() == len(rows)
+    assert [stage(spark, docs.limit(0), str(tmp_path)).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
