@@ -29,7 +29,7 @@ from wardline.llm.common import prepare, rows_of
 
 BLOCK_BYTES = 2 << 20
 MOST_MOVES = 1 << 19
-MOST_KNOWN = 1 << 19
+MOST_KNOWN = 1 << 18
 KNOWN_BYTES = 64
 NEVER = 1 << 62
 
@@ -165,7 +165,7 @@ class Transducer:
             return True
         known = self.fits.get((before, token))
         if known is None:
-            if len(self.fits) > self.most:
+            if len(self.fits) > self.most >> 2:
                 self.fits.clear()
             known = self.fits[before, token] = self.merges.neighbours(before, token)
         return known
