@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from wardline.llm import words as W
 from wardline.llm.common import cut_lineage, pieces, prepare, rows_of, shuffle_partitions, text_volume
 
-BLOCK_BYTES = 6 << 20
-GROUP_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20
+GROUP_BYTES = 3 << 20
 GATHER_BYTES = 1 << 20
 SPREAD = 32
 SPLIT = np.zeros(256, bool)
