@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog import roles as r
@@ -254,11 +256,30 @@ UNION ALL SELECT 'stays', count(*) FROM stays WHERE stay_id IN (SELECT stay_id F
 UNION ALL SELECT 'unit_detail', count(*) FROM stays WHERE hadm_id IN (SELECT hadm_id FROM admissions WHERE hadm_id IN (SELECT hadm_id FROM keys))
 UNION ALL SELECT 'nation', count(*) FROM nation"""))
 def subset_database(t):
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in subset(t).items()]
+    return select.union_sites(counts)
+
+
+def subset(t):
     tables = {"patients": r.patients(t), "admissions": r.admissions(t), "diagnoses": r.diagnoses(t), "stays": r.stays(t),
               "unit_detail": r.stays(t), "nation": t.nation}
     detail = r.stays(t).join(r.admissions(t).select("subject_id", "hadm_id"), "hadm_id")
-    parts = hospital.cohort_subset(tables, r.admissions(t), detail, 100,
-                                   {"patients": "subject_id", "admissions": "hadm_id", "diagnoses": "hadm_id", "stays": "stay_id"},
-                                   {"unit_detail": ("admissions", "hadm_id")}, ("nation",), seed=7)
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in parts.items()]
-    return select.union_sites(counts)
+    return hospital.cohort_subset(tables, r.admissions(t), detail, 100,
+                                  {"patients": "subject_id", "admissions": "hadm_id", "diagnoses": "hadm_id", "stays": "stay_id"},
+                                  {"unit_detail": ("admissions", "hadm_id")}, ("nation",), seed=7)
+
+
+@query("subset_rows", r.with_roles(r.PATIENTS_SQL, r.ADMISSIONS_SQL, r.STAYS_SQL, r.DIAGNOSES_SQL, body="""
+, chosen AS (SELECT subject_id FROM (SELECT DISTINCT subject_id FROM admissions) d ORDER BY md5(concat_ws('|', '7', CAST(subject_id AS VARCHAR))), subject_id LIMIT 100),
+keys AS (SELECT DISTINCT a.subject_id, a.hadm_id, s.stay_id FROM stays s JOIN admissions a ON s.hadm_id = a.hadm_id
+  JOIN chosen c ON a.subject_id = c.subject_id)
+SELECT 'patients' AS table_name, * FROM patients WHERE subject_id IN (SELECT subject_id FROM keys)
+UNION ALL BY NAME SELECT 'admissions' AS table_name, * FROM admissions WHERE hadm_id IN (SELECT hadm_id FROM keys)
+UNION ALL BY NAME SELECT 'diagnoses' AS table_name, * FROM diagnoses WHERE hadm_id IN (SELECT hadm_id FROM keys)
+UNION ALL BY NAME SELECT 'stays' AS table_name, * FROM stays WHERE stay_id IN (SELECT stay_id FROM keys)
+UNION ALL BY NAME SELECT 'unit_detail' AS table_name, * FROM stays WHERE hadm_id IN (SELECT hadm_id FROM keys)
+UNION ALL BY NAME SELECT 'nation' AS table_name, n_nationkey, n_name, n_regionkey FROM nation"""))
+def subset_rows(t):
+    """The rows of every table of the subset; a column that a table lacks is null."""
+    parts = subset(t) | {"nation": t.nation.select("n_nationkey", "n_name", "n_regionkey")}
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("table_name", F.lit(name)) for name, df in parts.items()])

@@ -218,6 +218,43 @@ def natural_merge(t):
     return matching.natural_merge(a, b, "full")
 
 
+SPLIT_SUPPLIERS = """WITH a AS (SELECT s_nationkey AS k, CASE WHEN s_acctbal < 3000 THEN NULL ELSE s_nationkey END AS part_key, s_suppkey FROM supplier),
+b AS (SELECT k, part_key, count(*) AS n FROM a WHERE s_suppkey % 3 = 0 OR part_key IS NULL GROUP BY 1, 2)
+"""
+
+
+def merged_suppliers(t, how: str):
+    a = t.supplier.select(F.col("s_nationkey").alias("k"), F.when(F.col("s_acctbal") >= 3000, F.col("s_nationkey")).alias("part_key"), "s_suppkey")
+    b = a.filter("s_suppkey % 3 = 0 OR part_key IS NULL").groupBy("k", "part_key").agg(F.count("*").alias("n"))
+    return matching.natural_merge(a, b, how)
+
+
+@query("natural_merge_inner", SPLIT_SUPPLIERS + """SELECT a.k, a.part_key, s_suppkey, n FROM a JOIN b
+ ON a.k IS NOT DISTINCT FROM b.k AND a.part_key IS NOT DISTINCT FROM b.part_key""")
+def natural_merge_inner(t):
+    return merged_suppliers(t, "inner")
+
+
+@query("natural_merge_left", SPLIT_SUPPLIERS + """SELECT a.k, a.part_key, s_suppkey, n FROM a LEFT JOIN b
+ ON a.k IS NOT DISTINCT FROM b.k AND a.part_key IS NOT DISTINCT FROM b.part_key""")
+def natural_merge_left(t):
+    return merged_suppliers(t, "left")
+
+
+@query("select_except", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def select_except(t):
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return select.select_except(rows, ["o_orderdate", "o_orderpriority", "not_there"])
+
+
+@query("column_set_difference", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def column_set_difference(t):
+    """Columns an order has beyond those that describe its customer."""
+    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("person"), F.col("o_orderstatus").alias("status"), "o_totalprice")
+    people = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("person"), F.col("c_mktsegment").alias("status"), "c_acctbal")
+    return orders.join(people.select("person"), "person", "left_semi").select(*select.column_set_difference(orders.columns, people.columns))
+
+
 @query("union_sites", """SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment, 'customer' AS site FROM customer
 UNION ALL SELECT s_suppkey, s_acctbal, NULL, 'supplier' FROM supplier""")
 def union_sites(t):
@@ -369,3 +406,66 @@ SELECT g.p_brand, g.p_type, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.p_brand
 def pad_levels(t):
     counts = t.part.filter("p_size > 45").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
     return select.add_missing_levels(counts, "p_type", ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "UNUSED"], {"n": 0}, ["p_brand"])
+
+
+# --- shipped rules -------------------------------------------------------------------------
+# An event counts as a reading of the measure that its number picks, at one of three scales.
+
+def scaled(t, names: list[str]):
+    third = F.col("event_id") % 3
+    return t.events.filter("event_type <> 'signup'").select(
+        "user_id", "event_id", "ts", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % len(names) + 1).cast("int")).alias("measure"),
+        F.when(third == 0, F.col("value") / 10).when(third == 1, F.col("value")).otherwise(F.col("value") * 10).alias("value"))
+
+
+def scaled_sql(names: list[str]) -> str:
+    return f"""scaled AS (SELECT user_id, event_id, ts, {names}[CAST(event_id % {len(names)} AS INTEGER) + 1] AS measure,
+  CASE event_id % 3 WHEN 0 THEN value / 10 WHEN 1 THEN value ELSE value * 10 END AS value FROM events WHERE event_type <> 'signup')"""
+
+
+BANDS = readings.load_bands()
+LIMITS = ["lower", "lower_in", "upper", "upper_in"]
+AGES = ["age_from", "age_over", "age_to", "age_under"]
+
+
+def bands_sql() -> str:
+    """The rules as a table; the first rule that holds, at the low end before the high one, gives the level."""
+    number = lambda x: x or "CAST(NULL AS DOUBLE)"
+    word = lambda x: f"'{x}'" if x else "CAST(NULL AS VARCHAR)"
+    rules = [row for rows in BANDS.values() for row in rows]
+    values = ",\n".join("({}, {}, {}, {}, {}, {})".format(i, word(r["measure"]), word(r["worst"]), word(r["level"]), word(r["sex"]),
+                                                        ", ".join(number(r[c]) for c in LIMITS + AGES)) for i, r in enumerate(rules))
+    return f"""WITH {ANCHORS_SQL}, {scaled_sql(sorted(BANDS))},
+rules(place, measure, worst, level, for_sex, {", ".join(LIMITS + AGES)}) AS (VALUES {values}),
+r AS (SELECT s.user_id, measure, sex, age, min(value) AS lo, max(value) AS hi FROM scaled s JOIN anchors a ON s.user_id = a.user_id
+  WHERE CAST(ts AS DATE) >= CAST(anchor AS DATE) AND CAST(ts AS DATE) < CAST(anchor AS DATE) + 365 AND value IS NOT NULL GROUP BY ALL),
+ends AS (SELECT *, 0 AS side, lo AS v FROM r UNION ALL SELECT *, 1, hi FROM r),
+hits AS (SELECT e.user_id, e.measure, arg_min(level, side * 1000 + place) AS band FROM ends e JOIN rules x ON e.measure = x.measure
+  AND (worst = 'either' OR (worst = 'min') = (side = 0))
+  AND (lower IS NULL OR v > lower OR (v = lower AND lower_in = 1)) AND (upper IS NULL OR v < upper OR (v = upper AND upper_in = 1))
+  AND (for_sex IS NULL OR (for_sex = 'M') = (sex IS NOT DISTINCT FROM 'M'))
+  AND (age_from IS NULL OR age >= age_from) AND (age_over IS NULL OR age > age_over)
+  AND (age_to IS NULL OR age <= age_to) AND (age_under IS NULL OR age < age_under) GROUP BY 1, 2)
+SELECT r.user_id, r.measure, coalesce(band, 'Normal') AS band FROM r LEFT JOIN hits h ON h.user_id = r.user_id AND h.measure = r.measure"""
+
+
+@query("shipped_bands", bands_sql())
+def shipped_bands(t):
+    values = readings.anchored_reading(scaled(t, sorted(BANDS)), anchors(t), "user_id", "measure", "ts", "value", "event_id", "anchor", 365, ["sex", "age"])
+    out = readings.band_all(values, "measure", BANDS, readings.WORST, "band", F.col("sex"), F.col("age"))
+    return out.select("user_id", "measure", "band")
+
+
+SHAPED = ["BE", "BNP", "APTT", "PT", "CO2", "O2", "CRP", "DDM", "eGFR", "Lymphocytes", "Neutrophils", "NLR", "WCC", "FER", "fib", "Glucose", "HB",
+          "HBA1c", "LDH", "PCT", "PLT", "poctLAC", "poctpH", "trig", "trop"]
+
+
+@query("shipped_transforms", f"""WITH {scaled_sql(SHAPED)},
+x AS (SELECT event_id, measure, CASE WHEN measure IN ('CRP', 'Neutrophils', 'WCC', 'HBA1c') THEN cbrt(value) WHEN measure = 'PLT' THEN sqrt(value)
+  WHEN measure IN ('BE', 'eGFR', 'fib', 'HB', 'poctpH') THEN value ELSE CASE WHEN value > 0 THEN log10(value) END END AS v
+  FROM scaled WHERE NOT (measure = 'BE' AND value >= 57.5)),
+m AS (SELECT measure, min(v) AS lo, max(v) AS hi FROM x GROUP BY 1)
+SELECT event_id, x.measure, round((v - lo) / nullif(hi - lo, 0), 6) AS value FROM x JOIN m ON x.measure = m.measure""")
+def shipped_transforms(t):
+    out = study.heat_map(scaled(t, SHAPED).select("event_id", "measure", "value"), "measure", "value", reshape.load_transforms(), ["event_id"])
+    return out.withColumn("value", F.round("value", 6))

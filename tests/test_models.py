@@ -108,14 +108,14 @@ def auc_by_pairs(y, p):
     return np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
 
 
-@pytest.mark.parametrize("rows_per_bucket", [7, 10**6])
-def test_auc_with_ties(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [1, 30, None])
+def test_auc_with_ties(spark, ranges):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"g": rng.integers(0, 2, 300), "y": rng.integers(0, 2, 300), "p": np.round(rng.random(300), 1)})
     pdf["q"] = 1 - pdf.p
     df = spark.createDataFrame(pdf)
-    up = {r["g"]: r["auc"] for r in evaluate.auc(df, ["g"], rows_per_bucket=rows_per_bucket).collect()}
-    down = {r["g"]: r["auc"] for r in evaluate.auc(df, ["g"], p="q", rows_per_bucket=rows_per_bucket).collect()}
+    up = {r["g"]: r["auc"] for r in evaluate.auc(df, ["g"], ranges=ranges).collect()}
+    down = {r["g"]: r["auc"] for r in evaluate.auc(df, ["g"], p="q", ranges=ranges).collect()}
     for g, part in pdf.groupby("g"):
         assert up[g] == pytest.approx(auc_by_pairs(part.y.to_numpy(), part.p.to_numpy())) and up[g] + down[g] == pytest.approx(1)
 

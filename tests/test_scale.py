@@ -90,13 +90,13 @@ def test_window_sums_equal_pair_sums(timed):
     assert got == {i: float(v) for i, v in brute(timed, pick).items()}
 
 
-@pytest.mark.parametrize("rows_per_bucket", [5, 10_000])
-def test_exact_quantiles(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [1, 40, None])
+def test_exact_quantiles(spark, ranges):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 500, p=[0.8, 0.15, 0.05]), "x": np.round(rng.exponential(20, 500), 1)})
     pdf.loc[0, "x"] = 1e9
     df = spark.createDataFrame(pdf)
-    got = scale.exact_quantiles(df, ["g"], "x", {"q25": 0.25, "q50": 0.5, "q975": 0.975}, rows_per_bucket).toPandas().set_index("g")
+    got = scale.exact_quantiles(df, ["g"], "x", {"q25": 0.25, "q50": 0.5, "q975": 0.975}, ranges).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         for name, p in (("q25", 0.25), ("q50", 0.5), ("q975", 0.975)):
             assert got.loc[g, name] == pytest.approx(np.quantile(part.x, p))
@@ -107,6 +107,27 @@ def test_quantiles_without_groups(spark):
     assert scale.exact_quantiles(df, [], "x", {"m": 0.5}, 3).first()["m"] == 5.0
 
 
+def test_quantiles_between_infinite_values(spark):
+    df = spark.createDataFrame([(float("-inf"),), (float("inf"),), (float("inf"),)], "x double")
+    got = scale.exact_quantiles(df, [], "x", {"low": 0.0, "mid": 0.5, "top": 1.0}, 3).first()
+    assert got.asDict() == {"low": float("-inf"), "mid": float("inf"), "top": float("inf")}
+
+
+def test_more_ranges_than_the_old_limit(spark):
+    """One key, 6,000 distinct values, as many ranges as Spark finds cuts for: the same ranks as one window."""
+    df = spark.range(6000).select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(10**6)).alias("v"))
+    rows = scale.ranged(df, [F.col("v"), F.col("id")], 3000)
+    assert rows.select("_bucket").distinct().count() > 2048
+    got = scale.running(rows, [], "_bucket", [F.col("v"), F.col("id")], {"n": F.lit(1).cast("bigint")})
+    want = df.withColumn("n", F.row_number().over(Window.orderBy("v", "id")))
+    assert as_dict(got, "id", "n") == as_dict(want, "id", "n")
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, x double")
+    assert scale.exact_quantiles(empty, ["g"], "x", {"m": 0.5}).collect() == []
+
+
 @pytest.mark.parametrize("max_rows", [1, 100])
 def test_attach_small_both_ways(spark, max_rows):
     big = spark.createDataFrame([(i, "hot" if i % 3 else "cold") for i in range(90)], "id bigint, k string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.operators.ranking import first_per
-from wardline.scale import exact_quantiles, running, value_bucket
+from wardline.scale import exact_quantiles, ranged, running
 
 
 def derive_outcomes(df: DataFrame, death: str, icu: str) -> DataFrame:
@@ -71,8 +71,8 @@ QUARTILES = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
 def group_median_order(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Box-plot numbers per group and the place of each group by its median."""
     boxes = exact_quantiles(df, keys, col, QUARTILES)
-    cut, bucket = value_bucket(boxes, "q50")
-    return running(cut, [], bucket, [F.col("q50"), *[F.col(k) for k in keys]], {"place": F.lit(1)}).drop("_bucket")
+    order = [F.col("q50"), *[F.col(k) for k in keys]]
+    return running(ranged(boxes, order), [], "_bucket", order, {"place": F.lit(1)}).drop("_bucket")
 
 
 def distinct_counts(df: DataFrame, cols: list[str], approximate: bool = False) -> DataFrame:

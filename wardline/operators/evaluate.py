@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.scale import hash_key, hash_numbered, running, value_bucket
+from wardline.scale import hash_key, hash_numbered, ranged, running
 from wardline.session import cut_lineage
 
 
@@ -116,22 +116,21 @@ def brier(df: DataFrame, by: list[str], y: str = "y", p: str = "p", on: str = "p
     return df.groupBy(*by).agg(F.avg(F.pow(guess - F.col(y), F.lit(2.0))).alias("brier"))
 
 
-def _ranked_scores(df: DataFrame, by: list[str], y: str, p: str, rows_per_bucket: int, expected: int | None) -> DataFrame:
+def _ranked_scores(df: DataFrame, by: list[str], y: str, p: str, ranges: int | None) -> DataFrame:
     """One row per group and distinct score with counts and running counts of both classes."""
-    cut, bucket = value_bucket(df.filter(F.col(p).isNotNull()), p, rows_per_bucket, expected=expected)
-    return _ranked_counts(cut, bucket, by, p, F.count_if(F.col(y) == 1), F.count_if(F.col(y) != 1))
+    return _ranked_counts(df, by, p, F.count_if(F.col(y) == 1), F.count_if(F.col(y) != 1), ranges)
 
 
-def _ranked_counts(cut: DataFrame, bucket: str | None, by: list[str], p: str, ones: Column, others: Column) -> DataFrame:
-    counted = cut.groupBy(*by, *([bucket] if bucket else []), p).agg(ones.alias("_n1"), others.alias("_n0"))
-    return running(counted, by, bucket, [F.col(p)], {"_c1": F.col("_n1"), "_c0": F.col("_n0")},
+def _ranked_counts(df: DataFrame, by: list[str], p: str, ones: Column, others: Column, ranges: int | None) -> DataFrame:
+    counted = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(ones.alias("_n1"), others.alias("_n0"))
+    rows = ranged(counted, [*[F.col(c) for c in by], F.col(p)], ranges)
+    return running(rows, by, "_bucket", [F.col(p)], {"_c1": F.col("_n1"), "_c0": F.col("_n0")},
                    totals={"_c1": "_all1", "_c0": "_all0"})
 
 
-def roc_points(df: DataFrame, by: list[str], y: str = "y", p: str = "p", rows_per_bucket: int = 2_000_000,
-               expected: int | None = None) -> DataFrame:
+def roc_points(df: DataFrame, by: list[str], y: str = "y", p: str = "p", ranges: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr): rates when scores at or above the threshold count as positive."""
-    r = _ranked_scores(df, by, y, p, rows_per_bucket, expected)
+    r = _ranked_scores(df, by, y, p, ranges)
     above = lambda c, n, total: F.try_divide(F.col(total) - F.col(c) + F.col(n), F.col(total))
     return r.select(*by, F.col(p).alias("threshold"), above("_c0", "_n0", "_all0").alias("fpr"),
                     above("_c1", "_n1", "_all1").alias("tpr"))
@@ -143,23 +142,21 @@ def _auc() -> Column:
     return F.try_divide(F.sum(twice.cast("double")), (2 * F.max("_all1") * F.max("_all0")).cast("double"))
 
 
-def auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p", rows_per_bucket: int = 2_000_000,
-        expected: int | None = None) -> DataFrame:
+def auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p", ranges: int | None = None) -> DataFrame:
     """Area under the curve, ties counted half; a group with one class gives null. Never flipped."""
-    return _ranked_scores(df, by, y, p, rows_per_bucket, expected).groupBy(*by).agg(_auc().alias("auc"))
+    return _ranked_scores(df, by, y, p, ranges).groupBy(*by).agg(_auc().alias("auc"))
 
 
 def all_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", threshold: float = 0.5,
-                rows_per_bucket: int = 2_000_000, expected: int | None = None) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """AUC, 2x2 counts, rates and class Brier score per group from one grouping of the scores."""
-    return _all_rates(_ranked_scores(df, by, y, p, rows_per_bucket, expected), by, p, threshold)
+    return _all_rates(_ranked_scores(df, by, y, p, ranges), by, p, threshold)
 
 
 def metrics_of_counts(df: DataFrame, by: list[str], p: str = "p", n1: str = "n1", n0: str = "n0", threshold: float = 0.5,
-                      rows_per_bucket: int = 2_000_000, expected: int | None = None) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """The same from rows that each stand for ``n1`` rows of class 1 and ``n0`` of class 0 with one score."""
-    cut, bucket = value_bucket(df.filter(F.col(p).isNotNull()), p, rows_per_bucket, expected=expected)
-    return _all_rates(_ranked_counts(cut, bucket, by, p, F.sum(n1), F.sum(n0)), by, p, threshold)
+    return _all_rates(_ranked_counts(df, by, p, F.sum(n1), F.sum(n0), ranges), by, p, threshold)
 
 
 def _all_rates(ranked: DataFrame, by: list[str], p: str, threshold: float) -> DataFrame:

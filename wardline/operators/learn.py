@@ -162,24 +162,19 @@ def cross_validate(rows: DataFrame, terms: list[int], repeats: int, k: int, lear
 BY_FOLD = ["model_name", "repeat", "fold"]
 
 
-def fold_metrics(scored: DataFrame, by: list[str] = BY_FOLD, expected: int | None = None) -> DataFrame:
+def fold_metrics(scored: DataFrame, by: list[str] = BY_FOLD) -> DataFrame:
     """AUC, class Brier score, accuracy, sensitivity and specificity per fold, from one grouping."""
-    return evaluate.all_metrics(scored, by, expected=expected).select(
+    return evaluate.all_metrics(scored, by).select(
         *by, "auc", "brier", "accuracy", "sensitivity", "specificity", "balanced_accuracy")
 
 
-def _rows_scored(fits: list[Fit]) -> int:
-    """Upper bound of the scored rows: every fit's own rows and as many again."""
-    return int(2 * sum(f.n for f in fits)) + 1
-
-
 def external_validate(fits: list[Fit], rows: DataFrame, by: list[str] = BY_FOLD) -> DataFrame:
     """Every fitted model on all rows of another site."""
     return fold_metrics(scores(rows, fits, "all"), by)
 
 
 def cross_validated_metrics(rows: DataFrame, fits: list[Fit], by: list[str] = BY_FOLD) -> DataFrame:
-    return fold_metrics(scores(rows, fits), by, _rows_scored(fits))
+    return fold_metrics(scores(rows, fits), by)
 
 
 # --- marker screen -----------------------------------------------------------------------------
@@ -200,9 +195,9 @@ def single_marker_screen(rows: DataFrame, features: list[str], control: list[int
         folded += fold_models(base, repeats, k)
     fits = fit_models(rows, whole + folded)
     full, cv = fits[:len(whole)], fits[len(whole):]
-    sample = evaluate.auc(scores(rows, full, "all"), ["model_name"], expected=_rows_scored(full)).withColumnRenamed("auc", "sample_auc")
+    sample = evaluate.auc(scores(rows, full, "all"), ["model_name"]).withColumnRenamed("auc", "sample_auc")
     # one row per group and fold, used three times
-    per_fold = cut_lineage(evaluate.auc(scores(rows, cv), BY_FOLD, expected=_rows_scored(cv)))
+    per_fold = cut_lineage(evaluate.auc(scores(rows, cv), BY_FOLD))
     ranges = evaluate.interval_summary(per_fold, ["model_name"], "auc").select("model_name", "q025", "q500", "q975")
     base = per_fold.filter("model_name = 'control'").select("repeat", "fold", F.col("auc").alias("control_auc"))
     diff = per_fold.filter("model_name <> 'control'").join(base, ["repeat", "fold"]).withColumn("difference", F.col("control_auc") - F.col("auc"))
@@ -237,7 +232,7 @@ def forward_select(rows: DataFrame, features: list[str], start: list[int], max_t
             break
         models = [m for j in rest for m in fold_models(Model((("model_name", features[j]),), tuple([*chosen, j]), outcome=outcome), repeats, k)]
         fits = fit_models(rows, models)
-        per_fold = evaluate.auc(scores(rows, fits), BY_FOLD, expected=_rows_scored(fits))
+        per_fold = evaluate.auc(scores(rows, fits), BY_FOLD)
         # one number per candidate
         means = {r["model_name"]: r["auc"] for r in per_fold.groupBy("model_name").agg(F.avg("auc").alias("auc")).collect()}
         rest = [j for j in rest if means.get(features[j]) is not None]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.scale import HOUR, null_safe_join, numbered, running, time_bucket, value_bucket
+from wardline.scale import HOUR, null_safe_join, numbered, ranged, running, time_bucket
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -86,6 +86,6 @@ def cumulative_share(counts: DataFrame, value: str, tie: list[str], name: str =
                      running_name: str = "cumulative_share") -> DataFrame:
     """Share of the total and its running sum, largest value first."""
     total = counts.agg(F.sum(value)).scalar()
-    ordered, bucket = value_bucket(counts.withColumn("_down", -F.col(value)), "_down")
-    summed = running(ordered, [], bucket, [F.col("_down"), *[F.col(t) for t in tie]], {running_name: F.col(value)})
-    return summed.withColumns({name: F.col(value) / total, running_name: F.col(running_name) / total}).drop("_bucket", "_down")
+    order = [F.col(value).desc_nulls_last(), *[F.col(t) for t in tie]]
+    summed = running(ranged(counts, order), [], "_bucket", order, {running_name: F.col(value)})
+    return summed.withColumns({name: F.col(value) / total, running_name: F.col(running_name) / total}).drop("_bucket")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators.ranking import first_per
-from wardline.session import small_table
+from wardline.session import cut_lineage, small_table
 
 
 def require_complete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -150,8 +150,9 @@ def extract_cohort_subset(tables: dict[str, DataFrame], cohort: DataFrame, grain
 
     ``cohort`` holds the key columns of the chosen entities. ``grain`` maps a table to the key
     it is cut by, ``parents`` maps a detail table to (parent table, key) and follows the parent's
-    subset, ``copied`` names tables taken whole.
+    subset, ``copied`` names tables taken whole. The cohort is worked out once, into a written table.
     """
+    cohort = cut_lineage(cohort)
     needed = sorted({k for k in grain.values()})
     keyed = {k: cohort.select(k).filter(F.col(k).isNotNull()).distinct() for k in needed}
     local = {k: small_table(v) for k, v in keyed.items()}

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.session import cut_lineage
+
 HOUR = 3600
 LAST_BUCKET = 2**62
 
@@ -28,25 +29,15 @@ def time_bucket(ts: str | Column, grain: int = HOUR) -> Column:
     return F.coalesce(F.floor(epoch(ts) / F.lit(grain * 1_000_000)), F.lit(LAST_BUCKET))
 
 
-def value_bucket(df: DataFrame, col: str, rows_per_bucket: int = 2_000_000, most: int = 2048,
-                 expected: int | None = None) -> tuple[DataFrame, str | None]:
-    """Consecutive buckets of about equal row count along a numeric column: (rows, bucket column).
+def ranged(df: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """A written copy of ``df`` with its rows in consecutive ranges of ``order``, numbered by ``_bucket``.
 
-    Rows are counted (unless the caller has a bound, ``expected``) and, if there are many, their
-    quantiles sketched; the sketch only balances the buckets, results stay exact. Small inputs
-    need no buckets: the column is None.
+    Spark samples the order and sends rows to ranges of about equal size; equal rows share one. Their number is
+    the session's (small neighbours are put together at run time) or ``ranges``. Written, as numbers
+    drawn again could differ.
     """
-    n = expected if expected is not None else df.agg(F.count(col)).first()[0]
-    wanted = min(most, -(-n // rows_per_bucket))
-    if wanted <= 1:
-        return df, None
-    probs = [i / wanted for i in range(1, wanted)]
-    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 20 * wanted)).first()[0]
-    splits = [float("-inf")] + sorted(set(cuts or [])) + [float("inf")]
-    cast = df.withColumn("_value", F.col(col).cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket", handleInvalid="keep").transform(cast)
-    number = F.when(F.col(col).isNull(), F.lit(LAST_BUCKET)).otherwise(F.col("_bucket").cast("bigint"))
-    return cut.drop("_value").withColumn("_bucket", number), "_bucket"
+    dealt = df.repartitionByRange(*order) if ranges is None else df.repartitionByRange(ranges, *order)
+    return cut_lineage(dealt.withColumn("_bucket", F.spark_partition_id()))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
@@ -56,21 +47,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
-def running(df: DataFrame, keys: list[str], bucket: str | None, order: list[Column], sums: dict[str, Column],
+def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: dict[str, Column],
             totals: dict[str, str] | None = None) -> DataFrame:
     """Running sums per key, exact, over (key, bucket) groups.
 
     ``bucket`` must not decrease along ``order``. ``sums`` maps result names to row values;
     ``totals`` maps a sum's name to a column for the whole-key total. ``df`` is read twice (rows
-    and bucket sizes), so hand over a scan, a grouped table or a checkpoint. Without a bucket,
-    which is for inputs proven small, one window per key does.
+    and bucket sizes), so hand over a scan, a grouped table or a checkpoint.
     """
     totals = totals or {}
-    if bucket is None:
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy(*keys)
-        return df.withColumns({**{n: F.sum(v).over(upto) for n, v in sums.items()},
-                               **{c: F.sum(sums[n]).over(whole) for n, c in totals.items()}})
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumns({name: F.sum(value).over(inside) for name, value in sums.items()})
     sizes = df.groupBy(*keys, bucket).agg(*[F.sum(value).alias(f"_t_{name}") for name, value in sums.items()])
@@ -137,30 +122,23 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
     return both.select("_left.*", F.when(usable, F.coalesce("_near", "_carried")).alias(name))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float],
-                    rows_per_bucket: int = 2_000_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float], ranges: int | None = None) -> DataFrame:
     """Interpolated quantiles per key (the usual type 7), exact, without one task per key.
 
-    Inputs counted as small use the built-in aggregate, which holds a group's values in memory.
-    Otherwise equal values are counted before the exchange and ranks come from bucketed running
-    counts.
+    Equal values are counted before the exchange; the counts are put in ranges of (key, value) and ranks come
+    from running counts over these.
     """
-    valued = df.filter(F.col(col).isNotNull())
-    n = valued.count()
-    if n <= rows_per_bucket:
-        all_probs = F.array(*[F.lit(float(p)) for p in probs.values()])
-        table = valued.groupBy(*keys).agg(F.percentile(F.col(col).cast("double"), all_probs).alias("_q"))
-        return table.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    cut, bucket = value_bucket(valued, col, rows_per_bucket, expected=n)
-    counted = cut.groupBy(*keys, bucket, col).agg(F.count("*").alias("_n"))
-    ranked = running(counted, keys, bucket, [F.col(col)], {"_upto": F.col("_n")}, totals={"_upto": "_all"})
+    counted = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    rows = ranged(counted, [*[F.col(k) for k in keys], F.col("_value")], ranges)
+    ranked = running(rows, keys, "_bucket", [F.col("_value")], {"_upto": F.col("_n")}, totals={"_upto": "_all"})
     picks, final = [], {}
     for name, p in probs.items():
-        at = F.lit(p) * (F.col("_all") - 1)
+        at = F.lit(float(p)) * (F.col("_all") - 1)
         for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             holds = (F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index)
-            picks.append(F.max(F.when(holds, F.col(col).cast("double"))).alias(f"_{name}_{side}"))
+            picks.append(F.max(F.when(holds, F.col("_value"))).alias(f"_{name}_{side}"))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        final[name] = lo + (hi - lo) * (at - F.floor(at))
+        # between equal values nothing is interpolated, infinite ones included
+        final[name] = F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
     table = ranked.groupBy(*keys).agg(F.max("_all").alias("_all"), *picks)
     return table.select(*keys, *[v.alias(k) for k, v in final.items()])
