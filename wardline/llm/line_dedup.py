@@ -11,7 +11,7 @@ has one, blank). Repeated rows give a row each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import attach, cut_lineage, prepare, rows_of
@@ -48,6 +48,22 @@ def site_spread(docs: DataFrame, id: str = "doc_id", text: str = "text", site: s
     return sure.unionByName(exact.select("h1", "h2"))
 
 
+def _without(parts: Column, gone: Column) -> Column:
+    """The lines ``parts`` but for the places ``gone`` (ascending), as one text: the stretches between these, in linear time."""
+
+    def stretches(both: Column) -> Column:
+        lines, places = both["lines"], both["places"]
+
+        def stretch(k: Column) -> Column:
+            start = F.coalesce(F.get(places, k - 1) + 1, F.lit(0))
+            return F.slice(lines, start + 1, F.coalesce(F.get(places, k), F.size(lines)) - start)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), stretch)), "\n")
+
+    # An array of one, so that both sides are worked out once for each row.
+    return F.get(F.transform(F.array(F.struct(parts.alias("lines"), gone.alias("places"))), stretches), F.lit(0))
+
+
 def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8) -> DataFrame:
     """doc_id, n_lines, n_removed, text without the lines that spread over ``min_sites`` sites or more."""
     prepare(docs.sparkSession)
@@ -58,8 +74,7 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", site: st
     whole = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
     met = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")), "left")
     parts = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("gone", i)), "\n"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(parts, F.sort_array("gone")))
     lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0))
     return met.select("doc_id", lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
                       F.coalesce(kept, F.lit("")).alias("text"))
