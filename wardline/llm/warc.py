@@ -31,7 +31,6 @@ SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 ARCHIVE_BYTES = 8 << 20
 
-DIGEST_DDL = "page_id bigint, digest string, size bigint"
 READ = pa.schema([("record", pa.string()), ("kind", pa.string()), ("segment", pa.int32()), ("origin", pa.string()), ("total", pa.int64()), ("url", pa.string()),
                   ("digest", pa.string()), ("refers", pa.string()), ("block", pa.binary())])
 READ_DDL = "record string, kind string, segment int, origin string, total bigint, url string, digest string, refers string, block binary"
@@ -44,13 +43,6 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _digests(batches):
-    for batch in batches:
-        raw = [(h or "").encode() for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([payload_digest(x) for x in raw], pa.string()), pa.array([len(x) for x in raw], pa.int64())],
-                                         names=["page_id", "digest", "size"])
-
-
 def _head(kind: str, record: str, length: int, **fields) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     lines += [f"{name.replace('_', '-')}: {value}" for name, value in fields.items() if value is not None]
@@ -122,28 +114,19 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
     prepare(pages.sparkSession)
     own = rows_of(pages, page_id=id, url=url, html=html).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     rows, size = text_volume(own, "html")
-    known = cut_lineage(own.select("page_id", "html").mapInArrow(_digests, DIGEST_DDL))
+    own = own.withColumn("digest", F.sha1(F.coalesce("html", F.lit(""))))
+    known = cut_lineage(own.select("page_id", "digest", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")))
     # Copies are grouped with partial sums and met again by a join of two written sides, which Spark can split.
     groups = cut_lineage(known.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1"))
     again = known.join(groups.select("digest", "first"), "digest").where("NOT (page_id <=> first)")
     again = cut_lineage(again.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct())
-    repeated = again.groupBy("_id").agg(F.collect_list(F.struct("_digest", "first")).alias("found"))
-    # Ids are mostly unique: a page meets the few payloads its id has in other rows, and its own one decides.
-    met = own.join(repeated, F.col("page_id").eqNullSafe(F.col("_id")), "left").mapInArrow(_own_first, "page_id bigint, url string, html string, first bigint")
+    # One row for an id and payload, whatever number of payloads an id has.
+    met = own.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "first")
     out = met.mapInArrow(_records(segment_bytes), "record binary").select(F.col("record").cast("string").alias("value"))
     each = max(1, ARCHIVE_BYTES * max(rows, 1) // max(size + 500 * rows, 1))
     out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", each).text(path)
 
 
-def _own_first(batches):
-    for batch in batches:
-        firsts = []
-        for html, found in zip(batch.column("html").to_pylist(), batch.column("found").to_pylist(), strict=True):
-            digest = payload_digest((html or "").encode()) if found else None
-            firsts.append(next((x["first"] for x in found or [] if x["_digest"] == digest), None))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "html")], pa.array(firsts, pa.int64())], names=["page_id", "url", "html", "first"])
-
-
 def split_records(data: bytes):
     """(headers, block) of each record of an archive."""
     at = 0
