@@ -13,7 +13,8 @@ Documents of one set of shingles form a class; only classes are joined.
    over each group, and its dual traversal finds exact links; sets already connected are not compared again.
 3. Second traversal. Components of the links found so far are formed. Only in larger nodes whose members lie in
    different components can a link be missing: there members outside the node's main component are held against
-   all members by dual traversal of signature trees, in chunks, and what passes the bounds is compared exactly.
+   all members by dual traversal of signature trees, in pairs of chunks bounded on both sides, and what passes the
+   bounds is compared exactly.
 
 Every pair that may reach the threshold is either inside one component already or compared exactly, so no link
 between components is lost. Shingles are known by 64-bit hashes.
@@ -282,13 +283,13 @@ def _links(num: int, den: int):
 
 
 def _across(num: int, den: int):
-    """Pairs of different components in a chunk of a node's members that may reach the threshold."""
+    """Pairs of different components, of a probe and a target among a node's members, that may reach the threshold."""
 
     def work(table: pa.Table) -> pa.Table:
         n, classes, part = (table.column(c).to_numpy() for c in ("n", "class", "component"))
-        probe = table.column("probe").to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
+        probe, target = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("probe", "target"))
         i, j = candidates(table.column("map").to_pylist(), n, num, den, probe)
-        own = (table.column("own").to_numpy() == table.column("chunk").to_numpy())[j]
+        own = target[j]
         i, j = i[own], j[own]
         keep = part[i] != part[j]
         i, j = i[keep], j[keep]
@@ -366,18 +367,26 @@ class JaccardJoin:
         mixed = counts.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.bit_xor("x").alias("x"), F.max(F.struct("k", "component")).alias("main"))
         # Nodes of the same members give the same pairs: one of them is enough.
         mixed = mixed.where("parts > 1").groupBy("k", "x").agg(F.min(F.struct("shingle", "main")).alias("node"))
-        mixed = cut_lineage(mixed.select("node.shingle", F.col("node.main.component").alias("main"), F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks")))
-        rows = nodes.join(mixed, "shingle").join(part, "class").join(self.known.select("class", "map"), "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+        main = F.col("node.main")
+        mixed = cut_lineage(mixed.select("node.shingle", main["component"].alias("main"), F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"),
+                                         F.ceil((F.col("k") - main["k"]) / CHUNK).cast("int").alias("sides")))
+        rows = nodes.join(mixed, "shingle").join(part, "class").join(self.known.select("class", "map"), "class")
+        rows = rows.withColumns({"own": F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"), "side": F.pmod(F.xxhash64("class", F.lit(1)), F.col("sides")).cast("int")})
         # All nodes that are traversed have one order. A pair of different components is looked at in each node that
         # holds both, as no more than one of them is of the main component; so the first of these nodes is enough.
         upto = Window.partitionBy("class").orderBy("shingle")
         before = [f"before_{k}" for k in range(1, BEFORE + 1)]
         rows = rows.withColumns({name: F.lag("shingle", k, 0).over(upto) for k, name in enumerate(before, start=1)})
-        # A row goes to its own chunk; one outside the main component also goes to all others, to be held against them.
+        # A task holds one chunk of all members, the targets, against one side of the members outside the main component, the probes:
+        # a number of both that does not grow. A member is a target for each side; one outside is also a probe for each chunk.
         outside = F.col("component") != F.col("main")
-        others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: outside | (k == F.col("own")))
-        sent = rows.select("shingle", F.explode(others).alias("chunk"), "own", "class", "component", "n", "map", outside.alias("probe"), *before)
-        return sent.groupBy("shingle", "chunk").applyInArrow(_across(self.num, self.den), LINK_DDL).distinct()
+        place = lambda chunk, side: F.struct(chunk.cast("int").alias("chunk"), side.cast("int").alias("part"))
+        targets = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda s: place(F.col("own"), s))
+        probes = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: outside & (c != F.col("own"))), lambda c: place(c, F.col("side")))
+        sent = rows.select("shingle", F.explode(F.concat(targets, probes)).alias("place"), "own", "side", "class", "component", "n", "map", outside.alias("outside"), *before)
+        sent = sent.select("shingle", "place.*", "class", "component", "n", "map", (F.col("own") == F.col("place.chunk")).alias("target"),
+                           (F.col("outside") & (F.col("side") == F.col("place.part"))).alias("probe"), *before)
+        return sent.groupBy("shingle", "chunk", "part").applyInArrow(_across(self.num, self.den), LINK_DDL).distinct()
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for each row; the component's id is its smallest doc_id."""
