@@ -172,14 +172,15 @@ def test_line_dedup(docs, none):
     assert L.line_dedup(none).count() == 0
 
 
-def test_markov_forward_is_exact():
+def test_markov_forward_is_exact(monkeypatch):
     from wardline.llm import markov as M
 
     rng = np.random.default_rng(0)
     rows = lambda *s: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(s))
     model = M.Model(rows(3), rows(3, 3), rows(3, M.KINDS))
     kinds, first = rng.integers(0, M.KINDS, 9), np.array([0, 4, 5, 9])
-    for got, a, b in zip(model.log10(kinds, first), first[:-1], first[1:], strict=True):
+    emitted = model.emit.T
+    for got, a, b in zip(model.log10(emitted, kinds, first), first[:-1], first[1:], strict=True):
         total = 0.0
         for path in itertools.product(range(3), repeat=int(b - a)):
             p = model.start[path[0]] * model.emit[path[0], kinds[a]]
@@ -187,10 +188,108 @@ def test_markov_forward_is_exact():
                 p *= model.step[path[t - 1], path[t]] * model.emit[path[t], kinds[a + t]]
             total += p
         assert math.isclose(10 ** got, total, rel_tol=1e-9)
-    start, step, emit = model.expected(kinds, first)
+    start, step, emit, likelihood = model.expected(emitted, kinds, first)
     assert np.isclose(start.sum(), 3) and np.isclose(step.sum(), 6) and np.isclose(emit.sum(), 9)
+    assert np.isclose(likelihood, model.log10(emitted, kinds, first).sum())
     better = M.Model.of_counts(start, step, emit)
-    assert better.log10(kinds, first).sum() > model.log10(kinds, first).sum()
+    assert better.log10(better.emit.T, kinds, first).sum() > likelihood
+    # Forward values kept at intervals only, and sequences in several lots, give the same counts.
+    monkeypatch.setattr(M, "CHUNK_TOKENS", 3)
+    for got, want in zip(model.expected(emitted, kinds, first), (start, step, emit, likelihood), strict=True):
+        assert np.allclose(got, want, rtol=1e-12)
+
+
+def plain_markov(rows, model, rounds):
+    """(id, log10 P) of each row: Baum-Welch over tokens in plain loops, from a given model of kinds."""
+    from wardline.llm import markov as M
+
+    states = range(len(model.start))
+    texts = [(r[0], [*words(r[1], True), None]) for r in rows]
+    kinds, out = {}, {}
+    for r in rows:
+        tokens, plain = M.Tokens(pa.array([r[1]], pa.string())), [*words(r[1], True), None]
+        kinds.update(zip(plain, tokens.kinds.tolist(), strict=True))
+        out.update(zip(plain, model.told_apart(tokens.kinds, tokens.hashes), strict=True))
+    trained = [t for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    count = Counter(w for t in trained for w in t)
+    in_kind, types = Counter(), Counter()
+    for w, c in count.items():
+        in_kind[kinds[w]] += c
+        types[kinds[w]] += 1
+    start, step = model.start, model.step
+
+    def forward(t):
+        values, scales = [], []
+        for n, w in enumerate(t):
+            now = [(start[s] if n == 0 else sum(values[-1][r] * step[r, s] for r in states)) * out[w][s] for s in states]
+            scales.append(sum(now))
+            values.append([x / scales[-1] for x in now])
+        return values, scales
+
+    for _ in range(rounds):
+        starts, steps, seen = np.zeros(len(states)), np.zeros_like(model.step), {w: np.zeros(len(states)) for w in kinds}
+        for t in trained:
+            values, scales = forward(t)
+            back = [1.0] * len(states)
+            for n in range(len(t) - 1, -1, -1):
+                gamma = np.array([values[n][s] * back[s] for s in states])
+                seen[t[n]] += gamma
+                if n == 0:
+                    starts += gamma
+                    break
+                ahead = [out[t[n]][s] * back[s] / scales[n] for s in states]
+                for r in states:
+                    for s in states:
+                        steps[r, s] += values[n - 1][r] * step[r, s] * ahead[s]
+                back = [sum(step[r, s] * ahead[s] for s in states) for r in states]
+        start, step = (starts + 0.1) / (starts + 0.1).sum(), (steps + 0.1) / (steps + 0.1).sum(axis=1, keepdims=True)
+        mass, weight = sum(seen.values()), len(count) + 1
+        out = {w: (seen[w] + weight * model.emit[:, k] * (count[w] + 1) / (in_kind[k] + types[k] + 1)) / (mass + weight) for w, k in kinds.items()}
+        # Over known tokens and one unknown token of each kind, every state's emissions sum to one.
+        unknown = sum(weight * model.emit[:, k] / (in_kind[k] + types[k] + 1) for k in range(M.KINDS)) / (mass + weight)
+        assert np.allclose(sum(out[w] for w in count) + unknown, 1)
+    return [(i, sum(math.log10(x) for x in forward(t)[1])) for i, t in texts]
+
+
+def test_markov_against_plain_loops(spark, monkeypatch):
+    from wardline.llm import markov as M
+
+    rng = np.random.default_rng(8)
+    topics = [[f"a{i}x" for i in range(30)], [f"b{i}yy" for i in range(30)]]
+    rows = [(i, " ".join(topics[i % 2][k] for k in rng.integers(0, 30, int(rng.integers(0, 25))))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, " ".join(topics[0] * 9)), (62, "Never seen"), (None, "a1x A1X b2yy"), (None, "a1x A1X b2yy"), (63, "日本 a1x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    # Several homes and buckets, few of which meet.
+    monkeypatch.setattr(M, "Homes", lambda *args: homes(*args, home_bytes=2000, bucket_words=100))
+    homes = __import__("wardline.llm.homes", fromlist=["Homes"]).Homes
+    start = M.kind_model(docs, states=3)
+    for rounds in (1, 3):
+        monkeypatch.setattr(M, "kind_model", lambda *args: start)
+        got = sorted(((r.doc_id is None, r.doc_id, round(r.score, 3)) for r in M.score_texts(docs, states=3, rounds=rounds).collect()), key=str)
+        want = sorted(((i is None, i, round(x, 3)) for i, x in plain_markov(rows, start, rounds)), key=str)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-3)
+
+
+def test_markov_learns_what_follows_what(spark):
+    """Texts keep to one of two topics: states that emit words must tell a held-out text better than counts of words do."""
+    from wardline.llm.markov import score_texts
+
+    rng = np.random.default_rng(9)
+    # Words of both topics share their first and last bytes, so that kinds say nothing.
+    topics = [[f"w{i}o{j}rd" for i in range(100)] for j in range(2)]
+    rows = [(i, " ".join(topics[i % 2][k] for k in rng.integers(0, 100, 60))) for i in range(600)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=6).where("held_out").collect()
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert gain > 0.25  # of at most log10(2) a token
+
+
+def test_markov_messages_grow_with_entries(spark):
+    """A home writes to the buckets that it has tokens for, however many there are."""
+    from wardline.llm import markov as M
+
+    table = pa.table({"home": pa.array([0, 0], pa.int32()), "doc_id": [1, 2], "text": ["a b c", "c d"]})
+    sent = M._first(M.Model.of_histograms(np.zeros((0, M.KINDS)), 2), 100_000)(table)
+    assert sent.num_rows <= 6 and len(set(sent.column("bucket").to_pylist())) == sent.num_rows
 
 
 def test_markov_scores(docs, none):

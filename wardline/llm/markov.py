@@ -1,16 +1,20 @@
 """A hidden Markov language model over tokens, trained by Baum-Welch and scored by the exact forward recursion.
 
-A state emits a *kind* of token, and a kind emits its tokens by their counts in the training texts, so
-the model knows every token of the corpus with few parameters of its own: P(w | state) =
-P(kind | state) * (c + 1) / (N_kind + V_kind + 1), where the last 1 is for all unknown tokens of the kind. The kind comes
-from the first and the last two bytes of a word; the end of a text is a kind of its own. For each state this sums to one.
-
-* Counts: homes send their distinct tokens to buckets, which add them up and answer with totals; nothing that
-  grows with the vocabulary is gathered in one place.
-* Start: states begin from clusters of kind histograms of a bounded sample of training texts (``SAMPLE`` texts).
-* Baum-Welch: each task runs forward and backward over all its training texts, in stretches of ``STRETCH`` tokens, and
-  adds up expected counts; a round sends states * (states + kinds + 1) numbers a task, which Spark sums.
-* Scores: one forward recursion, scaled at each token, over the whole of each text.
+Every state emits tokens themselves: P(w | state) = (E[state, w] + A * prior(w | state)) / (E[state] + A), where E are the
+expected counts of Baum-Welch, a number for each state and distinct token of the corpus, and A is the number of distinct
+training tokens and one (as many added counts as the base score has). The prior passes through the *kind* of a token (its
+first and last two bytes; the end of a text is a kind of its own): P(kind | state) * (c + 1) / (N_kind + V_kind + 1), where c
+is the token's count in the training texts and the last 1 is for all unknown tokens of the kind. For each state this sums to one.
+
+* Kinds: a small model of kinds is trained first, from clusters of kind histograms of a bounded sample of training texts
+  (``SAMPLE`` texts, whose histograms alone travel). It breaks the symmetry between states, with a hash of token and state that shifts the first
+  round's emissions.
+* Tokens: homes run forward and backward over all their training texts and send the expected counts of their distinct
+  tokens, by state, to buckets, which add them up and answer; the next round emits by these sums. Nothing that grows with
+  the vocabulary is gathered in one place; the driver gets sums of states * (states + 2) numbers a round.
+* Rounds end when the likelihood of the training texts settles (``TOLERANCE``), or after ``ROUNDS``.
+* Texts are whole: forward values are carried over a long text and kept at intervals, between which the backward pass works
+  them out again. Scores are one forward recursion, scaled at each token.
 
 Null texts are empty: their only token is the end. Rows without an id are trained on. Repeated rows count each.
 """
@@ -28,17 +32,20 @@ from wardline.llm.homes import Homes, bucket_of, by_bucket, in_order
 
 KINDS = 512
 STATES = 6
-STRETCH = 64
 SAMPLE = 600
+KIND_ROUNDS = 2
 ROUNDS = 3
-BLOCK_BYTES = 2 << 20
+TOLERANCE = 0.001  # log10 a token
+BLOCK_BYTES = 8 << 20
+CHUNK_TOKENS = 200_000  # forward values held at a time
 END = np.uint64(0x454E44)  # stands for the end of a text among token hashes
 FOLDS, HELD_OUT = 7, 2
 
-SENT_DDL = "bucket int, home int, hashes binary, counts binary, kinds binary"
-SENT = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("kinds", pa.binary())])
-TOTAL_DDL = "home int, bucket int, counts binary, tokens array<bigint>, types array<bigint>"
-TOTAL = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("tokens", pa.list_(pa.int64())), ("types", pa.list_(pa.int64()))])
+SENT_DDL = "bucket int, home int, hashes binary, counts binary, kinds binary, expected binary"
+SENT = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("kinds", pa.binary()), ("expected", pa.binary())])
+TOTAL_DDL = "home int, bucket int, counts binary, expected binary, tokens array<bigint>, types array<bigint>, sums array<double>"
+TOTAL = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("expected", pa.binary()),
+                   ("tokens", pa.list_(pa.int64())), ("types", pa.list_(pa.int64())), ("sums", pa.list_(pa.float64()))])
 SCORE_DDL = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 SCORE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -84,8 +91,8 @@ class _Types:
         self.number = np.empty(len(hashes), np.int64)
         self.number[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
         self.hashes, self.kinds = hashes[order[begin]], self.tokens.kinds[order[begin]]
-        trained = np.repeat(~_held_out(self.table.column("doc_id")), np.diff(self.tokens.first))
-        self.counts = np.bincount(self.number[trained], minlength=len(self.hashes))
+        self.trained = ~_held_out(self.table.column("doc_id"))
+        self.counts = np.bincount(self.number[np.repeat(self.trained, np.diff(self.tokens.first))], minlength=len(self.hashes))
         self.order, self.bounds = by_bucket(bucket_of(W.mix(self.hashes, 13), buckets), buckets)
 
 
@@ -93,116 +100,123 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in schema.names}, schema)
 
 
-def _send(buckets: int):
-    def work(table: pa.Table) -> pa.Table:
-        home, types = table.column("home")[0].as_py(), _Types(table, buckets)
-        rows = []
-        for b in range(buckets):
-            at = types.order[types.bounds[b]:types.bounds[b + 1]]
-            if len(at):
-                rows.append((b, home, types.hashes[at].tobytes(), types.counts[at].astype(np.int64).tobytes(), types.kinds[at].astype(np.int16).tobytes()))
-        return _table(rows, SENT)
-
-    return work
-
-
-def _totals(table: pa.Table) -> pa.Table:
-    """For one bucket: the corpus count of each entry, and tokens and types of each kind (in the first row)."""
-    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    ends = np.cumsum([len(x) for x in hashes])
-    hashes = np.concatenate(hashes)
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-    kinds = np.concatenate([np.frombuffer(x, np.int16) for x in table.column("kinds").to_pylist()])
-    order = np.argsort(hashes)
-    begin = W.runs(hashes[order])
-    total = np.add.reduceat(counts[order], begin)
-    each = np.empty(len(hashes), np.int64)
-    each[order] = np.repeat(total, np.diff(np.append(begin, len(order))))
-    of = kinds[order[begin]].astype(np.int64)
-    tokens = np.zeros(KINDS, np.int64)
-    np.add.at(tokens, of, total)
-    types = np.bincount(of[total > 0], minlength=KINDS)
-    bucket = table.column("bucket")[0].as_py()
-    rows = [(h, bucket, each[e - len(x) // 8:e].tobytes(), None, None) for h, x, e in zip(table.column("home").to_pylist(), table.column("hashes").to_pylist(), ends, strict=True)]
-    return _table([(-1, bucket, None, tokens.tolist(), types.tolist()), *rows], TOTAL)
+class Model:
+    """start (states), step (states x states) and emit (states x kinds); rows sum to one.
 
+    ``with_tokens`` adds what emission of tokens needs: ``mass``, the expected tokens of each state, ``room``, the
+    tokens and types of each kind, and ``weight`` of the prior.
+    """
 
-class Model:
-    """start (states), step (states x states) and emit (states x kinds); rows sum to one."""
+    mass = room = None
+    weight = 0.0
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
         self.start, self.step, self.emit = start, step, emit
 
+    @staticmethod
+    def _rows(counts: np.ndarray, add: float) -> np.ndarray:
+        counts = counts + add
+        return counts / counts.sum(axis=-1, keepdims=True)
+
     @staticmethod
     def of_counts(start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> Model:
-        def rows(x: np.ndarray, add: float) -> np.ndarray:
-            x = x + add
-            return x / x.sum(axis=-1, keepdims=True)
+        return Model(Model._rows(start, 0.1), Model._rows(step, 0.1), Model._rows(emit, 0.01))
 
-        return Model(rows(start, 0.1), rows(step, 0.1), rows(emit, 0.01))
+    def with_tokens(self, start: np.ndarray, step: np.ndarray, mass: np.ndarray, tokens_of: np.ndarray, types_of: np.ndarray) -> Model:
+        model = Model(Model._rows(start, 0.1), Model._rows(step, 0.1), self.emit)
+        model.mass, model.room, model.weight = mass, tokens_of + types_of + 1, float(types_of.sum() + 1)
+        return model
 
     @staticmethod
-    def of_sample(texts: list[str], states: int) -> Model:
-        """States from clusters of kind histograms."""
-        tokens = Tokens(pa.array(texts, pa.string()))
-        rows = np.repeat(np.arange(len(texts)), np.diff(tokens.first))
-        seen = np.zeros((len(texts), KINDS))
-        np.add.at(seen, (rows, tokens.kinds), 1)
-        share = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1)) if len(texts) else seen
-        chosen = [0] if len(texts) else []
-        for _ in range(min(states, len(texts)) - 1):
+    def of_histograms(seen: np.ndarray, states: int) -> Model:
+        """States from clusters of the kind histograms of some texts."""
+        share = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1))
+        chosen = [0] if len(seen) else []
+        for _ in range(min(states, len(seen)) - 1):
             away = np.min([((share - share[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
             chosen.append(int(np.argmax(away)))
         middle = share[chosen] if chosen else np.zeros((0, KINDS))
-        for _ in range(10 if len(texts) else 0):
+        for _ in range(10 if len(seen) else 0):
             nearest = np.argmin(((share[:, None, :] - middle[None]) ** 2).sum(axis=2), axis=1)
             middle = np.array([share[nearest == k].mean(axis=0) if (nearest == k).any() else middle[k] for k in range(len(middle))])
-        emit = np.ones((states, KINDS)) + seen.sum(axis=0)
+        # Half of every state is the whole sample, so that a state without texts of its own is not left without tokens.
+        whole = Model._rows(seen.sum(axis=0), 1.0)
+        emit = np.tile(whole, (states, 1))
         for k in range(len(middle)):
-            emit[k] = 1 + seen[nearest == k].sum(axis=0)
+            if (nearest == k).any():
+                emit[k] = (whole + Model._rows(seen[nearest == k].sum(axis=0), 1.0)) / 2
         emit *= np.random.default_rng(3).uniform(0.9, 1.1, emit.shape)
         step = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
         return Model(np.full(states, 1 / states), step, emit / emit.sum(axis=1, keepdims=True))
 
-    def expected(self, kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts over sequences ``kinds[first[i]:first[i+1]]``, all at once."""
+    def told_apart(self, kinds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """What each distinct token's kind is emitted with, shifted by a hash of the token and the state: states that agree in
+        their kinds can so come to differ in their tokens."""
+        shift = np.column_stack([W.mix(hashes, 31 + s) >> np.uint64(11) for s in range(len(self.start))]) / 2.0 ** 53
+        return self.emit.T[kinds] * (0.5 + shift)
+
+    def emitted(self, kinds: np.ndarray, counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        """P(token | state), a row for each of the given distinct tokens."""
+        prior = self.emit.T[kinds] * ((counts + 1) / self.room[kinds])[:, None]
+        return (expected + self.weight * prior) / (self.mass + self.weight)
+
+    def expected(self, emitted: np.ndarray, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts over whole sequences ``number[first[i]:first[i+1]]`` of rows of ``emitted``: of starts, steps and
+        emissions (states x rows), and the log10 likelihood."""
         states, lengths = len(self.start), np.diff(first)
+        start, step, emit, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(emitted))), 0.0
         order = np.argsort(-lengths, kind="stable")
-        begin, lengths = first[:-1][order], lengths[order]
-        live = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), "right")  # sequences of at least t + 1 tokens
-        emitted = np.ascontiguousarray(self.emit.T)
-        alphas, seen, scales = [], [], []
-        alpha = None
-        for t, n in enumerate(live.tolist()):
-            out = emitted[kinds[begin[:n] + t]]
-            alpha = (self.start if t == 0 else alpha[:n] @ self.step) * out
+        ends, low = np.cumsum(lengths[order]), 0
+        while low < len(order):
+            room = CHUNK_TOKENS + (int(ends[low - 1]) if low else 0)
+            to = max(low + 1, int(np.searchsorted(ends, room, "right")))
+            some = order[low:to]
+            likelihood += self._add(start, step, emit, emitted, number, first[:-1][some], lengths[some])
+            low = to
+        return start, step * self.step, emit, likelihood
+
+    def _forward(self, alpha: np.ndarray | None, emitted: np.ndarray, number: np.ndarray, begin: np.ndarray, live: list[int], at: int) -> list[tuple]:
+        """(numbers, emissions, scaled forward values, scales) of ``live[at:at + CHUNK_TOKENS]``."""
+        out = []
+        for t, n in enumerate(live[at:at + CHUNK_TOKENS], at):
+            numbers = number[begin[:n] + t]
+            seen = emitted[numbers]
+            alpha = (self.start if t == 0 else alpha[:n] @ self.step) * seen
             scale = alpha.sum(axis=1, keepdims=True)
             alpha = alpha / scale
-            alphas.append(alpha)
-            seen.append(out)
-            scales.append(scale)
-        step, emit = np.zeros((states, states)), np.zeros((states, KINDS))
-        start = np.zeros(states)
-        beta = np.zeros((0, states))
-        gammas = np.empty((len(kinds), states))
-        for t in range(len(live) - 1, -1, -1):
-            n = int(live[t])
-            full = np.ones((n, states))
-            if len(beta):
-                m = len(beta)
-                ahead = seen[t + 1] * beta / scales[t + 1]
-                step += alphas[t][:m].T @ ahead
-                full[:m] = ahead @ self.step.T
-            beta = full
-            gammas[begin[:n] + t] = alphas[t] * beta
-        step *= self.step
-        start = gammas[begin].sum(axis=0)
-        for s in range(states):
-            emit[s] = np.bincount(kinds, weights=gammas[:, s], minlength=KINDS)
-        return start, step, emit
-
-    def log10(self, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P(kinds) of each whole sequence, by the scaled forward recursion."""
+            out.append((numbers, seen, alpha, scale))
+        return out
+
+    def _add(self, start, step, emit, emitted, number, begin, lengths) -> float:
+        """Add the counts of sequences, longest first, whose forward values fit, or of one longer sequence."""
+        live = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), "right").tolist()  # sequences of at least t + 1 tokens
+        marks, alpha, likelihood = [], None, 0.0
+        for at in range(0, len(live), CHUNK_TOKENS):
+            marks.append((at, alpha))
+            steps = self._forward(alpha, emitted, number, begin, live, at)
+            alpha = steps[-1][2]
+            likelihood += float(np.log10(np.concatenate([s[3] for s in steps])).sum())
+        ahead = None
+        for at, alpha in reversed(marks):
+            if at != marks[-1][0]:
+                steps = self._forward(alpha, emitted, number, begin, live, at)
+            gammas = []
+            for _, seen, alpha, scale in reversed(steps):
+                beta = np.ones_like(alpha)
+                if ahead is not None:
+                    m = len(ahead)
+                    step += alpha[:m].T @ ahead
+                    beta[:m] = ahead @ self.step.T
+                gammas.append(alpha * beta)
+                ahead = seen * beta / scale
+            numbers, all_gammas = np.concatenate([s[0] for s in reversed(steps)]), np.concatenate(gammas)
+            for s in range(len(start)):
+                emit[s] += np.bincount(numbers, weights=all_gammas[:, s], minlength=len(emitted))
+        start += gammas[-1].sum(axis=0)
+        return likelihood
+
+    def log10(self, emitted: np.ndarray, number: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 P of each whole sequence of rows of ``emitted``, by the scaled forward recursion."""
         lengths = np.diff(first)
         order = np.argsort(-lengths, kind="stable")
         begin, lengths = first[:-1][order], lengths[order]
@@ -210,11 +224,10 @@ class Model:
         if not len(order):
             return out
         live = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), "right")
-        emitted = np.ascontiguousarray(self.emit.T)
         alpha, step = None, self.step
         total = np.zeros(len(order))
         for t, n in enumerate(live.tolist()):
-            alpha = (self.start if t == 0 else alpha[:n] @ step) * emitted[kinds[begin[:n] + t]]
+            alpha = (self.start if t == 0 else alpha[:n] @ step) * emitted[number[begin[:n] + t]]
             scale = alpha.sum(axis=1)
             alpha /= scale[:, None]
             total[:n] += np.log10(scale)
@@ -222,12 +235,12 @@ class Model:
         return out
 
 
-def _stretches(first: np.ndarray) -> np.ndarray:
-    """Bounds of stretches of at most ``STRETCH`` tokens that do not run on over the end of a text."""
-    lengths = np.diff(first)
-    number = -(-lengths // STRETCH)
-    starts = np.repeat(first[:-1], number) + STRETCH * W.ragged(np.zeros(len(number), np.int64), number)
-    return np.append(starts, first[-1])
+def _histograms(batches):
+    for batch in batches:
+        tokens = Tokens(batch.column("text"), hashed=False)
+        seen = np.zeros((batch.num_rows, KINDS), np.int64)
+        np.add.at(seen, (np.repeat(np.arange(batch.num_rows), np.diff(tokens.first)), tokens.kinds), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.list_(pa.int64()))], names=["seen"])
 
 
 def _expect(model: Model):
@@ -235,7 +248,7 @@ def _expect(model: Model):
         total = None
         for table in W.blocks(batches, "text", BLOCK_BYTES):
             tokens = Tokens(table.column("text"), hashed=False)
-            found = np.concatenate([x.ravel() for x in model.expected(tokens.kinds, _stretches(tokens.first))])
+            found = np.concatenate([np.ravel(x) for x in model.expected(np.ascontiguousarray(model.emit.T), tokens.kinds, tokens.first)])
             total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "x"])
@@ -243,62 +256,162 @@ def _expect(model: Model):
     return work
 
 
-def baum_welch(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """A model of the training rows of ``docs`` (doc_id, text)."""
+def _settled(before: float | None, now: float, tokens: float, tolerance: float = TOLERANCE) -> bool:
+    return before is not None and now - before < tolerance * tokens
+
+
+def kind_model(docs: DataFrame, states: int = STATES, rounds: int = KIND_ROUNDS) -> Model:
+    """A model of the kinds of tokens in the training rows of ``docs`` (doc_id, text)."""
     trained = docs.where(~held_out(F.col("doc_id")))
-    sample = trained.orderBy(F.xxhash64("doc_id", "text")).select("text").limit(SAMPLE).toArrow().column("text").to_pylist()
-    model = Model.of_sample([t or "" for t in sample], states)
-    size = states * (1 + states + KINDS)
+    sample = trained.orderBy(F.xxhash64("doc_id", "text")).select("text").limit(SAMPLE)
+    seen = sample.mapInArrow(_histograms, "seen array<bigint>").toArrow().column("seen").to_pylist()
+    model, before = Model.of_histograms(np.array(seen, float).reshape(len(seen), KINDS), states), None
+    a, b, size = states, states + states * states, states * (1 + states + KINDS) + 1
     for _ in range(rounds):
         sums = trained.select("text").mapInArrow(_expect(model), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
         if not sums.num_rows:
             break
         flat = np.zeros(size)
         flat[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
-        a, b = states, states + states * states
-        model = Model.of_counts(flat[:a], flat[a:b].reshape(states, states), flat[b:].reshape(states, KINDS))
+        emit = flat[b:-1].reshape(states, KINDS)
+        model = Model.of_counts(flat[:a], flat[a:b].reshape(states, states), emit)
+        if _settled(before, flat[-1], emit.sum()):
+            break
+        before = flat[-1]
     return model
 
 
-def _score(model: Model, buckets: int, tokens_of: np.ndarray, types_of: np.ndarray):
-    all_tokens, all_types = int(tokens_of.sum()), int(types_of.sum())
-    base_room, room = np.log10(all_tokens + all_types + 1), np.log10(tokens_of + types_of + 1)
+class _Answers:
+    """Corpus counts and expected counts of a home's distinct tokens, read off the buckets' answers by position."""
+
+    def __init__(self, types: _Types, answers: pa.Table, states: int):
+        self.counts, self.expected = np.zeros(len(types.hashes), np.int64), np.zeros((len(types.hashes), states))
+        for bucket, counts, expected in zip(*(answers.column(c).to_pylist() for c in ("bucket", "counts", "expected")), strict=True):
+            at = types.order[types.bounds[bucket]:types.bounds[bucket + 1]]
+            if counts is not None:
+                self.counts[at] = np.frombuffer(counts, np.int64)
+            if expected is not None:
+                self.expected[at] = np.frombuffer(expected, np.float32).reshape(len(at), states)
+
+
+def _message(types: _Types, home: int, model: Model, emitted: np.ndarray, number: np.ndarray, buckets: int, counted: bool) -> pa.Table:
+    """Expected counts of a home's distinct tokens by bucket, and their counts and kinds if ``counted``; the sums of starts, steps,
+    states and the likelihood go to a bucket below zero."""
+    trained = np.flatnonzero(types.trained)
+    first = types.tokens.first
+    lengths = np.diff(first)[trained]
+    inside = W.ragged(first[:-1][trained], lengths)
+    start, step, emit, likelihood = model.expected(emitted, number[inside], np.concatenate(([0], np.cumsum(lengths))))
+    sums = np.concatenate([start, step.ravel(), emit.sum(axis=1), [likelihood]])
+    rows = [(-1 - home % buckets, home, None, None, None, sums.tobytes())]
+    expected = np.ascontiguousarray(emit.T.astype(np.float32))
+    for b in np.flatnonzero(np.diff(types.bounds)).tolist():
+        at = types.order[types.bounds[b]:types.bounds[b + 1]]
+        about = (types.counts[at].astype(np.int64).tobytes(), types.kinds[at].astype(np.int16).tobytes()) if counted else (None, None)
+        rows.append((b, home, types.hashes[at].tobytes(), *about, expected[at].tobytes()))
+    return _table(rows, SENT)
+
+
+def _first(model: Model, buckets: int):
+    """Expected counts under the model of kinds."""
+
+    def work(table: pa.Table) -> pa.Table:
+        types = _Types(table, buckets)
+        return _message(types, table.column("home")[0].as_py(), model, model.told_apart(types.kinds, types.hashes), types.number, buckets, True)
+
+    return work
+
+
+def _again(model: Model, buckets: int):
+    def work(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return SENT.empty_table()
+        types = _Types(table, buckets)
+        known = _Answers(types, answers, len(model.start))
+        return _message(types, table.column("home")[0].as_py(), model, model.emitted(types.kinds, known.counts, known.expected), types.number, buckets, False)
+
+    return work
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """For one bucket: the corpus' expected counts of each entry, its count, and tokens and types of each kind (in the first row).
+
+    Homes are added up in their order, so that a task run again has the same sums."""
+    table = table.sort_by("home")
+    bucket, raw = table.column("bucket")[0].as_py(), table.column("expected").to_pylist()
+    if bucket < 0:
+        return _table([(-1, bucket, None, None, None, None, np.sum([np.frombuffer(x) for x in raw], axis=0).tolist())], TOTAL)
+    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    sizes = [len(x) for x in hashes]
+    ends, hashes = np.cumsum(sizes), np.concatenate(hashes)
+    order = np.argsort(hashes, kind="stable")
+    begin = W.runs(hashes[order])
+    back = np.empty(len(hashes), np.int64)
+    back[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    expected = np.concatenate([np.frombuffer(x, np.float32) for x in raw]).reshape(len(hashes), -1)
+    each = np.column_stack([np.bincount(back, weights=expected[:, s], minlength=len(begin)) for s in range(expected.shape[1])]).astype(np.float32)
+    counts, top = None, (None, None)
+    if table.column("counts")[0].is_valid:
+        mine = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+        of = np.concatenate([np.frombuffer(x, np.int16) for x in table.column("kinds").to_pylist()])[order[begin]].astype(np.int64)
+        total = np.add.reduceat(mine[order], begin)
+        tokens = np.zeros(KINDS, np.int64)
+        np.add.at(tokens, of, total)
+        counts, top = total[back], (tokens.tolist(), np.bincount(of[total > 0], minlength=KINDS).tolist())
+    rows = [(h, bucket, None if counts is None else counts[e - n:e].tobytes(), each[back[e - n:e]].tobytes(), None, None, None)
+            for h, n, e in zip(table.column("home").to_pylist(), sizes, ends.tolist(), strict=True)]
+    return _table([(-1, bucket, None, None, *top, None), *rows], TOTAL)
+
+
+def _score(model: Model, buckets: int):
+    base_room = np.log10(model.room.sum() - KINDS + 1)
 
     def work(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return SCORE.empty_table()
         types = _Types(table, buckets)
-        counts = np.zeros(len(types.hashes), np.int64)
-        for bucket, raw in zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), strict=True):
-            counts[types.order[types.bounds[bucket]:types.bounds[bucket + 1]]] = np.frombuffer(raw, np.int64)
-        tokens = types.tokens
-        first, kinds = tokens.first, tokens.kinds
-        known = counts[types.number]
-        own = np.log10(known + 1)
-        begin = first[:-1]
-        n = np.diff(first)
-        base = np.add.reduceat(own, begin) - n * base_room
-        inner = np.add.reduceat(own - room[kinds], begin)
-        score = inner + model.log10(kinds, first)
+        facts = _Answers(types, answers, len(model.start))
+        first = types.tokens.first
+        known, begin, n = facts.counts[types.number], first[:-1], np.diff(first)
+        base = np.add.reduceat(np.log10(known + 1), begin) - n * base_room
+        score = model.log10(model.emitted(types.kinds, facts.counts, facts.expected), types.number, first)
         return pa.table([types.table.column("doc_id"), pa.array(n), pa.array(np.add.reduceat((known > 0).astype(np.int64), begin)), pa.array(base), pa.array(score)], schema=SCORE)
 
     return work
 
 
-def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def _summed(totals: DataFrame, column: str) -> np.ndarray:
+    """Element sums of an array column over the buckets."""
+    rows = totals.where(f"home = -1 and {column} is not null").select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i")
+    return rows.toArrow().column("x").to_numpy()
+
+
+def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams), score (log10 P under the model)."""
     prepare(docs.sparkSession)
+    rows = rows_of(docs, doc_id=id, text=text).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    model = kind_model(rows, states)
     homes = Homes(docs, id, text)
     buckets = homes.buckets
-    sent = homes.send(_send(buckets), SENT_DDL)
-    totals = cut_lineage(sent.groupBy("bucket").applyInArrow(_totals, TOTAL_DDL))
-    kinds = totals.where("home = -1").select(F.posexplode(F.arrays_zip("tokens", "types")).alias("kind", "n"))
-    sums = kinds.groupBy("kind").agg(F.sum("n.tokens").alias("tokens"), F.sum("n.types").alias("types")).toArrow()
-    tokens, types = np.zeros(KINDS, np.int64), np.zeros(KINDS, np.int64)
-    at = sums.column("kind").to_numpy()
-    tokens[at], types[at] = sums.column("tokens").to_numpy(), sums.column("types").to_numpy()
-    rows = rows_of(docs, doc_id=id, text=text).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    model = baum_welch(rows, states, rounds)
-    answers = totals.where("home >= 0").select("home", "bucket", "counts")
-    scored = homes.receive(answers, _score(model, buckets, tokens, types), SCORE_DDL)
+
+    def add_up(sent: DataFrame) -> DataFrame:
+        return cut_lineage(sent.groupBy("bucket").applyInArrow(_totals, TOTAL_DDL))
+
+    totals = add_up(homes.send(_first(model, buckets), SENT_DDL))
+    tokens, types = _summed(totals, "tokens"), _summed(totals, "types")
+    tokens, types = (x if len(x) else np.zeros(KINDS, np.int64) for x in (tokens, types))
+    counts = totals.where("home >= 0").select("home", "bucket", "counts", F.lit(None).cast("binary").alias("expected"))
+    answers, before, a, b = totals.where("home >= 0").select("home", "bucket", "counts", "expected"), None, states, states + states * states
+    for number in range(1, rounds + 1):
+        sums = _summed(totals, "sums")
+        sums = sums if len(sums) else np.zeros(b + states + 1)
+        model = model.with_tokens(sums[:a], sums[a:b].reshape(states, states), sums[b:-1], tokens, types)
+        # The likelihood of the first round is one of kinds, not of tokens.
+        if number == rounds or number > 1 and _settled(before, sums[-1], tokens.sum(), tolerance):
+            break
+        before = sums[-1] if number > 1 else None
+        totals = add_up(homes.receive(answers, _again(model, buckets), SENT_DDL))
+        expected = totals.where("home >= 0").select("home", "bucket", F.lit(None).cast("binary").alias("counts"), "expected")
+        answers = counts.unionByName(expected)
+    scored = homes.receive(answers, _score(model, buckets), SCORE_DDL)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens.sum())).cast("bigint").alias("train_tokens"), "base_score", "score")
