@@ -6,9 +6,9 @@ training tokens and one (as many added counts as the base score has). The prior
 first and last two bytes; the end of a text is a kind of its own): P(kind | state) * (c + 1) / (N_kind + V_kind + 1), where c
 is the token's count in the training texts and the last 1 is for all unknown tokens of the kind. For each state this sums to one.
 
-* Kinds: a small model of kinds is trained first, from clusters of kind histograms of a bounded sample of training texts
-  (``SAMPLE`` texts, whose histograms alone travel). It breaks the symmetry between states, with a hash of token and state that shifts the first
-  round's emissions.
+* Start: states begin from clusters of kind histograms of a bounded sample of training texts (``SAMPLE`` texts, whose
+  histograms alone travel). A hash of token and state shifts the first round's emissions, so that states that agree in
+  kinds can come to differ in tokens. The first round also estimates the kinds of each state.
 * Tokens: homes run forward and backward over all their training texts and send the expected counts of their distinct
   tokens, by state, to buckets, which add them up and answer; the next round emits by these sums. Nothing that grows with
   the vocabulary is gathered in one place; the driver gets sums of states * (states + 2) numbers a round.
@@ -33,10 +33,8 @@ from wardline.llm.homes import Homes, bucket_of, by_bucket, in_order
 KINDS = 512
 STATES = 6
 SAMPLE = 600
-KIND_ROUNDS = 2
 ROUNDS = 3
 TOLERANCE = 0.001  # log10 a token
-BLOCK_BYTES = 8 << 20
 CHUNK_TOKENS = 200_000  # forward values held at a time
 END = np.uint64(0x454E44)  # stands for the end of a text among token hashes
 FOLDS, HELD_OUT = 7, 2
@@ -84,15 +82,15 @@ class _Types:
 
     def __init__(self, table: pa.Table, buckets: int):
         self.table = in_order(table)
-        self.tokens = Tokens(self.table.column("text"))
-        hashes = self.tokens.hashes
+        tokens = Tokens(self.table.column("text"))
+        self.first, hashes = tokens.first, tokens.hashes
         order = np.argsort(hashes)
         begin = W.runs(hashes[order])
-        self.number = np.empty(len(hashes), np.int64)
-        self.number[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
-        self.hashes, self.kinds = hashes[order[begin]], self.tokens.kinds[order[begin]]
+        self.number = np.empty(len(hashes), np.int32)
+        self.number[order] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.append(begin, len(order))))
+        self.hashes, self.kinds = hashes[order[begin]], tokens.kinds[order[begin]]
         self.trained = ~_held_out(self.table.column("doc_id"))
-        self.counts = np.bincount(self.number[np.repeat(self.trained, np.diff(self.tokens.first))], minlength=len(self.hashes))
+        self.counts = np.bincount(self.number[np.repeat(self.trained, np.diff(self.first))], minlength=len(self.hashes))
         self.order, self.bounds = by_bucket(bucket_of(W.mix(self.hashes, 13), buckets), buckets)
 
 
@@ -122,8 +120,13 @@ class Model:
     def of_counts(start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> Model:
         return Model(Model._rows(start, 0.1), Model._rows(step, 0.1), Model._rows(emit, 0.01))
 
-    def with_tokens(self, start: np.ndarray, step: np.ndarray, mass: np.ndarray, tokens_of: np.ndarray, types_of: np.ndarray) -> Model:
-        model = Model(Model._rows(start, 0.1), Model._rows(step, 0.1), self.emit)
+    def with_tokens(self, sums: np.ndarray, tokens_of: np.ndarray, types_of: np.ndarray) -> Model:
+        """From the sums of a round (``_message``); those of the first have the kinds of each state."""
+        states = len(self.start)
+        start, step, mass, kinds = np.split(sums[:-1], np.cumsum([states, states * states, states]))
+        model = Model.of_counts(start, step.reshape(states, states), kinds.reshape(states, KINDS) if len(kinds) else self.emit)
+        if not len(kinds):
+            model.emit = self.emit
         model.mass, model.room, model.weight = mass, tokens_of + types_of + 1, float(types_of.sum() + 1)
         return model
 
@@ -165,6 +168,7 @@ class Model:
         emissions (states x rows), and the log10 likelihood."""
         states, lengths = len(self.start), np.diff(first)
         start, step, emit, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(emitted))), 0.0
+        emitted = emitted.astype(np.float32)  # counts are added up in doubles, scores are worked out in doubles
         order = np.argsort(-lengths, kind="stable")
         ends, low = np.cumsum(lengths[order]), 0
         while low < len(order):
@@ -177,13 +181,13 @@ class Model:
 
     def _forward(self, alpha: np.ndarray | None, emitted: np.ndarray, number: np.ndarray, begin: np.ndarray, live: list[int], at: int) -> list[tuple]:
         """(numbers, emissions, scaled forward values, scales) of ``live[at:at + CHUNK_TOKENS]``."""
-        out = []
+        out, first, move = [], self.start.astype(np.float32), self.step.astype(np.float32)
         for t, n in enumerate(live[at:at + CHUNK_TOKENS], at):
             numbers = number[begin[:n] + t]
             seen = emitted[numbers]
-            alpha = (self.start if t == 0 else alpha[:n] @ self.step) * seen
+            alpha = (first if t == 0 else alpha[:n] @ move) * seen
             scale = alpha.sum(axis=1, keepdims=True)
-            alpha = alpha / scale
+            alpha /= scale
             out.append((numbers, seen, alpha, scale))
         return out
 
@@ -195,8 +199,8 @@ class Model:
             marks.append((at, alpha))
             steps = self._forward(alpha, emitted, number, begin, live, at)
             alpha = steps[-1][2]
-            likelihood += float(np.log10(np.concatenate([s[3] for s in steps])).sum())
-        ahead = None
+            likelihood += float(np.log10(np.concatenate([s[3] for s in steps])).sum(dtype=np.float64))
+        ahead, back = None, self.step.T.astype(np.float32)
         for at, alpha in reversed(marks):
             if at != marks[-1][0]:
                 steps = self._forward(alpha, emitted, number, begin, live, at)
@@ -206,13 +210,13 @@ class Model:
                 if ahead is not None:
                     m = len(ahead)
                     step += alpha[:m].T @ ahead
-                    beta[:m] = ahead @ self.step.T
+                    beta[:m] = ahead @ back
                 gammas.append(alpha * beta)
                 ahead = seen * beta / scale
             numbers, all_gammas = np.concatenate([s[0] for s in reversed(steps)]), np.concatenate(gammas)
             for s in range(len(start)):
                 emit[s] += np.bincount(numbers, weights=all_gammas[:, s], minlength=len(emitted))
-        start += gammas[-1].sum(axis=0)
+        start += gammas[-1].sum(axis=0, dtype=np.float64)
         return likelihood
 
     def log10(self, emitted: np.ndarray, number: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -243,81 +247,57 @@ def _histograms(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.list_(pa.int64()))], names=["seen"])
 
 
-def _expect(model: Model):
-    def work(batches):
-        total = None
-        for table in W.blocks(batches, "text", BLOCK_BYTES):
-            tokens = Tokens(table.column("text"), hashed=False)
-            found = np.concatenate([np.ravel(x) for x in model.expected(np.ascontiguousarray(model.emit.T), tokens.kinds, tokens.first)])
-            total = found if total is None else total + found
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "x"])
-
-    return work
-
-
 def _settled(before: float | None, now: float, tokens: float, tolerance: float = TOLERANCE) -> bool:
     return before is not None and now - before < tolerance * tokens
 
 
-def kind_model(docs: DataFrame, states: int = STATES, rounds: int = KIND_ROUNDS) -> Model:
-    """A model of the kinds of tokens in the training rows of ``docs`` (doc_id, text)."""
-    trained = docs.where(~held_out(F.col("doc_id")))
-    sample = trained.orderBy(F.xxhash64("doc_id", "text")).select("text").limit(SAMPLE)
+def first_model(docs: DataFrame, states: int = STATES) -> Model:
+    """States from clusters of the kind histograms of a sample of the training rows of ``docs`` (doc_id, text)."""
+    sample = docs.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", "text")).select("text").limit(SAMPLE)
     seen = sample.mapInArrow(_histograms, "seen array<bigint>").toArrow().column("seen").to_pylist()
-    model, before = Model.of_histograms(np.array(seen, float).reshape(len(seen), KINDS), states), None
-    a, b, size = states, states + states * states, states * (1 + states + KINDS) + 1
-    for _ in range(rounds):
-        sums = trained.select("text").mapInArrow(_expect(model), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-        if not sums.num_rows:
-            break
-        flat = np.zeros(size)
-        flat[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
-        emit = flat[b:-1].reshape(states, KINDS)
-        model = Model.of_counts(flat[:a], flat[a:b].reshape(states, states), emit)
-        if _settled(before, flat[-1], emit.sum()):
-            break
-        before = flat[-1]
-    return model
+    return Model.of_histograms(np.array(seen, float).reshape(len(seen), KINDS), states)
 
 
 class _Answers:
-    """Corpus counts and expected counts of a home's distinct tokens, read off the buckets' answers by position."""
+    """Corpus counts and expected counts of a home's distinct tokens, read off the buckets' answers by position.
+
+    The expected counts of a token add up to its count, so those of the last state don't travel."""
 
     def __init__(self, types: _Types, answers: pa.Table, states: int):
-        self.counts, self.expected = np.zeros(len(types.hashes), np.int64), np.zeros((len(types.hashes), states))
+        self.counts, self.expected = np.zeros(len(types.hashes), np.int64), np.zeros((len(types.hashes), states), np.float32)
         for bucket, counts, expected in zip(*(answers.column(c).to_pylist() for c in ("bucket", "counts", "expected")), strict=True):
             at = types.order[types.bounds[bucket]:types.bounds[bucket + 1]]
             if counts is not None:
                 self.counts[at] = np.frombuffer(counts, np.int64)
             if expected is not None:
-                self.expected[at] = np.frombuffer(expected, np.float32).reshape(len(at), states)
-
-
-def _message(types: _Types, home: int, model: Model, emitted: np.ndarray, number: np.ndarray, buckets: int, counted: bool) -> pa.Table:
-    """Expected counts of a home's distinct tokens by bucket, and their counts and kinds if ``counted``; the sums of starts, steps,
-    states and the likelihood go to a bucket below zero."""
-    trained = np.flatnonzero(types.trained)
-    first = types.tokens.first
-    lengths = np.diff(first)[trained]
-    inside = W.ragged(first[:-1][trained], lengths)
-    start, step, emit, likelihood = model.expected(emitted, number[inside], np.concatenate(([0], np.cumsum(lengths))))
-    sums = np.concatenate([start, step.ravel(), emit.sum(axis=1), [likelihood]])
+                self.expected[at, :-1] = np.frombuffer(expected, np.float32).reshape(len(at), states - 1)
+        self.expected[:, -1] = np.maximum(self.counts - self.expected[:, :-1].sum(axis=1, dtype=np.float64), 0)
+
+
+def _message(types: _Types, home: int, model: Model, emitted: np.ndarray, buckets: int, counted: bool) -> pa.Table:
+    """Expected counts of a home's distinct tokens by bucket, and their counts and kinds if ``counted`` (the first round). The
+    sums of starts, steps, states, kinds of each state (in the first round) and the likelihood go to a bucket below zero."""
+    number = types.number[np.repeat(types.trained, np.diff(types.first))]
+    first = np.concatenate(([0], np.cumsum(np.diff(types.first)[types.trained])))
+    start, step, emit, likelihood = model.expected(emitted, number, first)
+    kinds = [np.bincount(types.kinds, weights=e, minlength=KINDS) for e in emit] if counted else []
+    sums = np.concatenate([start, step.ravel(), emit.sum(axis=1), *kinds, [likelihood]])
     rows = [(-1 - home % buckets, home, None, None, None, sums.tobytes())]
-    expected = np.ascontiguousarray(emit.T.astype(np.float32))
+    expected = np.ascontiguousarray(emit[:-1].T.astype(np.float32))
     for b in np.flatnonzero(np.diff(types.bounds)).tolist():
         at = types.order[types.bounds[b]:types.bounds[b + 1]]
         about = (types.counts[at].astype(np.int64).tobytes(), types.kinds[at].astype(np.int16).tobytes()) if counted else (None, None)
         rows.append((b, home, types.hashes[at].tobytes(), *about, expected[at].tobytes()))
+    W.give_back()
     return _table(rows, SENT)
 
 
 def _first(model: Model, buckets: int):
-    """Expected counts under the model of kinds."""
+    """Expected counts under the first model, which knows kinds."""
 
     def work(table: pa.Table) -> pa.Table:
         types = _Types(table, buckets)
-        return _message(types, table.column("home")[0].as_py(), model, model.told_apart(types.kinds, types.hashes), types.number, buckets, True)
+        return _message(types, table.column("home")[0].as_py(), model, model.told_apart(types.kinds, types.hashes), buckets, True)
 
     return work
 
@@ -328,7 +308,7 @@ def _again(model: Model, buckets: int):
             return SENT.empty_table()
         types = _Types(table, buckets)
         known = _Answers(types, answers, len(model.start))
-        return _message(types, table.column("home")[0].as_py(), model, model.emitted(types.kinds, known.counts, known.expected), types.number, buckets, False)
+        return _message(types, table.column("home")[0].as_py(), model, model.emitted(types.kinds, known.counts, known.expected), buckets, False)
 
     return work
 
@@ -348,8 +328,8 @@ def _totals(table: pa.Table) -> pa.Table:
     begin = W.runs(hashes[order])
     back = np.empty(len(hashes), np.int64)
     back[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
-    expected = np.concatenate([np.frombuffer(x, np.float32) for x in raw]).reshape(len(hashes), -1)
-    each = np.column_stack([np.bincount(back, weights=expected[:, s], minlength=len(begin)) for s in range(expected.shape[1])]).astype(np.float32)
+    expected = np.concatenate([np.frombuffer(x, np.float32) for x in raw]).reshape(len(hashes), len(raw[0]) // max(4 * sizes[0], 1))
+    each = np.column_stack([np.bincount(back, weights=expected[:, s], minlength=len(begin)) for s in range(expected.shape[1])] or [np.zeros((len(begin), 0))]).astype(np.float32)
     counts, top = None, (None, None)
     if table.column("counts")[0].is_valid:
         mine = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
@@ -371,7 +351,7 @@ def _score(model: Model, buckets: int):
             return SCORE.empty_table()
         types = _Types(table, buckets)
         facts = _Answers(types, answers, len(model.start))
-        first = types.tokens.first
+        first = types.first
         known, begin, n = facts.counts[types.number], first[:-1], np.diff(first)
         base = np.add.reduceat(np.log10(known + 1), begin) - n * base_room
         score = model.log10(model.emitted(types.kinds, facts.counts, facts.expected), types.number, first)
@@ -390,7 +370,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", states:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams), score (log10 P under the model)."""
     prepare(docs.sparkSession)
     rows = rows_of(docs, doc_id=id, text=text).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    model = kind_model(rows, states)
+    model = first_model(rows, states)
     homes = Homes(docs, id, text)
     buckets = homes.buckets
 
@@ -401,11 +381,11 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", states:
     tokens, types = _summed(totals, "tokens"), _summed(totals, "types")
     tokens, types = (x if len(x) else np.zeros(KINDS, np.int64) for x in (tokens, types))
     counts = totals.where("home >= 0").select("home", "bucket", "counts", F.lit(None).cast("binary").alias("expected"))
-    answers, before, a, b = totals.where("home >= 0").select("home", "bucket", "counts", "expected"), None, states, states + states * states
+    answers, before = totals.where("home >= 0").select("home", "bucket", "counts", "expected"), None
     for number in range(1, rounds + 1):
         sums = _summed(totals, "sums")
-        sums = sums if len(sums) else np.zeros(b + states + 1)
-        model = model.with_tokens(sums[:a], sums[a:b].reshape(states, states), sums[b:-1], tokens, types)
+        sums = sums if len(sums) else np.zeros(states * (states + 2) + 1)
+        model = model.with_tokens(sums, tokens, types)
         # The likelihood of the first round is one of kinds, not of tokens.
         if number == rounds or number > 1 and _settled(before, sums[-1], tokens.sum(), tolerance):
             break
