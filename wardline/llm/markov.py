@@ -10,7 +10,8 @@ is the token's count in the training texts and the last 1 is for all unknown tok
   histograms alone travel). A hash of token and state shifts the first round's emissions, so that states that agree in
   kinds can come to differ in tokens. The first round also estimates the kinds of each state.
 * Tokens: homes run forward and backward over all their training texts and send the expected counts of their distinct
-  tokens, by state, to buckets, which add them up and answer; the next round emits by these sums. Nothing that grows with
+  tokens, by state, to buckets, which add them up and answer; the next round emits by these sums. They travel as shares of
+  the token's count, in parts of 65,535, and the last state has the rest, so they add up to the count on either side. Nothing that grows with
   the vocabulary is gathered in one place; the driver gets sums of states * (states + 2) numbers a round.
 * Rounds end when the likelihood of the training texts settles (``TOLERANCE``), or after ``ROUNDS``.
 * Texts are whole: forward values are carried over a long text and kept at intervals, between which the backward pass works
@@ -35,15 +36,16 @@ STATES = 6
 SAMPLE = 600
 ROUNDS = 3
 TOLERANCE = 0.001  # log10 a token
+WHOLE = 65_535  # shares of a token's count travel as parts of this
 CHUNK_TOKENS = 200_000  # forward values held at a time
 END = np.uint64(0x454E44)  # stands for the end of a text among token hashes
 FOLDS, HELD_OUT = 7, 2
 
 SENT_DDL = "bucket int, home int, hashes binary, counts binary, kinds binary, expected binary"
 SENT = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("kinds", pa.binary()), ("expected", pa.binary())])
-TOTAL_DDL = "home int, bucket int, counts binary, expected binary, tokens array<bigint>, types array<bigint>, sums array<double>"
+TOTAL_DDL = "home int, bucket int, counts binary, expected binary, tokens array<bigint>, types array<bigint>, mass array<double>, sums array<double>"
 TOTAL = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("expected", pa.binary()),
-                   ("tokens", pa.list_(pa.int64())), ("types", pa.list_(pa.int64())), ("sums", pa.list_(pa.float64()))])
+                   ("tokens", pa.list_(pa.int64())), ("types", pa.list_(pa.int64())), ("mass", pa.list_(pa.float64())), ("sums", pa.list_(pa.float64()))])
 SCORE_DDL = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 SCORE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -120,10 +122,10 @@ class Model:
     def of_counts(start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> Model:
         return Model(Model._rows(start, 0.1), Model._rows(step, 0.1), Model._rows(emit, 0.01))
 
-    def with_tokens(self, sums: np.ndarray, tokens_of: np.ndarray, types_of: np.ndarray) -> Model:
+    def with_tokens(self, sums: np.ndarray, mass: np.ndarray, tokens_of: np.ndarray, types_of: np.ndarray) -> Model:
         """From the sums of a round (``_message``); those of the first have the kinds of each state."""
         states = len(self.start)
-        start, step, mass, kinds = np.split(sums[:-1], np.cumsum([states, states * states, states]))
+        start, step, kinds = np.split(sums[:-1], np.cumsum([states, states * states]))
         model = Model.of_counts(start, step.reshape(states, states), kinds.reshape(states, KINDS) if len(kinds) else self.emit)
         if not len(kinds):
             model.emit = self.emit
@@ -179,44 +181,60 @@ class Model:
             low = to
         return start, step * self.step, emit, likelihood
 
-    def _forward(self, alpha: np.ndarray | None, emitted: np.ndarray, number: np.ndarray, begin: np.ndarray, live: list[int], at: int) -> list[tuple]:
-        """(numbers, emissions, scaled forward values, scales) of ``live[at:at + CHUNK_TOKENS]``."""
-        out, first, move = [], self.start.astype(np.float32), self.step.astype(np.float32)
-        for t, n in enumerate(live[at:at + CHUNK_TOKENS], at):
-            numbers = number[begin[:n] + t]
-            seen = emitted[numbers]
-            alpha = (first if t == 0 else alpha[:n] @ move) * seen
-            scale = alpha.sum(axis=1, keepdims=True)
-            alpha /= scale
-            out.append((numbers, seen, alpha, scale))
-        return out
+    def _forward(self, before: np.ndarray | None, seen: np.ndarray, live: list[int], at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(scaled forward values, scales) of tokens in order of time; ``live`` sequences at each time, from row ``at``."""
+        move = self.step.astype(np.float32)
+        values, scales = np.empty_like(seen), np.empty(len(seen), np.float32)
+        for a, n in zip(at, live, strict=True):
+            now, scale = values[a:a + n], scales[a:a + n]
+            if before is None:
+                now[:] = self.start
+            else:
+                np.matmul(before[:n], move, out=now)
+            now *= seen[a:a + n]
+            np.add.reduce(now, axis=1, out=scale)
+            now /= scale[:, None]
+            before = now
+        return values, scales
 
     def _add(self, start, step, emit, emitted, number, begin, lengths) -> float:
-        """Add the counts of sequences, longest first, whose forward values fit, or of one longer sequence."""
-        live = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), "right").tolist()  # sequences of at least t + 1 tokens
-        marks, alpha, likelihood = [], None, 0.0
-        for at in range(0, len(live), CHUNK_TOKENS):
-            marks.append((at, alpha))
-            steps = self._forward(alpha, emitted, number, begin, live, at)
-            alpha = steps[-1][2]
-            likelihood += float(np.log10(np.concatenate([s[3] for s in steps])).sum(dtype=np.float64))
-        ahead, back = None, self.step.T.astype(np.float32)
-        for at, alpha in reversed(marks):
-            if at != marks[-1][0]:
-                steps = self._forward(alpha, emitted, number, begin, live, at)
-            gammas = []
-            for _, seen, alpha, scale in reversed(steps):
-                beta = np.ones_like(alpha)
+        """Add the counts of sequences, longest first, whose forward values fit, or of one longer sequence by spans."""
+        all_live = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), "right")  # sequences of at least t + 1 tokens
+        back = np.ascontiguousarray(self.step.T.astype(np.float32))
+        likelihood, entering, made = 0.0, [None], None
+
+        def span(k: int):
+            live = all_live[k:k + CHUNK_TOKENS]
+            at = np.cumsum(live) - live
+            numbers = number[begin[W.ragged(np.zeros(len(live), np.int64), live)] + np.repeat(np.arange(k, k + len(live)), live)]
+            seen = emitted[numbers]
+            return live, at, numbers, seen, *self._forward(entering[k // CHUNK_TOKENS], seen, live.tolist(), at.tolist())
+
+        starts = range(0, len(all_live), CHUNK_TOKENS)
+        for k in starts:
+            made = span(k)
+            entering.append(made[4][made[1][-1]:].copy())
+            likelihood += float(np.log10(made[5]).sum(dtype=np.float64))
+        ahead = None
+        for k in reversed(starts):
+            live, at, numbers, seen, values, scales = made if k == starts[-1] else span(k)
+            seen /= scales[:, None]
+            betas = np.ones_like(seen)
+            for a, n in zip(at[::-1].tolist(), live[::-1].tolist(), strict=True):
+                beta = betas[a:a + n]
                 if ahead is not None:
-                    m = len(ahead)
-                    step += alpha[:m].T @ ahead
-                    beta[:m] = ahead @ back
-                gammas.append(alpha * beta)
-                ahead = seen * beta / scale
-            numbers, all_gammas = np.concatenate([s[0] for s in reversed(steps)]), np.concatenate(gammas)
+                    np.matmul(ahead, back, out=beta[:len(ahead)])
+                ahead = seen[a:a + n] * beta
+            seen *= betas
+            rest = int(live[0])
+            step += values[np.arange(rest, len(seen)) - np.repeat(live[:-1], live[1:])].T @ seen[rest:]
+            if k:
+                step += entering[k // CHUNK_TOKENS][:rest].T @ seen[:rest]
+            betas *= values
             for s in range(len(start)):
-                emit[s] += np.bincount(numbers, weights=all_gammas[:, s], minlength=len(emitted))
-        start += gammas[-1].sum(axis=0, dtype=np.float64)
+                emit[s] += np.bincount(numbers, weights=betas[:, s], minlength=len(emitted))
+            if not k:
+                start += betas[:rest].sum(axis=0, dtype=np.float64)
         return likelihood
 
     def log10(self, emitted: np.ndarray, number: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -259,35 +277,44 @@ def first_model(docs: DataFrame, states: int = STATES) -> Model:
 
 
 class _Answers:
-    """Corpus counts and expected counts of a home's distinct tokens, read off the buckets' answers by position.
-
-    The expected counts of a token add up to its count, so those of the last state don't travel."""
+    """Corpus counts and expected counts of a home's distinct tokens, read off the buckets' answers by position."""
 
     def __init__(self, types: _Types, answers: pa.Table, states: int):
-        self.counts, self.expected = np.zeros(len(types.hashes), np.int64), np.zeros((len(types.hashes), states), np.float32)
+        self.counts, shares = np.zeros(len(types.hashes), np.int64), np.zeros((len(types.hashes), states - 1), np.uint16)
         for bucket, counts, expected in zip(*(answers.column(c).to_pylist() for c in ("bucket", "counts", "expected")), strict=True):
             at = types.order[types.bounds[bucket]:types.bounds[bucket + 1]]
             if counts is not None:
                 self.counts[at] = np.frombuffer(counts, np.int64)
             if expected is not None:
-                self.expected[at, :-1] = np.frombuffer(expected, np.float32).reshape(len(at), states - 1)
-        self.expected[:, -1] = np.maximum(self.counts - self.expected[:, :-1].sum(axis=1, dtype=np.float64), 0)
+                shares[at] = np.frombuffer(expected, np.uint16).reshape(len(at), states - 1)
+        self.expected = _expected_counts(shares, self.counts)
+
+
+def _shares(expected: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shares of all states but the last in a token's count, which the expected counts of its states add up to, in parts of ``WHOLE``."""
+    shares = np.floor(expected[:, :-1] * (WHOLE / np.maximum(counts, 1))[:, None])
+    return np.clip(shares, 0, WHOLE).astype(np.uint16)
+
+
+def _expected_counts(shares: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    last = np.maximum(WHOLE - shares.sum(axis=1, dtype=np.int64), 0)
+    return np.column_stack([shares, last]) * (counts / WHOLE)[:, None]
 
 
 def _message(types: _Types, home: int, model: Model, emitted: np.ndarray, buckets: int, counted: bool) -> pa.Table:
-    """Expected counts of a home's distinct tokens by bucket, and their counts and kinds if ``counted`` (the first round). The
-    sums of starts, steps, states, kinds of each state (in the first round) and the likelihood go to a bucket below zero."""
+    """Expected counts of a home's distinct tokens by bucket, and their kinds if ``counted`` (the first round). The
+    sums of starts, steps, kinds of each state (in the first round) and the likelihood go to a bucket below zero."""
     number = types.number[np.repeat(types.trained, np.diff(types.first))]
     first = np.concatenate(([0], np.cumsum(np.diff(types.first)[types.trained])))
     start, step, emit, likelihood = model.expected(emitted, number, first)
     kinds = [np.bincount(types.kinds, weights=e, minlength=KINDS) for e in emit] if counted else []
-    sums = np.concatenate([start, step.ravel(), emit.sum(axis=1), *kinds, [likelihood]])
+    sums = np.concatenate([start, step.ravel(), *kinds, [likelihood]])
     rows = [(-1 - home % buckets, home, None, None, None, sums.tobytes())]
-    expected = np.ascontiguousarray(emit[:-1].T.astype(np.float32))
+    shares = _shares(emit.T, types.counts)
     for b in np.flatnonzero(np.diff(types.bounds)).tolist():
         at = types.order[types.bounds[b]:types.bounds[b + 1]]
-        about = (types.counts[at].astype(np.int64).tobytes(), types.kinds[at].astype(np.int16).tobytes()) if counted else (None, None)
-        rows.append((b, home, types.hashes[at].tobytes(), *about, expected[at].tobytes()))
+        kinds = types.kinds[at].astype(np.int16).tobytes() if counted else None
+        rows.append((b, home, types.hashes[at].tobytes(), types.counts[at].astype(np.int32).tobytes(), kinds, shares[at].tobytes()))
     W.give_back()
     return _table(rows, SENT)
 
@@ -320,27 +347,30 @@ def _totals(table: pa.Table) -> pa.Table:
     table = table.sort_by("home")
     bucket, raw = table.column("bucket")[0].as_py(), table.column("expected").to_pylist()
     if bucket < 0:
-        return _table([(-1, bucket, None, None, None, None, np.sum([np.frombuffer(x) for x in raw], axis=0).tolist())], TOTAL)
+        return _table([(-1, bucket, None, None, None, None, None, np.sum([np.frombuffer(x) for x in raw], axis=0).tolist())], TOTAL)
     hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
     sizes = [len(x) for x in hashes]
     ends, hashes = np.cumsum(sizes), np.concatenate(hashes)
     order = np.argsort(hashes, kind="stable")
     begin = W.runs(hashes[order])
-    back = np.empty(len(hashes), np.int64)
-    back[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
-    expected = np.concatenate([np.frombuffer(x, np.float32) for x in raw]).reshape(len(hashes), len(raw[0]) // max(4 * sizes[0], 1))
-    each = np.column_stack([np.bincount(back, weights=expected[:, s], minlength=len(begin)) for s in range(expected.shape[1])] or [np.zeros((len(begin), 0))]).astype(np.float32)
-    counts, top = None, (None, None)
-    if table.column("counts")[0].is_valid:
-        mine = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+    back = np.empty(len(hashes), np.int32)
+    back[order] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.append(begin, len(order))))
+    counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
+    total = np.add.reduceat(counts[order], begin, dtype=np.int64)
+    shares = np.concatenate([np.frombuffer(x, np.uint16) for x in raw]).reshape(len(hashes), len(raw[0]) // (2 * sizes[0]))
+    expected = _expected_counts(shares, counts)
+    expected = np.column_stack([np.bincount(back, weights=expected[:, s], minlength=len(begin)) for s in range(expected.shape[1])])
+    each = _shares(expected, total)
+    mass, all_counts, of_kinds = _expected_counts(each, total).sum(axis=0).tolist(), None, (None, None)
+    if table.column("kinds")[0].is_valid:
         of = np.concatenate([np.frombuffer(x, np.int16) for x in table.column("kinds").to_pylist()])[order[begin]].astype(np.int64)
-        total = np.add.reduceat(mine[order], begin)
         tokens = np.zeros(KINDS, np.int64)
         np.add.at(tokens, of, total)
-        counts, top = total[back], (tokens.tolist(), np.bincount(of[total > 0], minlength=KINDS).tolist())
-    rows = [(h, bucket, None if counts is None else counts[e - n:e].tobytes(), each[back[e - n:e]].tobytes(), None, None, None)
+        all_counts, of_kinds = total, (tokens.tolist(), np.bincount(of[total > 0], minlength=KINDS).tolist())
+    rows = [(h, bucket, None if all_counts is None else all_counts[back[e - n:e]].tobytes(), each[back[e - n:e]].tobytes(), None, None, None, None)
             for h, n, e in zip(table.column("home").to_pylist(), sizes, ends.tolist(), strict=True)]
-    return _table([(-1, bucket, None, None, *top, None), *rows], TOTAL)
+    W.give_back()
+    return _table([(-1, bucket, None, None, *of_kinds, mass, None), *rows], TOTAL)
 
 
 def _score(model: Model, buckets: int):
@@ -384,8 +414,9 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", states:
     answers, before = totals.where("home >= 0").select("home", "bucket", "counts", "expected"), None
     for number in range(1, rounds + 1):
         sums = _summed(totals, "sums")
-        sums = sums if len(sums) else np.zeros(states * (states + 2) + 1)
-        model = model.with_tokens(sums, tokens, types)
+        sums = sums if len(sums) else np.zeros(states * (states + 1) + 1)
+        mass = _summed(totals, "mass")
+        model = model.with_tokens(sums, mass if len(mass) else np.zeros(states), tokens, types)
         # The likelihood of the first round is one of kinds, not of tokens.
         if number == rounds or number > 1 and _settled(before, sums[-1], tokens.sum(), tolerance):
             break
