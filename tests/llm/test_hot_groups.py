@@ -61,6 +61,31 @@ def test_lines_of_a_very_long_text(spark):
     assert Counter(tuple(r) for r in got) == Counter(want)
 
 
+def test_memory_of_a_task_follows_its_shard():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from wardline.llm import decontaminate as D
+
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(30_000)])
+    texts = [" ".join(vocabulary[rng.integers(0, len(vocabulary), 2000)]) for _ in range(800)]
+    items = pa.table({"item_id": pa.array([7, 8, 9]), "text": [" ".join(texts[3].split()[50:70]), " ".join(texts[700].split()[-4:]), "w1 unheard"]})
+    phrases = SimpleNamespace(value=D.Phrases(items, 10))
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    tracemalloc.start()
+    try:
+        found = [r for b in D._search(phrases, True)(table.to_batches(100)) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(r["doc_id"], r["spans"], r["items"]) for r in found if r["spans"]] == [
+        (3, [{"start": 50, "stop": 70}], [7]), (700, [{"start": 1996, "stop": 2000}], [8])]
+    assert peak < 80 << 20
+
+
 def test_one_id_holds_all_pages(spark):
     from wardline.llm.warc import archive_round_trip
 

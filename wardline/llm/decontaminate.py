@@ -20,7 +20,8 @@ from wardline.llm import words as W
 from wardline.llm.common import pieces, prepare, rows_of, text_volume
 from wardline.llm.fm_index import FMIndex, occurrences
 
-SHARD_BYTES = 8 << 20
+# A shard's index and the arrays it is made from take some 20 times its text.
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -29,7 +30,10 @@ FOUND_DDL = "doc_id bigint, text string, n_words bigint, spans array<struct<star
 
 
 class Phrases:
-    """Distinct windows of benchmark items, by their number of words, and the items that have them."""
+    """Distinct windows of benchmark items, by their number of words, and the items that have them.
+
+    A window is a row of places in ``vocabulary``, so that a shard looks up each distinct word once.
+    """
 
     def __init__(self, items: pa.Table, width: int):
         words = W.Words(items.column("text"), W.NOT_ALNUM, lower=True)
@@ -39,10 +43,12 @@ class Phrases:
         for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
             for k in range(a, max(b - width, a) + 1 if b > a else a):
                 by_window.setdefault(tuple(hashes[k:min(k + width, b)].tolist()), set()).add(ids[i])
+        self.vocabulary = np.unique(hashes)
         self.groups = []
         for size in sorted({len(w) for w in by_window}):
             same = [w for w in by_window if len(w) == size]
-            self.groups.append((size, np.array(same, np.uint64).reshape(-1, size), [sorted(x for x in by_window[w] if x is not None) for w in same]))
+            windows = np.searchsorted(self.vocabulary, np.array(same, np.uint64).reshape(-1, size)).astype(np.int32)
+            self.groups.append((size, windows, [sorted(x for x in by_window[w] if x is not None) for w in same]))
 
 
 def _merged(marks: np.ndarray) -> list[dict]:
@@ -52,7 +58,7 @@ def _merged(marks: np.ndarray) -> list[dict]:
 
 def _search(phrases, last: bool):
     def work(batches):
-        groups = phrases.value.groups
+        groups, vocabulary = phrases.value.groups, phrases.value.vocabulary
         for table in W.blocks(batches, "text", SHARD_BYTES):
             words = W.Words(table.column("text"), W.NOT_ALNUM, lower=True)
             hashes = words.hashes()
@@ -64,14 +70,15 @@ def _search(phrases, last: bool):
             text[np.arange(len(hashes)) + doc] = number + 2
             begin = words.first[:-1] + np.arange(n)
             index = FMIndex(text) if len(hashes) and groups else None
+            at = np.minimum(np.searchsorted(known, vocabulary), len(known) - 1)
+            met = known[at] == vocabulary if len(known) else np.zeros(len(vocabulary), bool)
             hit: dict[int, np.ndarray] = {}
             items: dict[int, set] = {}
             for size, windows, owners in groups if index else []:
-                at = np.minimum(np.searchsorted(known, windows), len(known) - 1)
-                there = np.flatnonzero((known[at] == windows).all(axis=1))
+                there = np.flatnonzero(met[windows].all(axis=1))
                 if not len(there):
                     continue
-                which, position = occurrences(index, *index.search(at[there] + 2))
+                which, position = occurrences(index, *index.search(at[windows[there]] + 2))
                 where = np.searchsorted(begin, position, "right") - 1
                 for k, p, d in zip(there[which].tolist(), position.tolist(), where.tolist(), strict=True):
                     if d not in hit:

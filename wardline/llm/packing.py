@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from wardline.llm import words as W
 from wardline.llm.common import cut_lineage, pieces, prepare, rows_of
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 GROUP_ROWS = 40_000
 CACHE_KEYS = 600_000
 # White space other than ASCII, and the separators some engines count as white space.

@@ -153,8 +153,9 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
 def blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.Table]:
     """Batches regrouped, and cut between rows, to tables of about ``max_bytes`` of text.
 
-    A longer text makes a table of its own.
+    A longer text makes a table of its own. What earlier tasks left to the worker is given back first.
     """
+    give_back()
     held, size = [], 0
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
