@@ -61,6 +61,24 @@ def test_lines_of_a_very_long_text(spark):
     assert Counter(tuple(r) for r in got) == Counter(want)
 
 
+def test_tables_of_few_lines_are_few_files(spark, tmp_path, monkeypatch):
+    from wardline import session
+    from wardline.llm.line_dedup import line_dedup
+
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: str(tmp_path))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, "\n".join([f"own {i}", *[f"menu {k}" for k in range(200)]]), f"site {i}") for i in range(10)]
+        got = line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), min_sites=8).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(tuple(r) for r in got) == [(i, 201, 200, f"own {i}") for i in range(10)]
+    assert 0 < len(list(tmp_path.rglob("part-*.parquet"))) <= 2 * 3
+
+
 def test_memory_of_a_task_follows_its_shard():
     import tracemalloc
     from types import SimpleNamespace

@@ -14,13 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import attach, cut_lineage, prepare, rows_of
+from wardline.llm.common import attach, cut_lineage, prepare, rows_of, shuffle_partitions
 
 LG_K = 10
 # Three standard errors of a sketch of 2^LG_K registers (1.04 / sqrt(2^LG_K)), and one for rounding.
 NEAR_SHARE, NEAR_LEAST = 3 * 1.04 / 2 ** (LG_K / 2), 1.0
 
 
+# Lines on many sites are few among all: their tables are written in one file for so many partitions, not in one for each.
+PARTITIONS_PER_FILE = 16
+
+
+def _few_files(df: DataFrame) -> DataFrame:
+    return cut_lineage(df.repartition(-(-shuffle_partitions(df.sparkSession) // PARTITIONS_PER_FILE)))
+
+
 def _key(line) -> list:
     """Two hashes of a line, 96 bits together."""
     return [F.xxhash64(line).alias("h1"), F.hash(line, F.lit(7)).alias("h2")]
@@ -40,9 +48,9 @@ def site_spread(docs: DataFrame, id: str = "doc_id", text: str = "text", site: s
     spread = sketched.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
     margin = NEAR_LEAST + NEAR_SHARE * min_sites
     # What is clearly below is dropped here: only lines at or above the margin are written.
-    spread = cut_lineage(spread.where(F.col("sites") >= min_sites - margin))
+    spread = _few_files(spread.where(F.col("sites") >= min_sites - margin))
     sure = spread.where(F.col("sites") > min_sites + margin).select("h1", "h2")
-    near = cut_lineage(spread.where(F.col("sites") <= min_sites + margin).select(F.struct("h1", "h2").alias("key")))
+    near = spread.where(F.col("sites") <= min_sites + margin).select(F.struct("h1", "h2").alias("key"))
     again = attach(lines.withColumn("key", F.struct("h1", "h2")), near, "key").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
     exact = again.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
     return sure.unionByName(exact.select("h1", "h2"))
@@ -68,9 +76,9 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", site: st
     """doc_id, n_lines, n_removed, text without the lines that spread over ``min_sites`` sites or more."""
     prepare(docs.sparkSession)
     rows = rows_of(docs, doc_id=id, text=text, site=site)
-    wide = cut_lineage(site_spread(docs, id, text, site, min_sites).select(F.struct("h1", "h2").alias("key")))
+    wide = _few_files(site_spread(docs, id, text, site, min_sites).select(F.struct("h1", "h2").alias("key")))
     hits = attach(_lines(rows).withColumn("key", F.struct("h1", "h2")), wide, "key")
-    gone = cut_lineage(hits.groupBy(F.col("doc_id").alias("_id"), "text_hash").agg(F.collect_set("place").alias("gone")))
+    gone = hits.groupBy(F.col("doc_id").alias("_id"), "text_hash").agg(F.collect_set("place").alias("gone"))
     whole = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
     met = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")), "left")
     parts = F.split("text", "\n")
