@@ -76,9 +76,10 @@ def stay_detail(t):
     return detail_table(t)
 
 
-def detail_table(t):
+def detail_table(t, of=None):
     """The stays and admissions made from the driver's tables are written first, as they are tables in their own right."""
-    return hospital.stay_detail(cut_lineage(r.stays(t)), cut_lineage(r.admissions(t)), r.patients(t))
+    stays = r.stays(t).select("hadm_id", "stay_id", "intime", "outtime")
+    return hospital.stay_detail(cut_lineage(stays), cut_lineage(r.admissions(t)), r.patients(t), of)
 
 
 # --- code sets -----------------------------------------------------------------------
@@ -213,12 +214,11 @@ SELECT d.*, price_min, price_max, quantity_min, quantity_max, quantity_mean, tro
 FROM (SELECT stay_id FROM detail WHERE hospital_expire_flag = 1) c JOIN detail d ON c.stay_id = d.stay_id
 JOIN labs ON d.stay_id = labs.stay_id JOIN vit ON d.stay_id = vit.stay_id LEFT JOIN mark ON d.hadm_id = mark.hadm_id"""))
 def feature_table(t):
-    detail = detail_table(t)
     ended = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("hadm_id"))
     line = t.lineitem.select(F.col("l_orderkey").alias("hadm_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("stay_id")).distinct()
     died = line.join(ended, "hadm_id").select("stay_id")
     labs, vit, marks = first_day_tables(t)
-    return hospital.first_day_features(died, detail, labs, vit, marks)
+    return hospital.first_day_features(died, lambda of: detail_table(t, of), labs, vit, marks)
 
 
 @query("onset_lab_averages", r.with_roles(*EVENT_ROLES, r.SOFA_SQL, body="""

@@ -148,3 +148,47 @@ def test_checkpoint_folder_comes_from_the_session(spark):
 def test_first_per_limits_before_the_exchange(timed):
     plan = ranking.first_per(timed, ["k"], [F.col("ts"), F.col("id")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_dense_sequence_moves_rows_once_but_for_hot_keys(timed, monkeypatch):
+    want = timed.withColumn("n", F.dense_rank().over(Window.partitionBy("k").orderBy(F.col("ts").asc_nulls_last())))
+    plain = ranking.dense_sequence(timed, ["k"], "ts", "n")
+    assert exchanges(plain) == 1
+    most = max(r["count"] for r in timed.groupBy("k").count().collect())
+    for limit in (0, most // 2, most - 1):
+        monkeypatch.setattr(ranking, "HOT_ROWS", limit)
+        for parts in (1, 1 << 16):  # one hash for all keys: only those with too many rows are hot
+            monkeypatch.setattr(ranking, "HASH_PARTS", parts)
+            got = ranking.dense_sequence(timed, ["k"], "ts", "n")
+            assert got.dtypes == plain.dtypes and exchanges(got) > 1
+            assert as_dict(got, "id", "n") == as_dict(want, "id", "n")
+
+
+def test_first_day_features_move_narrow_rows(spark):
+    from wardline.plans import hospital
+
+    day = "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, {}, {})"
+    stays = spark.range(60).selectExpr("id div 3 AS hadm_id", "id AS stay_id", f"{day.format('id', 0)} AS intime", f"{day.format('id', 30)} AS outtime")
+    admissions = spark.range(20).selectExpr("id % 7 AS subject_id", "id AS hadm_id", f"{day.format('id', 0)} AS admittime", f"{day.format('id + 9', 0)} AS dischtime",
+                                            "'e' AS ethnicity", "1 AS hospital_expire_flag")
+    patients = spark.range(6).selectExpr("id AS subject_id", "'F' AS gender", "50 AS anchor_age", "2019 AS anchor_year")
+    cohort = spark.createDataFrame([(i % 40, "x" * (i % 5)) for i in range(0, 90, 2)], "stay_id bigint, note string")
+    labs = spark.range(50).selectExpr("id AS stay_id", "id * 2 AS price_min")
+    vitals = spark.range(60).selectExpr("id AS stay_id", "id * 3 AS quantity_min")
+    marks = spark.range(40).selectExpr("id div 2 AS hadm_id", "id AS troponin_t").where("hadm_id < 9")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = hospital.first_day_features(cohort, hospital.stay_detail(stays, admissions, patients), labs, vitals, marks)
+        got = hospital.first_day_features(cohort, lambda of: hospital.stay_detail(stays, admissions, patients, of), labs, vitals, marks)
+        places = [[plan.index(f"Join Inner, ({k}") for k in ("hadm_id", "stay_id")] for plan in (d._jdf.queryExecution().optimizedPlan().toString() for d in (got, want))]
+        assert want.columns == got.columns and want.count() > 30
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        # stays meet the cohort below the join with the admissions, so no detail is made or moved for other stays
+        assert places[0][0] < places[0][1] and places[1][0] > places[1][1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

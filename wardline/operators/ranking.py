@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.scale import HOUR, null_safe_join, numbered, ranged, running, time_bucket
+from wardline.session import cut_lineage
+
+HOT_ROWS = 200_000  # rows of one key that a task ranks at once
+HASH_PARTS = 1 << 16
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -40,8 +44,36 @@ def sequence_id(df: DataFrame, keys: list[str], ts: str, order: list[Column], na
     return numbered(df, keys, time_bucket(ts, grain), order, name)
 
 
+def _hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys with more than ``HOT_ROWS`` rows, None if there are none.
+
+    Rows are counted by a hash of their key first; only keys of a hash with too many rows are counted themselves.
+    """
+    part = F.pmod(F.xxhash64(*keys), F.lit(HASH_PARTS))
+    full = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS).collect()
+    if not full:
+        return None
+    counts = df.filter(part.isin([r["_part"] for r in full])).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = cut_lineage(counts.filter(F.col("_rows") > HOT_ROWS).select(*keys))
+    return None if hot.isEmpty() else hot
+
+
 def dense_sequence(df: DataFrame, keys: list[str], ts: str, name: str, grain: int = HOUR) -> DataFrame:
-    """Dense rank of a time per key: the rank inside its bucket plus the distinct times of earlier buckets."""
+    """Dense rank of a time per key.
+
+    Rows move once, by their key. Only those of a key too large for one task go by (key, bucket). ``df`` is
+    read for counts of rows as well, so hand over a scan, a grouped table or a checkpoint.
+    """
+    hot = _hot_keys(df, keys)
+    whole = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col(ts).asc_nulls_last())).cast("bigint")
+    if hot is None:
+        return df.withColumn(name, whole)
+    others = null_safe_join(df, hot, keys, "left_anti").withColumn(name, whole)
+    return others.unionByName(_dense_by_bucket(null_safe_join(df, hot, keys, "left_semi"), keys, ts, name, grain))
+
+
+def _dense_by_bucket(df: DataFrame, keys: list[str], ts: str, name: str, grain: int) -> DataFrame:
+    """The rank inside a time's bucket plus the distinct times of earlier buckets."""
     cut = df.withColumn("_bucket", time_bucket(ts, grain))
     inside = cut.withColumn(name, F.dense_rank().over(Window.partitionBy(*keys, "_bucket").orderBy(F.col(ts).asc_nulls_last())))
     sizes = cut.select(*keys, "_bucket", ts).distinct().groupBy(*keys, "_bucket").agg(F.count("*").alias("_times"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,19 +81,25 @@ def age_at_admission(admissions: DataFrame, patients: DataFrame) -> DataFrame:
     return joined.withColumn("age", age_at("admittime", "anchor_year", "anchor_age"))
 
 
-def stay_detail(stays: DataFrame, admissions: DataFrame, patients: DataFrame) -> DataFrame:
+def stay_detail(stays: DataFrame, admissions: DataFrame, patients: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Stays with their admission and patient. With ``of`` (rows by stay_id), only the stays of its rows, with its other columns at the end."""
     # ranks are taken on the narrow inputs; an admission's stays all stay or all go in the joins
-    admitted = admissions.join(stays.select("hadm_id"), "hadm_id", "left_semi")
-    visits = ranking.dense_sequence(admitted, ["subject_id"], "admittime", "hospstay_seq").select(
-        "hadm_id", "subject_id", "admittime", "dischtime", "ethnicity", "hospital_expire_flag", "hospstay_seq")
+    admitted = cut_lineage(admissions.join(stays.select("hadm_id"), "hadm_id", "left_semi"))
+    # what is known of a patient joins where visits lie by patient, so that no stay moves for it
+    visits = ranking.dense_sequence(admitted, ["subject_id"], "admittime", "hospstay_seq").join(
+        patients.select("subject_id", "gender", "anchor_age", "anchor_year"), "subject_id").select(
+        "hadm_id", "subject_id", "admittime", "dischtime", "ethnicity", "hospital_expire_flag", "hospstay_seq", "gender", "anchor_age", "anchor_year")
     units = ranking.dense_sequence(stays, ["hadm_id"], "intime", "icustay_seq").select("hadm_id", "stay_id", "intime", "outtime", "icustay_seq")
-    ranked = units.join(visits, "hadm_id").join(patients.select("subject_id", "gender", "anchor_age", "anchor_year"), "subject_id")
+    more = [c for c in of.columns if c != "stay_id"] if of is not None else []
+    if of is not None:
+        units = units.join(of, "stay_id")
+    ranked = units.join(visits, "hadm_id")
     ranked = ranked.withColumns({"first_hosp_stay": F.col("hospstay_seq") == 1, "first_icu_stay": F.col("icustay_seq") == 1})
     return ranked.select(
         "subject_id", "hadm_id", "stay_id", "gender", "admittime", "dischtime", days_between("dischtime", "admittime").alias("los_hospital"),
         age_at("admittime", "anchor_year", "anchor_age").alias("admission_age"), "ethnicity", "hospital_expire_flag",
         "hospstay_seq", "first_hosp_stay", F.col("intime").alias("icu_intime"), F.col("outtime").alias("icu_outtime"),
-        F.round(hours_between("outtime", "intime") / 24.0, 2).alias("los_icu"), "icustay_seq", "first_icu_stay")
+        F.round(hours_between("outtime", "intime") / 24.0, 2).alias("los_icu"), "icustay_seq", "first_icu_stay", *more)
 
 
 # Weights of the comorbidity index and the pairs of which only the greater counts.
@@ -163,13 +171,22 @@ def demographics(patients: DataFrame, admissions: DataFrame) -> DataFrame:
         admissions.select("subject_id", "ethnicity"), "subject_id").select("gender", "anchor_age", "ethnicity")
 
 
-def first_day_features(cohort: DataFrame, detail: DataFrame, labs: DataFrame, vitals: DataFrame,
+def first_day_features(cohort: DataFrame, detail: DataFrame | Callable[[DataFrame], DataFrame], labs: DataFrame, vitals: DataFrame,
                        markers: DataFrame | None = None, marker: str = "troponin_t", on: str = "stay_id") -> DataFrame:
     """Cohort rows with stay detail, lab and vital summaries, ordered by patient and stay.
 
-    ``markers`` adds the highest cardiac marker of the admission.
+    ``detail`` is a table, or for a cohort by stay_id a function that gives rows by stay_id their detail (``stay_detail`` with
+    ``of``): then narrow rows meet by stay first, and details of other stays are not made. ``markers`` adds the highest cardiac
+    marker of the admission.
     """
-    out = cohort.join(detail, on).join(labs, "stay_id").join(vitals, "stay_id")
+    if callable(detail):
+        measured = cohort.join(labs, "stay_id").join(vitals, "stay_id")
+        own = [c for c in cohort.columns if c != "stay_id"]
+        met = detail(measured)
+        summaries = [c for c in measured.columns if c not in ("stay_id", *own)]
+        out = met.select("stay_id", *own, *[c for c in met.columns if c not in measured.columns], *summaries)
+    else:
+        out = cohort.join(detail, on).join(labs, "stay_id").join(vitals, "stay_id")
     if markers is not None:
         out = out.join(aggregates.max_by_key(markers, ["hadm_id"], [marker]), "hadm_id", "left")
     return out.orderBy("subject_id", "stay_id")
