@@ -20,7 +20,7 @@ from wardline.llm import words as W
 from wardline.llm.common import pieces, prepare, rows_of, text_volume
 from wardline.llm.fm_index import FMIndex, occurrences
 
-# A shard's index and the arrays it is made from take some 20 times its text.
+# A shard's index and the arrays it is made from take some 30 times its text.
 SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 
